@@ -9,6 +9,8 @@ number of nodes, not with the depth of the trees.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,16 +19,25 @@ from oreloom.session import cut
 
 #: Remaining nodes (of all groups together) that may be resolved by single tasks, about 50 MB.
 FINISH_ROWS = 200_000
+#: Tasks that share the remaining nodes, each group in one of them.
+FINISH_TASKS = 12
 ON_LOOP, BELOW_LOOP = -1, -2
+_NO_GROUP = "\0"
 _RESULT = "g string, v string, root string, depth int, path string, total bigint"
 
 
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rake one group's core leaf by leaf; what is never raked is a loop; then undo from the roots down."""
-    names = list(pdf["v"])
-    index = {v: i for i, v in enumerate(names)}
+def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Resolve all groups of a partition at once: rake the core leaf by leaf; what is never raked is a loop; then undo
+    from the roots down.
+    """
+    parts = list(batches)
+    if not parts:
+        return
+    pdf = pd.concat(parts, ignore_index=True)
+    names, groups = list(pdf["v"]), list(pdf["g"])
+    index = {gv: i for i, gv in enumerate(zip(groups, names, strict=True))}
     n = len(names)
-    parent = [index.get(p, -1) if p is not None else -1 for p in pdf["p"]]
+    parent = [index.get((g, p), -1) if p is not None else -1 for g, p in zip(groups, pdf["p"], strict=True)]
     hops, seg, total = list(pdf["w"]), list(pdf["seg"]), list(pdf["own"])
     open_kids = [0] * n
     for i, p in enumerate(parent):
@@ -64,9 +75,7 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
             depth[i] = BELOW_LOOP
         else:
             root[i], depth[i], path[i] = root[p], depth[p] + int(hops[i]), f"{path[p]}>{seg[i]}"
-    return pd.DataFrame(
-        {"g": pdf["g"], "v": names, "root": root, "depth": depth, "path": path, "total": total}
-    )
+    yield pd.DataFrame({"g": groups, "v": names, "root": root, "depth": depth, "path": path, "total": total})
 
 
 def _round(active: DataFrame, number: int) -> DataFrame:
@@ -158,9 +167,10 @@ def hierarchies(links: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
     """Full hierarchies of ``links`` (g, parent, child; normalised keys, nulls allowed at either end).
 
     Result: g, node_id, root_id, node_depth, node_path, n_descendants, one row per node. A row with one
-    end only makes that node known; a node with several parents belongs to the smallest of them; a node
+    end only makes that node known; links without a group are a group; a node with several parents belongs to the smallest of them; a node
     on a loop has depth -1, one below a loop -2, both with empty root and path. An empty table gives none.
     """
+    links = links.withColumn("g", F.coalesce("g", F.lit(_NO_GROUP)))
     ends = links.select("g", F.col("child").alias("v"), F.col("parent").alias("p")).unionByName(
         links.select("g", F.col("parent").alias("v"), F.lit(None).cast("string").alias("p"))
     )
@@ -176,11 +186,13 @@ def hierarchies(links: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
         contracted = cut(_round(active, len(rounds)))
         rounds.append(contracted)
         active = cut(_next_active(contracted))
-    known = active.groupBy("g").applyInPandas(_resolve, _RESULT)
+    known = active.repartition(FINISH_TASKS, "g").mapInPandas(_resolve, _RESULT)
+    if rounds:
+        known = cut(known)
     for contracted in reversed(rounds):
         known = cut(_undo(contracted, known))
     return known.select(
-        "g",
+        F.nullif("g", F.lit(_NO_GROUP)).alias("g"),
         F.col("v").alias("node_id"),
         F.col("root").alias("root_id"),
         F.col("depth").alias("node_depth"),
