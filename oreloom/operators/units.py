@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreloom.functions.keys import strip
+from oreloom.session import cut
 
 # Exact international sizes in kilograms.
 POUND_KG = 0.45359237
@@ -184,6 +185,7 @@ def common_values(features: DataFrame, tables: DataFrame, rates: DataFrame) -> D
         .filter(F.col("number").isNotNull() & ~F.isnan("number"))
         .distinct()
     )
+    values = cut(values)  # read twice below; the parsing is the expensive part
     pick = lambda name: aliases.select(
         "quantity", F.col("alias").alias(name), F.struct("currency", "factor", "shift").alias(f"by_{name}")
     )
