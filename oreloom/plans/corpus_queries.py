@@ -139,7 +139,7 @@ def a17_degrees(spark: SparkSession, sf: str) -> DataFrame:
     return C.degrees(links(spark, sf))
 
 
-@query(f"WITH {SEQ}, f AS (SELECT stage, min((doc, pos)) AS first_at FROM seq GROUP BY 1) SELECT stage, row_number() OVER (ORDER BY first_at, stage) - 1 AS vocab_id FROM f")
+@query(f"WITH {SEQ}, f AS (SELECT stage, min((doc, pos)) AS first_at FROM seq GROUP BY 1) SELECT stage, (row_number() OVER (ORDER BY first_at, stage) - 1)::INT AS vocab_id FROM f")
 def a18_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return C.vocabulary(sequences(spark, sf))
 
@@ -191,10 +191,11 @@ def a27_vintage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT event_type, user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (event_type, user_id)"
+    "SELECT coalesce(event_type, 'all') AS event_type, coalesce(user_id, -1) AS user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (event_type, user_id)"
 )
 def a28_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").rollup("event_type", "user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    sums = table(spark, sf, "events").rollup("event_type", "user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return sums.fillna({"event_type": "all", "user_id": -1})
 
 
 @query(
@@ -215,7 +216,7 @@ def a30_rollups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SEQ}, c AS (SELECT *, lag(stage) OVER (PARTITION BY doc ORDER BY pos) AS before FROM seq) SELECT doc, stage, row_number() OVER (PARTITION BY doc ORDER BY pos) AS pos FROM c WHERE before IS DISTINCT FROM stage"
+    f"WITH {SEQ}, c AS (SELECT *, lag(stage) OVER (PARTITION BY doc ORDER BY pos) AS before FROM seq) SELECT doc, stage, (row_number() OVER (PARTITION BY doc ORDER BY pos))::INT AS pos FROM c WHERE before IS DISTINCT FROM stage"
 )
 def w1_collapse_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return C.collapse_repeats(sequences(spark, sf))
@@ -242,7 +243,7 @@ def h10_edge_prior(spark: SparkSession, sf: str) -> DataFrame:
     return _prior(spark, sf).select("src", "dst", _R("prior"))
 
 
-@query(_PRIOR + " SELECT * EXCLUDE (pr), round(pr, 6) AS prior FROM (SELECT src, dst, prior AS pr, row_number() OVER (PARTITION BY src ORDER BY round(prior, 9) DESC, dst) AS rank FROM prior) WHERE rank <= 2")
+@query(_PRIOR + " SELECT * EXCLUDE (pr), round(pr, 6) AS prior FROM (SELECT src, dst, prior AS pr, (row_number() OVER (PARTITION BY src ORDER BY round(prior, 9) DESC, dst))::INT AS rank FROM prior) WHERE rank <= 2")
 def w4_out_degree_cap(spark: SparkSession, sf: str) -> DataFrame:
     top = C.top_per_group(_prior(spark, sf), ["src"], [F.round("prior", 9).desc(), F.col("dst")], 2)
     return top.select("src", "dst", "rank", _R("prior"))

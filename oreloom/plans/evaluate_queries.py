@@ -76,7 +76,7 @@ def a25_top_k_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 _SWEEP = (
     f"WITH {BOTH}, {_SCORES}, s AS (SELECT x.item, x.p, (t.doc IS NOT NULL)::INT AS y FROM x LEFT JOIN truth t ON t.doc = x.doc AND t.item = x.item),"
-    " g AS (SELECT i, round(0.15 + i * 0.05, 4) AS threshold FROM range(15) AS r(i)),"
+    " g AS (SELECT i, round(0.15::DOUBLE + i * 0.05::DOUBLE, 4) AS threshold FROM range(15) AS r(i)),"
     " f AS (SELECT item, i, threshold, sum(y) AS all_pos, count(*) FILTER (least(floor((p - 0.15) / 0.05 + 1e-9), 14) >= i) AS n, coalesce(sum(y) FILTER (least(floor((p - 0.15) / 0.05 + 1e-9), 14) >= i), 0) AS tp FROM s, g GROUP BY 1, 2, 3),"
     " sweep AS (SELECT item, threshold, coalesce(2 * tp / nullif(all_pos + n, 0), 0) AS f FROM f)"
 )

@@ -69,7 +69,7 @@ def k5_append_step(spark: SparkSession, sf: str) -> DataFrame:
     return steps.select("user_id", F.array_join(sinks.append_step(F.col("s"), F.lit("done")), ",").alias("steps"))
 
 
-@query("SELECT document_id AS run_id, unit_rid, row_number() OVER (PARTITION BY document_id ORDER BY unit_rid) AS id FROM (SELECT DISTINCT document_id, unit_rid FROM flow_units WHERE unit_type IS NULL)")
+@query("SELECT document_id AS run_id, unit_rid, (row_number() OVER (PARTITION BY document_id ORDER BY unit_rid))::INT AS id FROM (SELECT DISTINCT document_id, unit_rid FROM flow_units WHERE unit_type IS NULL)")
 def k6_error_log(spark: SparkSession, sf: str) -> DataFrame:
     errors = table(spark, sf, "flow_units").filter("unit_type IS NULL").select(F.col("document_id").alias("run_id"), "unit_rid").distinct()
     return sinks.error_log(errors, [F.col("unit_rid")])

@@ -126,7 +126,7 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-_KNN = "WITH p AS (SELECT q.vec_id AS id, b.vec_id AS neighbor, round(list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbor) AS rank FROM p)"
+_KNN = "WITH p AS (SELECT q.vec_id AS id, b.vec_id AS neighbor, round(list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbor))::INT AS rank FROM p)"
 
 
 @query(_KNN + " SELECT id, neighbor, rank, round(s, 5) AS score FROM r WHERE rank <= 20")
@@ -136,7 +136,7 @@ def j12_similar_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "WITH p AS (SELECT q.vec_id AS id, b.vec_id AS neighbor, round(list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, neighbor) AS rank FROM p)"
+    "WITH p AS (SELECT q.vec_id AS id, b.vec_id AS neighbor, round(list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY s, neighbor))::INT AS rank FROM p)"
     " SELECT id, neighbor, rank, round(s, 4) AS distance FROM r WHERE rank <= 10"
 )
 def j13_knn_euclidean(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,7 +219,7 @@ def j20_neighbor_features(spark: SparkSession, sf: str) -> DataFrame:
 _RANK = "WITH h AS (SELECT DISTINCT table_id, document_id, lower(coalesce(caption, '') || ' ' || coalesce(array_to_string(headers, ' '), '')) AS t FROM extracted_tables), s AS (SELECT *, (contains(t, 'grade')::INT + contains(t, 'inventory')::INT + contains(t, 'mass')::INT) AS score FROM h)"
 
 
-@query(_RANK + ", r AS (SELECT document_id, table_id, score, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, table_id) AS rank FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 3")
+@query(_RANK + ", r AS (SELECT document_id, table_id, score, (row_number() OVER (PARTITION BY document_id ORDER BY score DESC, table_id))::INT AS rank FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 3")
 def j21_ranked_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Tables of a document ranked by how many keywords their header text holds."""
     from oreloom.operators.corpus import top_per_group

@@ -146,14 +146,14 @@ def p_08_leach(spark: SparkSession, sf: str) -> DataFrame:
     return _scenarios(spark, sf).select("id", F.round(P.leach_extraction(k, F.lit(3600.0), F.lit(0.96)), 6).alias("extraction"))
 
 
-@query(f"WITH s AS ({_SCEN}) SELECT id, round((tph * p80 + 200 * 50.0) / (tph + 200), 6) AS mixed, 0.0 AS closure FROM s")
+@query(f"WITH s AS ({_SCEN}) SELECT id, round((tph * p80 + 200 * 50.0) / (tph + 200), 6) AS mixed, 0.0::DOUBLE AS closure FROM s")
 def p_09_balance(spark: SparkSession, sf: str) -> DataFrame:
     mixed = P.mix([(F.col("tph"), F.col("p80")), (F.lit(200.0), F.lit(50.0))])
     error = P.closure_error(F.col("tph"), [F.col("tph") * 0.25, F.col("tph") * 0.75])
     return _scenarios(spark, sf).select("id", F.round(mixed, 6).alias("mixed"), F.round(error, 6).alias("closure"))
 
 
-@query(f"WITH s AS ({_SCEN}), g AS (SELECT * FROM s, (SELECT unnest([100.0, 150.0, 200.0]) AS target)) SELECT target, count(*) AS n, round(avg(wi * 10 * (1 / sqrt(target) - 1 / sqrt(f80))), 6) AS kwh FROM g GROUP BY 1")
+@query(f"WITH s AS ({_SCEN}), g AS (SELECT * FROM s, (SELECT unnest([100.0, 150.0, 200.0]::DOUBLE[]) AS target)) SELECT target, count(*) AS n, round(avg(wi * 10 * (1 / sqrt(target) - 1 / sqrt(f80))), 6) AS kwh FROM g GROUP BY 1")
 def p_14_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Scenario sweep: a short list of settings exploded onto each row."""
     grid = _scenarios(spark, sf).withColumn("target", F.explode(F.array(*[F.lit(x) for x in (100.0, 150.0, 200.0)])))
