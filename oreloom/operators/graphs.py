@@ -8,17 +8,48 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict, deque
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Edge = tuple[str, str]
 
-def _adjacency(pdf: pd.DataFrame) -> tuple[list[str], dict[str, set[str]]]:
+
+def per_document(edges: DataFrame, solve: Callable[[list[Edge]], Iterable[tuple]], schema: str) -> DataFrame:
+    """Rows (doc, *solve(edges of doc)) for every doc: one shuffle by doc, then a stream over the sorted partition.
+
+    A document's edges are gathered as plain pairs, so thousands of small documents cost no frame each; only one
+    document is held at a time. Null ends must be filtered out before.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in schema.split(", ")]
+        doc, mine, rows = None, [], []
+        for pdf in batches:
+            for d, s, t in zip(pdf["doc"].tolist(), pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
+                if d != doc:
+                    if mine:
+                        rows.extend((doc, *r) for r in solve(mine))
+                    doc, mine = d, []
+                mine.append((s, t))
+            if len(rows) > 20_000:
+                yield pd.DataFrame(rows, columns=["doc", *columns])
+                rows = []
+        if mine:
+            rows.extend((doc, *r) for r in solve(mine))
+        yield pd.DataFrame(rows, columns=["doc", *columns])
+
+    sorted_edges = edges.select("doc", "src", "dst").repartition("doc").sortWithinPartitions("doc")
+    return sorted_edges.mapInPandas(run, f"doc string, {schema}")
+
+
+def _adjacency(edges: list[Edge]) -> tuple[list[str], dict[str, set[str]]]:
     out: dict[str, set[str]] = defaultdict(set)
-    for s, d in zip(pdf["src"], pdf["dst"], strict=True):
+    for s, d in edges:
         out[s].add(d)
-    return sorted(set(pdf["src"]) | set(pdf["dst"])), out
+    return sorted({x for e in edges for x in e}), out
 
 
 def kahn(nodes: list[str], out: dict[str, set[str]], smallest_first: bool) -> list[str]:
@@ -47,20 +78,14 @@ def topological_order(edges: DataFrame, smallest_first: bool = True) -> DataFram
     never released and lands in the sorted rest.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, out = _adjacency(pdf)
-        order = kahn(nodes, out, smallest_first)
-        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "node": order, "pos": range(len(order))})
-
-    return edges.groupBy("doc").applyInPandas(run, "doc string, node string, pos int")
+    return per_document(edges, lambda es: [(n, i) for i, n in enumerate(kahn(*_adjacency(es), smallest_first))], "node string, pos int")
 
 
 def reachability(edges: DataFrame) -> DataFrame:
     """H3: (doc, src, dst) of all nodes that can be reached from each node; a node never reaches itself here."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, out = _adjacency(pdf)
-        pairs = []
+    def solve(es: list[Edge]) -> Iterator[Edge]:
+        nodes, out = _adjacency(es)
         for start in nodes:
             seen, queue = {start}, deque([start])
             while queue:
@@ -68,10 +93,9 @@ def reachability(edges: DataFrame) -> DataFrame:
                     if d not in seen:
                         seen.add(d)
                         queue.append(d)
-            pairs += [(start, d) for d in sorted(seen - {start})]
-        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "src": [a for a, _ in pairs], "dst": [b for _, b in pairs]})
+            yield from ((start, d) for d in sorted(seen - {start}))
 
-    return edges.groupBy("doc").applyInPandas(run, "doc string, src string, dst string")
+    return per_document(edges, solve, "src string, dst string")
 
 
 def back_edges_and_depth(edges: DataFrame) -> DataFrame:
@@ -79,8 +103,8 @@ def back_edges_and_depth(edges: DataFrame) -> DataFrame:
     of its source from the roots (-1 if no root leads there).
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, out = _adjacency(pdf)
+    def solve(es: list[Edge]) -> list[tuple]:
+        nodes, out = _adjacency(es)
         targets = {d for s in out for d in out[s]}
         depth = {n: 0 for n in nodes if n not in targets}
         queue = deque(sorted(depth))
@@ -109,10 +133,9 @@ def back_edges_and_depth(edges: DataFrame) -> DataFrame:
                 else:
                     colour[n] = 2
                     stack.pop()
-        rows = [(s, d, (s, d) in back, depth.get(s, -1)) for s in nodes for d in sorted(out.get(s, ()))]
-        return pd.DataFrame(rows, columns=["src", "dst", "is_back", "src_depth"]).assign(doc=pdf["doc"].iloc[0])[["doc", "src", "dst", "is_back", "src_depth"]]
+        return [(s, d, (s, d) in back, depth.get(s, -1)) for s in nodes for d in sorted(out.get(s, ()))]
 
-    return edges.groupBy("doc").applyInPandas(run, "doc string, src string, dst string, is_back boolean, src_depth int")
+    return per_document(edges, solve, "src string, dst string, is_back boolean, src_depth int")
 
 
 def pathways(weighted: pd.DataFrame, k: int = 8, shortest: int = 3) -> list[list[str]]:
@@ -147,8 +170,8 @@ def drawn_edges(edges: DataFrame) -> DataFrame:
     (from the first root to the block's first node), per doc; derived marks them.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, out = _adjacency(pdf)
+    def solve(es: list[Edge]) -> list[tuple]:
+        nodes, out = _adjacency(es)
         rows = [(s, d, False) for s in nodes for d in sorted(out.get(s, ())) if s != d]
         near: dict[str, set[str]] = defaultdict(set)
         for s, d, _ in rows:
@@ -168,9 +191,9 @@ def drawn_edges(edges: DataFrame) -> DataFrame:
                     if d not in seen:
                         seen.add(d)
                         queue.append(d)
-        return pd.DataFrame(rows, columns=["src", "dst", "derived"]).assign(doc=pdf["doc"].iloc[0])[["doc", "src", "dst", "derived"]]
+        return rows
 
-    return edges.groupBy("doc").applyInPandas(run, "doc string, src string, dst string, derived boolean")
+    return per_document(edges, solve, "src string, dst string, derived boolean")
 
 
 def vote_trace(neighbours: DataFrame, labels: DataFrame) -> DataFrame:

@@ -120,7 +120,22 @@ down AS (
   FROM down JOIN par ON par.image_id = down.image_id AND par.p = down.v)
 """
 
+_P5_ALL = (
+    _P5_TREES
+    + """,
+rest AS (SELECT par.* FROM par WHERE NOT EXISTS (SELECT 1 FROM down WHERE down.image_id = par.image_id AND down.v = par.v)),
+reach AS (SELECT image_id, v AS x, p AS anc FROM rest UNION SELECT r.image_id, r.x, rest.p FROM reach r JOIN rest ON rest.image_id = r.image_id AND rest.v = r.anc),
+pairs AS (SELECT image_id, anc, x FROM reach WHERE anc <> x UNION SELECT image_id, a.anc, v FROM down, unnest(string_split(node_path, '>')[:-2]) AS a(anc) WHERE node_depth > 0),
+n AS (SELECT image_id, anc AS v, count(*) AS n FROM pairs GROUP BY 1, 2),
+placed AS (
+  SELECT image_id, v, root_id, node_depth, node_path FROM down
+  UNION ALL SELECT image_id, v, '', CASE WHEN EXISTS (SELECT 1 FROM reach r WHERE r.image_id = rest.image_id AND r.x = rest.v AND r.anc = rest.v) THEN -1 ELSE -2 END, '' FROM rest)
+SELECT image_id, v AS node_id, root_id, node_depth, node_path, coalesce(n.n, 0) AS n_descendants FROM placed LEFT JOIN n USING (image_id, v)
+"""
+)
+
 ORACLES = {
+    "p5_found": _P5_ALL,
     "p4_found": _P4 + "SELECT * FROM found",
     "p4_report": _P4 + "SELECT ref_field, ref_month, reason, count(*) AS n_orphans FROM found GROUP BY 1, 2, 3",
     "p5_descendants": _P5_TREES

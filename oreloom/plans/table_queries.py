@@ -52,10 +52,10 @@ def t5_clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.length(S.clean_text(F.col("text"), ["the", "a", "of", "and", "to", "in", "is", "was", "for"])).alias("n"))
 
 
-@query("SELECT o_orderkey, round(CASE WHEN o_totalprice >= 50000 THEN o_totalprice / 1e6 WHEN o_totalprice >= 2000 THEN o_totalprice / 1e3 ELSE o_totalprice END, 6) AS mt, round(CASE WHEN o_totalprice > 10000 THEN o_totalprice / 1e3 WHEN o_totalprice < 10 THEN o_totalprice * 1e3 ELSE o_totalprice END, 6) AS money FROM orders")
+@query("SELECT o_orderkey, round(CASE WHEN o_totalprice >= 50000 THEN o_totalprice / 1e6 WHEN o_totalprice >= 2000 THEN o_totalprice / 1e3 ELSE o_totalprice END, 9) AS mt, round(CASE WHEN o_totalprice > 10000 THEN o_totalprice / 1e3 WHEN o_totalprice < 10 THEN o_totalprice * 1e3 ELSE o_totalprice END, 9) AS money FROM orders")
 def t15_common_scale(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("o_totalprice")
-    return table(spark, sf, "orders").select("o_orderkey", F.round(S.to_common_scale(F.lit("tonnage"), v), 6).alias("mt"), F.round(S.to_common_scale(F.lit("capex"), v), 6).alias("money"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(S.to_common_scale(F.lit("tonnage"), v), 9).alias("mt"), F.round(S.to_common_scale(F.lit("capex"), v), 9).alias("money"))
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:

@@ -77,9 +77,9 @@ _CELLS = "h AS (SELECT table_id, cell_rows, unnest(headers) AS header, generate_
 
 
 @query(
-    f"WITH {_CELLS}, n AS (SELECT *, {_NUM} AS x FROM c) SELECT 'grade_cu' AS name, count(*) AS n, round(min(x), 6) AS lo, round(max(x), 6) AS hi FROM n WHERE regexp_matches(lower(header), '\\bcu\\b|\\bcopper\\b') AND x BETWEEN 0.01 AND 10"
-    " UNION ALL SELECT 'tonnage', count(*), round(min(x), 6), round(max(x), 6) FROM n WHERE regexp_matches(lower(header), '\\btonn[a-z]*\\b|\\btons\\b|\\bmt\\b') AND x BETWEEN 0.001 AND 1e9"
-    " UNION ALL SELECT 'capex', count(*), round(min(x), 6), round(max(x), 6) FROM n WHERE regexp_matches(lower(header), '\\bcapex\\b|\\bcapital\\s*cost') AND x BETWEEN 0 AND 1e12"
+    f"WITH {_CELLS}, n AS (SELECT *, {_NUM} AS x FROM c) SELECT 'grade_cu' AS name, count(*) AS n, round(min(x), 3) AS lo, round(max(x), 3) AS hi FROM n WHERE regexp_matches(lower(header), '\\bcu\\b|\\bcopper\\b') AND x BETWEEN 0.01 AND 10"
+    " UNION ALL SELECT 'tonnage', count(*), round(min(x), 3), round(max(x), 3) FROM n WHERE regexp_matches(lower(header), '\\btonn[a-z]*\\b|\\btons\\b|\\bmt\\b') AND x BETWEEN 0.001 AND 1e9"
+    " UNION ALL SELECT 'capex', count(*), round(min(x), 3), round(max(x), 3) FROM n WHERE regexp_matches(lower(header), '\\bcapex\\b|\\bcapital\\s*cost') AND x BETWEEN 0 AND 1e12"
 )
 def f7_named_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Columns picked by header pattern (a header may match several), cells validated by bounds."""
@@ -87,7 +87,7 @@ def f7_named_columns(spark: SparkSession, sf: str) -> DataFrame:
     dim = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"), F.col("header").rlike(p).alias("hit")) for k, (p, lo, hi) in names.items()])
     cells = _cells(spark, sf).select(T.parse_number(F.col("value")).alias("x"), F.inline(F.filter(dim, lambda d: d["hit"])))
     kept = cells.filter("x BETWEEN lo AND hi")
-    return kept.groupBy("name").agg(F.count("*").alias("n"), F.round(F.min("x"), 6).alias("lo"), F.round(F.max("x"), 6).alias("hi"))
+    return kept.groupBy("name").agg(F.count("*").alias("n"), F.round(F.min("x"), 3).alias("lo"), F.round(F.max("x"), 3).alias("hi"))
 
 
 @query(f"WITH {_CELLS}, n AS (SELECT *, {_NUM} AS x FROM c) SELECT table_id, round(avg(x), 5) AS grade FROM n WHERE regexp_matches(lower(header), 'cu|copper') AND NOT regexp_matches(lower(header), 'ppm|g/t|dist|rec|ratio') AND x BETWEEN 0.15 AND 3 GROUP BY 1")
