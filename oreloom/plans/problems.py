@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from oreloom.functions.keys import norm_key
 from oreloom.operators import hierarchy, nested, orphans, units
+from oreloom.plans.nested_sql import child_records_sql
+from oreloom.plans.units_sql import common_values_sql
 from oreloom.session import table
 
 
@@ -135,6 +137,8 @@ SELECT image_id, v AS node_id, root_id, node_depth, node_path, coalesce(n.n, 0)
 )
 
 ORACLES = {
+    "p1_found": child_records_sql(),
+    "p3_found": common_values_sql(),
     "p5_found": _P5_ALL,
     "p4_found": _P4 + "SELECT * FROM found",
     "p4_report": _P4 + "SELECT ref_field, ref_month, reason, count(*) AS n_orphans FROM found GROUP BY 1, 2, 3",
