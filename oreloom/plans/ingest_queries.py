@@ -117,3 +117,24 @@ def stream_windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return sessions(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts")
+
+
+@query("SELECT image_id, unit_id, count(*) AS n FROM (SELECT DISTINCT * FROM flow_units) GROUP BY 1, 2 HAVING count(*) > 1")
+def s6_key_violations(spark: SparkSession, sf: str) -> DataFrame:
+    from oreloom.sources.store import key_violations
+
+    return key_violations(table(spark, sf, "flow_units").distinct(), ["image_id", "unit_id"])
+
+
+@query("SELECT table_id, count(*) AS n FROM doc_features WHERE table_id IS NOT NULL AND table_id NOT IN (SELECT table_id FROM extracted_tables WHERE table_id IS NOT NULL) GROUP BY 1")
+def s6_dangling(spark: SparkSession, sf: str) -> DataFrame:
+    from oreloom.sources.store import dangling
+
+    return dangling(table(spark, sf, "doc_features"), "table_id", table(spark, sf, "extracted_tables"), "table_id")
+
+
+@query()
+def s7_rewrite_text(spark: SparkSession, sf: str) -> DataFrame:
+    from oreloom.sources.store import rewrite_text
+
+    return rewrite_text(table(spark, sf, "extracted_tables").select("table_id", "caption", "page_number"), ["the", "of", "a", "and"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from oreloom.functions import text as T
 from oreloom.operators import corpus as C
 from oreloom.operators import joins as J
+from oreloom.operators.classify import keyword_classes
 from oreloom.plans.base import LATEST, latest_predictions
 from oreloom.plans.registry import query
 from oreloom.session import table
@@ -31,14 +32,14 @@ def f2_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("table_id", "section_number", "page_number", "table_index").distinct().orderBy("page_number", "table_index", "table_id")
 
 
-_CLASSES = {"copper": r"(chalcopyrite|bornite|covellite|chalcocite|malachite)", "iron": r"(magnetite|pyrite)", "gold": r"(free gold)", "lead": r"(galena)"}
-_COUNTS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS class, len(regexp_extract_all(lower(text), '{p}'))::INT AS n FROM documents WHERE text IS NOT NULL" for k, p in _CLASSES.items())
+_COUNTS = " UNION ALL ".join(
+    f"SELECT doc_id, '{m}' AS class, (" + " + ".join(f"len(regexp_extract_all(text, '{T.mineral_pattern(x)}'))" for x in names) + ")::INT AS n FROM documents WHERE text IS NOT NULL"
+    for m, names in T.MINERAL_PATTERNS.items()
+)
 
 
 def _class_counts(spark: SparkSession, sf: str) -> DataFrame:
-    low = F.lower("text")
-    each = F.array(*[F.struct(F.lit(k).alias("class"), F.regexp_count(low, F.lit(p)).alias("n")) for k, p in _CLASSES.items()])
-    return _docs(spark, sf).select("doc_id", F.inline(each)).filter("n > 0")
+    return keyword_classes(_docs(spark, sf), "doc_id", "text").select("doc_id", "class", F.col("n").cast("int").alias("n"))
 
 
 @query(f"SELECT * FROM ({_COUNTS}) WHERE n > 0")

@@ -297,3 +297,44 @@ def test_streaming_windows_equal_batch(spark, tmp_path):
     q = ingest.windowed_counts(stream, "ts").writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, ingest.windowed_counts(df, "ts").collect()))
+
+
+def test_store_is_created_once_and_checked(spark, tmp_path):
+    from oreloom.sources import store
+
+    path = str(tmp_path / "store")
+    store.create_store(spark, path)
+    store.create_store(spark, path)
+    tables_ = store.open_store(spark, path)
+    assert store.check_store(tables_).count() == 0
+    images = spark.createDataFrame([("i", "nodoc"), ("i", "nodoc"), (None, None)], "image_id string, document_id string")
+    for f in tables_["images"].schema:
+        if f.name not in images.columns:
+            images = images.withColumn(f.name, F.lit(None).cast(f.dataType))
+    got = {(r.kind, r.table, r.column): r.n for r in store.check_store(tables_ | {"images": images.select(*tables_["images"].columns)}).collect()}
+    assert got == {("key", "images", "image_id"): 2, ("reference", "images", "document_id"): 1}
+    assert spark.sql("SELECT count(*) FROM documents").first()[0] == 0
+
+
+def test_rewrite_text_leaves_other_columns(spark):
+    from oreloom.sources import store
+
+    row = store.rewrite_text(spark.createDataFrame([("The Mills of  ores 12", 3, None)], "a string, b int, c string"), ["the", "of"]).first()
+    assert tuple(row) == ("mill ore 12", 3, None)
+
+
+def test_keyword_classes_match_counting_each_pattern(spark):
+    import re
+
+    from oreloom.functions.text import MINERAL_PATTERNS, mineral_pattern
+    from oreloom.operators.classify import keyword_classes
+
+    texts = ["Banded iron formation, lead-zinc ore with Zn and zn, COPPER and Cu cu; tin Sn sn", "U3O8 u3o8 rare earth REE", "", None, "gold_ Au-Ag au"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    want = set()
+    for i, t in enumerate(texts):
+        for m, names in MINERAL_PATTERNS.items():
+            n = sum(len(re.findall(mineral_pattern(x), t or "", re.ASCII)) for x in names)
+            if n:
+                want.add((i, m, n))
+    assert {tuple(r) for r in keyword_classes(df, "id", "t").collect()} == want
