@@ -53,7 +53,7 @@ def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             open_kids[p] -= 1
             if open_kids[p] == 0:
                 ready.append(p)
-    root, depth, path = [""] * n, [0] * n, [""] * n
+    root, depth = [""] * n, [0] * n
     seen = [False] * n
     for i in raked:
         seen[i] = True
@@ -70,12 +70,25 @@ def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for i in reversed(raked):
         p = parent[i]
         if p < 0:
-            root[i], path[i] = names[i], seg[i]
+            root[i] = names[i]
         elif depth[p] < 0:
             depth[i] = BELOW_LOOP
         else:
-            root[i], depth[i], path[i] = root[p], depth[p] + int(hops[i]), f"{path[p]}>{seg[i]}"
-    yield pd.DataFrame({"g": groups, "v": names, "root": root, "depth": depth, "path": path, "total": total})
+            root[i], depth[i] = root[p], depth[p] + int(hops[i])
+    rows: list[tuple] = []
+    letters = 0
+    for i in range(n):  # paths are spelt out row by row, so that those of deep trees are never all held at once
+        steps, k = [], i if depth[i] >= 0 else -1
+        while k >= 0:
+            steps.append(seg[k])
+            k = parent[k]
+        path = ">".join(reversed(steps))
+        rows.append((groups[i], names[i], root[i], depth[i], path, total[i]))
+        letters += len(path)
+        if len(rows) >= 20_000 or letters > 16_000_000:
+            yield pd.DataFrame(rows, columns=["g", "v", "root", "depth", "path", "total"])
+            rows, letters = [], 0
+    yield pd.DataFrame(rows, columns=["g", "v", "root", "depth", "path", "total"])
 
 
 def _round(active: DataFrame, number: int) -> DataFrame:

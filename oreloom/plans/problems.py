@@ -35,6 +35,25 @@ def p1_sections(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
+def p1_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat evidence rows that name their trace, stage and section."""
+    nodes = nested.trace_nodes(table(spark, sf, "xgb_traces")).filter("kind = 'evidence'")
+    return nodes.select(
+        "trace_id", "rec", F.col("section_pre").alias("parent_pre"), F.col("stage_name").alias("stage"), F.col("section_name").alias("section"),
+        F.col("name").try_cast("bigint").alias("page"), "pre", "post", F.col("attrs")["table_id"].alias("table_id"), F.col("attrs")["quote"].alias("quote"),
+    ).distinct()
+
+
+def p1_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat edge rows of each trace."""
+    nodes = nested.trace_nodes(table(spark, sf, "xgb_traces")).filter("kind = 'edge'")
+    ends = F.split("name", ">", 2)
+    return nodes.select(
+        "trace_id", "rec", ends[0].alias("src"), ends[1].alias("dst"), "pre", "post",
+        F.col("attrs")["support"].try_cast("double").alias("support"), F.col("attrs")["score"].try_cast("double").alias("score"),
+    ).distinct()
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return units.common_values(table(spark, sf, "doc_features"), table(spark, sf, "extracted_tables"), table(spark, sf, "fx_rates"))
 
@@ -89,7 +108,7 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.descendants(_hierarchies(spark, sf)).withColumnRenamed("g", "image_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stages, p1_sections, p3_found, p4_found, p4_report, p5_found, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_stages, p1_sections, p1_evidence, p1_edges, p3_found, p4_found, p4_report, p5_found, p5_descendants)}
 
 _WS = r"E' \t\n\r'"
 _NORM = lambda c: f"nullif(lower(trim({c}, {_WS})), '')"
