@@ -32,6 +32,10 @@ def p6_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.unmatched_values(table(spark, sf, "flow_units"), table(spark, sf, "unit_vocab"))
 
 
+def p6_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.candidates(table(spark, sf, "flow_units"), table(spark, sf, "unit_vocab"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
 
@@ -48,8 +52,13 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return pages.spam_pages(table(spark, sf, "documents"))
 
 
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of each page's text that is not prose."""
+    return pages.page_shares(table(spark, sf, "documents")).select("doc_id", F.round("other_share", 6).alias("other_share"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_scores, p6_found, p6_unmatched, p7_ids, p8_pack, p8_fill, p9_found)}
+    return {f.__name__: f for f in (p2_found, p2_scores, p6_found, p6_unmatched, p6_candidates, p7_ids, p8_pack, p8_fill, p9_found, p9_shares)}
 
 
 _P2 = """

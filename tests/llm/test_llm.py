@@ -110,6 +110,12 @@ def test_units_end_to_end(spark):
     assert report["gate house"] == 6 and report[None] == 2
 
 
+def test_candidates_are_all_entries_in_reach(spark):
+    units = spark.createDataFrame([("bod mill", None), ("bod mill", None), ("n/a", "jaw crushr"), (None, None), ("truck shop", None)], "unit_type string, label string")
+    vocab = spark.createDataFrame([(i, n, []) for i, n in ENTRIES[:4:2]] + [(3, "rod mill", ["mod mill"])], "canon_id int, canon_name string, alt_names array<string>")
+    assert {tuple(r) for r in canonical.candidates(units, vocab).collect()} == {("bod mill", 3, 1), ("jaw crushr", 1, 1)} | ({("bod mill", 2, 2)} if damerau("bodmill", "ballmill") <= 2 else set())
+
+
 # --- tokens --------------------------------------------------------------------------------------------------------------
 
 
