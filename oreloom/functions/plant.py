@@ -41,6 +41,12 @@ def cyclone_cut(dc: Column, di: Column, do: Column, du: Column, h: Column, flow_
     return PLITT_CUT * top / (F.pow(du, F.lit(0.71)) * F.pow(h, F.lit(0.38)) * F.pow(flow_lpm, F.lit(0.45)) * (rho_s - rho_f))
 
 
+def cyclone_pressure(dc: Column, di: Column, do: Column, du: Column, h: Column, flow_lpm: Column, vol_pct: Column) -> Column:
+    """Pressure drop in kPa (Plitt)."""
+    top = 1.88 * F.pow(flow_lpm, F.lit(1.78)) * F.exp(0.0055 * vol_pct)
+    return PLITT_DROP * top / (F.pow(dc, F.lit(0.37)) * F.pow(di, F.lit(0.94)) * F.pow(h, F.lit(0.28)) * F.pow(du * du + do * do, F.lit(0.87)))
+
+
 def cyclone_split(dc: Column, do: Column, du: Column, h: Column, head_m: Column, vol_pct: Column) -> Column:
     """Flow split S (Plitt)."""
     top = 1.9 * F.pow(du / do, F.lit(3.31)) * F.pow(h, F.lit(0.54)) * F.pow(du * du + do * do, F.lit(0.36)) * F.exp(0.0054 * vol_pct)

@@ -51,22 +51,28 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, at: str, value: s
     return joined.select("__row.*", F.coalesce("__own", "__carried").alias("last_value"))
 
 
-def greedy_disjoint(rows: DataFrame, group: str, name: str, lo: str, hi: str, overlap: float = 0.5) -> DataFrame:
-    """Per group keep intervals longest first, dropping one whose overlap with a kept one is at least ``overlap`` of
-    the shorter. The order of decisions matters, so each (bounded) group is decided in one Arrow task. Ties by name.
+def greedy_disjoint(rows: DataFrame, group: str, name: str, sides: list[tuple[str, str]], overlap: float = 0.5) -> DataFrame:
+    """Per group keep boxes (one (lo, hi) pair of columns per dimension) largest first, dropping one whose common part
+    with a kept one is at least ``overlap`` of the smaller. The order of decisions matters, so each (bounded) group is
+    decided in one Arrow task. Ties by name; boxes without extent take part but overlap nothing.
     """
-    schema = rows.select(group, name, lo, hi).schema
+    columns = [group, name, *[c for side in sides for c in side]]
+    schema = rows.select(*columns).schema
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(size=pdf[hi] - pdf[lo]).sort_values(["size", name], ascending=[False, True], kind="stable")
-        starts, ends, sizes, chosen = [], [], [], []
-        for i, (a, b, s) in enumerate(zip(pdf[lo], pdf[hi], pdf["size"], strict=True)):
-            common = np.minimum(ends, b) - np.maximum(starts, a) if starts else np.zeros(0)
-            if not len(common) or not (common >= overlap * np.maximum(np.minimum(sizes, s), 1e-12)).any():
-                starts.append(a), ends.append(b), sizes.append(s), chosen.append(i)
-        return pdf.iloc[chosen][[f.name for f in schema]]
-
-    return rows.select(group, name, lo, hi).groupBy(group).applyInPandas(keep, schema)
+        lo = np.array([pdf[a] for a, _ in sides], float)
+        hi = np.array([pdf[b] for _, b in sides], float)
+        area = np.prod(np.maximum(hi - lo, 0.0), axis=0)
+        order = sorted(range(len(pdf)), key=lambda i: (-area[i], str(pdf[name].iloc[i])))
+        chosen: list[int] = []
+        for i in order:
+            common = np.prod(np.maximum(np.minimum(hi[:, chosen], hi[:, [i]]) - np.maximum(lo[:, chosen], lo[:, [i]]), 0.0), axis=0)
+            smaller = np.minimum(area[chosen], area[i])
+            if not ((smaller > 0) & (common >= overlap * smaller)).any():
+                chosen.append(i)
+        return pdf.iloc[chosen][columns]
+
+    return rows.select(*columns).groupBy(group).applyInPandas(keep, schema)
 
 
 def band_join(left: DataFrame, right: DataFrame, key: str, at: str, band: int, per_spot: int) -> DataFrame:

@@ -88,6 +88,12 @@ def predict_polynomial(x: Column, coefficients: np.ndarray) -> Column:
     return out
 
 
+def postprocess_counts(rows: DataFrame, label: str, raw: str, mandatory: list[str]) -> DataFrame:
+    """L3: predicted counts rounded half to even and clipped at 0; mandatory labels occur at least once."""
+    count = F.greatest(F.bround(raw, 0), F.lit(0.0)).cast("int")
+    return rows.withColumn("count", F.when(F.col(label).isin(*mandatory), F.greatest(count, F.lit(1))).otherwise(count))
+
+
 def boosted_trees(rows: DataFrame, features: list[str], label: str, depth: int = 4, trees: int = 20, seed: int = 42):  # noqa: ANN201
     """Boosted trees for a 0/1 label, positives weighted by the ratio of classes (spark.ml)."""
     from pyspark.ml import Pipeline

@@ -95,7 +95,7 @@ def j9_greedy_disjoint(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "flow_units").groupBy("document_id", "image_id").agg(
         F.min(F.datediff("created_at", F.lit("2000-01-01"))).alias("lo"), F.max(F.datediff(F.coalesce("deleted_at", "created_at"), F.lit("2000-01-01")) + 1).alias("hi")
     )
-    return J.greedy_disjoint(rows, "document_id", "image_id", "lo", "hi")
+    return J.greedy_disjoint(rows, "document_id", "image_id", [("lo", "hi")])
 
 
 @query()

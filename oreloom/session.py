@@ -38,6 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Register every Parquet table of a folder as a temporary view for SQL; returns their names."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName().removesuffix(".parquet") for s in fs.listStatus(root) if s.getPath().getName().endswith(".parquet"))
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return names
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use spark.checkpoint.dir where the cluster names one; a scratch folder only where it is unset (tests)."""
     sc = spark.sparkContext

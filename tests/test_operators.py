@@ -94,7 +94,13 @@ def test_nearest_and_asof_match_brute_force(spark):
 
 def test_greedy_overlap(spark):
     df = spark.createDataFrame([("g", "a", 0, 10), ("g", "b", 2, 6), ("g", "c", 9, 14), ("g", "d", 20, 21), ("h", "a", 0, 1)], "g string, n string, lo int, hi int")
-    assert {(r.g, r.n) for r in joins.greedy_disjoint(df, "g", "n", "lo", "hi").collect()} == {("g", "a"), ("g", "c"), ("g", "d"), ("h", "a")}
+    assert {(r.g, r.n) for r in joins.greedy_disjoint(df, "g", "n", [("lo", "hi")]).collect()} == {("g", "a"), ("g", "c"), ("g", "d"), ("h", "a")}
+
+
+def test_greedy_overlap_of_boxes(spark):
+    boxes = [("p", "big", 0, 10, 0, 10), ("p", "inside", 2, 4, 2, 4), ("p", "corner", 9, 13, 9, 13), ("p", "line", 3, 3, 0, 9), ("p", "same", 0, 10, 0, 10)]
+    df = spark.createDataFrame(boxes, "g string, n string, x0 int, x1 int, y0 int, y1 int")
+    assert {r.n for r in joins.greedy_disjoint(df, "g", "n", [("x0", "x1"), ("y0", "y1")]).collect()} == {"big", "corner", "line"}
 
 
 def test_band_join_is_capped_the_same_way(spark):
@@ -210,6 +216,12 @@ def test_polynomial_recovers_coefficients(spark):
     assert learn.polynomial_fit(df, "x", ["y"], 2)["y"] == pytest.approx([2, 3, -0.5], abs=1e-6)
 
 
+def test_counts_are_rounded_clipped_and_mandatory(spark):
+    df = spark.createDataFrame([("mill", -0.4), ("tank", 2.6), ("jig", 0.2), ("crusher", -1.0)], "label string, raw double")
+    got = {r.label: r["count"] for r in learn.postprocess_counts(df, "label", "raw", ["crusher", "mill"]).collect()}
+    assert got == {"mill": 1, "tank": 3, "jig": 0, "crusher": 1}
+
+
 def test_svd_matches_numpy(spark):
     rng = np.random.default_rng(0)
     m = rng.random((30, 5))
@@ -238,6 +250,17 @@ def test_grinding_keeps_mass(spark):
     assert sum(out) == pytest.approx(100) and out[0] < 50 and out[2] > 20
 
 
+def test_views_and_cyclone(spark, sf):
+    from oreloom.session import register_views
+
+    assert "region" in register_views(spark, sf)
+    assert spark.sql("SELECT count(*) AS n FROM region").first().n == 5
+    lit = [F.lit(x) for x in (66.0, 20.0, 25.0, 15.0, 150.0, 5000.0, 30.0)]
+    row = spark.range(1).select(plant.cyclone_pressure(*lit).alias("kpa"), plant.cyclone_cut(*lit).alias("d50")).first()
+    assert row.kpa == pytest.approx(51.27 * 1.88 * 5000**1.78 * np.exp(0.165) / (66**0.37 * 20**0.94 * 150**0.28 * 850**0.87))
+    assert row.d50 == pytest.approx(0.0387 * 50.5 * 66**0.46 * 20**0.6 * 25**1.21 * np.exp(1.89) / (15**0.71 * 150**0.38 * 5000**0.45 * 1.7))
+
+
 def test_bond_inverts(spark):
     wi, f80, p80 = (F.lit(x) for x in (14.0, 10_000.0, 150.0))
     e = plant.bond_energy(wi, f80, p80)
