@@ -71,9 +71,12 @@ def h11_drawn_edges(spark: SparkSession, sf: str) -> DataFrame:
     return G.drawn_edges(_edges(spark, sf))
 
 
-@query()
+@query(
+    "WITH p AS (SELECT q.vec_id AS id, b.vec_id AS neighbor, b.label, round(list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, neighbor) AS k FROM p)"
+    " SELECT id, neighbor, label, round(s, 5) AS distance, round((1 / (s + 1e-6)) / sum(1 / (s + 1e-6)) OVER (PARTITION BY id), 5) AS weight FROM r WHERE k <= 5"
+)
 def h12_vote_trace(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     near = J.knn(v.filter("id % 20 = 0"), v, 5, "euclidean", same=True).select("id", "neighbor", (-F.col("score")).alias("distance"))
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("neighbor"), "label")
-    return G.vote_trace(near, labels).select("id", "neighbor", "label", F.round("distance", 6).alias("distance"), F.round("weight", 6).alias("weight"))
+    return G.vote_trace(near, labels).select("id", "neighbor", "label", F.round("distance", 5).alias("distance"), F.round("weight", 5).alias("weight"))

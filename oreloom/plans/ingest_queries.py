@@ -31,7 +31,10 @@ def s14_prediction_splits(spark: SparkSession, sf: str) -> DataFrame:
     return results.prediction_splits(files).select("doc_id", "split")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT DISTINCT edges, edges::JSON AS j FROM xgb_traces WHERE edges LIKE '{%|%' AND json_valid(edges)), k AS (SELECT edges, j, unnest(json_keys(j)) AS k FROM e WHERE len(list_filter(json_keys(j), lambda x: json_type(j->('$."' || x || '"')) NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE'))) = 0)
+    SELECT DISTINCT split_part(k, '|', 1) AS src, substr(k, instr(k, '|') + 1) AS dst, (j->>('$."' || k || '"'))::DOUBLE AS n FROM k WHERE instr(k, '|') > 1"""
+)
 def s15_key_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return results.key_pairs(table(spark, sf, "xgb_traces").filter("edges LIKE '{%|%'"), "edges").filter("n IS NOT NULL").distinct()
 
@@ -75,7 +78,7 @@ def k6_error_log(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.error_log(errors, [F.col("unit_rid")])
 
 
-@query()
+@query("SELECT document_id, image_id, count(*) AS n_units FROM (SELECT DISTINCT * FROM flow_units) GROUP BY 1, 2")
 def k7_import_nested(spark: SparkSession, sf: str) -> DataFrame:
     """Flowsheets packed into result documents and imported back as rows: units per image."""
     units = table(spark, sf, "flow_units").distinct().select(

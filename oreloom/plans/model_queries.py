@@ -112,7 +112,11 @@ def p_02_sag(spark: SparkSession, sf: str) -> DataFrame:
     return _scenarios(spark, sf).select("id", F.round(P.sag_product(F.col("wi"), F.col("f80"), e), 4).alias("p80"), F.round(P.breakage_t10(F.lit(60.0), F.lit(0.5), e), 6).alias("t10"))
 
 
-@query()
+@query(
+    f"WITH s AS ({_SCEN}), d AS (SELECT id, p80, tph * 5 AS q, 0.0387 * 50.5 * pow(66, 0.46) * pow(20, 0.6) * pow(25, 1.21) * exp(0.063 * 30) / (pow(15, 0.71) * pow(150, 0.38) * pow(tph * 5, 0.45) * 1.7) AS d50,"
+    " 0.1953 * 1.9 * pow(15 / 25.0, 3.31) * pow(150, 0.54) * pow(850, 0.36) * exp(0.0054 * 30) / (pow(10, 0.24) * pow(66, 1.11)) AS sp FROM s), m AS (SELECT *, 0.1762 * 1.94 * exp(-1.58 * (sp / (sp + 1)) * pow(625 / q, 0.15)) AS m FROM d)"
+    " SELECT id, round(d50, 4) AS d50, round(sp, 6) AS split, round(1 - exp(-0.693 * pow(p80 / d50, m)), 6) AS to_underflow FROM m"
+)
 def p_03_cyclone(spark: SparkSession, sf: str) -> DataFrame:
     dc, di, do, du, h, cv = (F.lit(x) for x in (66.0, 20.0, 25.0, 15.0, 150.0, 30.0))
     q = F.col("tph") * 5.0

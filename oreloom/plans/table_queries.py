@@ -24,7 +24,12 @@ def r4_parse_table(spark: SparkSession, sf: str) -> DataFrame:
 _MAP = {"jaw_crusher": "crusher", "crusher": "crusher", "mill": "mill", "thickener": "thickener", "deck": "screen", "cell": "flotation", "drum": None}
 
 
-@query()
+@query(
+    """WITH r AS (SELECT DISTINCT unnest(xgb_stages) AS raw FROM test_predictions), m(k, v) AS (VALUES ('jaw_crusher', 'crusher'), ('crusher', 'crusher'), ('mill', 'mill'), ('thickener', 'thickener'), ('deck', 'screen'), ('cell', 'flotation'), ('drum', NULL)),
+    w AS (SELECT raw, lower(trim(raw)) AS p, list_filter(string_split(lower(trim(raw)), '_'), lambda x: x NOT IN ('copper', 'gold', 'zinc', 'pyrite')) AS ws FROM r WHERE raw IS NOT NULL),
+    c AS (SELECT raw, p, array_to_string(ws, '_') AS j, list_filter(list_reverse(ws), lambda x: x IN ('jaw_crusher', 'crusher', 'mill', 'thickener', 'deck', 'cell', 'drum'))[1] AS l FROM w)
+    SELECT raw, m.v AS stage FROM c LEFT JOIN m ON m.k = CASE WHEN p IN (SELECT k FROM m) THEN p WHEN j IN (SELECT k FROM m) THEN j ELSE l END"""
+)
 def t3_canonical_stage(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "test_predictions").select(F.explode("xgb_stages").alias("raw")).filter("raw IS NOT NULL").distinct()
     return raw.select("raw", S.canonical_stage(F.col("raw"), _MAP, ["copper", "gold", "zinc", "pyrite"]).alias("stage"))

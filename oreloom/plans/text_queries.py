@@ -152,7 +152,10 @@ def f15_audit(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    "SELECT doc_id, length(array_to_string(list_filter(string_split(text, E'\\n'), lambda l: NOT regexp_matches(l, '(?i)\\.{4,}|^\\s*(?:table|figure)\\s+\\d+[-.]\\d+|^\\s*\\d+(?:\\.\\d+)*\\s+\\S|^.{0,80}?\\s\\d{1,3}\\s*$')), E'\\n'))::INT AS n_left"
+    " FROM documents WHERE text IS NOT NULL"
+)
 def f16_contents_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.length(T.strip_contents_lines(F.col("text"))).alias("n_left"))
 
@@ -189,13 +192,22 @@ def f21_safe_filename(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", T.safe_filename(F.col("p_name"), F.col("p_brand")).alias("name"))
 
 
-@query()
+_IDS = (
+    "base AS (SELECT raw, regexp_replace(regexp_replace(regexp_replace(lower(trim(raw)), '_unit$', ''), '_\\d+$', ''), '_[a-b]$', '') AS low FROM raws),"
+    f" words AS (SELECT raw, low, list_filter(string_split(low, '_'), lambda t: t NOT IN ({', '.join(repr(w) for w in T.ID_REMOVABLE)})) AS ws FROM base),"
+    " syn AS (SELECT MAP {" + ", ".join(f"{k!r}: {'NULL' if v is None else repr(v)}" for k, v in T.ID_SYNONYMS.items()) + "} AS m),"
+    " mapped AS (SELECT raw, low, ws, list_filter(list_transform(ws, lambda t: CASE WHEN map_contains(m, t) THEN m[t] ELSE t END), lambda t: t IS NOT NULL) AS ms FROM words, syn),"
+    f" ids AS (SELECT raw, CASE WHEN len(ws) = 0 THEN low WHEN len(ms) = 0 THEN array_to_string(ws, '_') ELSE coalesce(list_filter([{', '.join(repr(g) for g in T.ID_GROUPS)}], lambda g: list_contains(ms, g))[1], array_to_string(ms, '_')) END AS grp FROM mapped)"
+)
+
+
+@query(f'WITH raws AS (SELECT DISTINCT unnest(xgb_stages) AS raw FROM test_predictions), {_IDS} SELECT raw, grp AS "group" FROM ids WHERE raw IS NOT NULL')
 def t1_normalise_id(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "test_predictions").select(F.explode("xgb_stages").alias("raw")).filter("raw IS NOT NULL").distinct()
     return raw.select("raw", T.normalise_id(F.trim("raw")).alias("group"))
 
 
-@query()
+@query(f'WITH {LATEST}, pairs AS (SELECT doc, unnest(ground_truth) AS raw FROM latest), raws AS (SELECT DISTINCT raw FROM pairs WHERE raw IS NOT NULL), {_IDS} SELECT grp AS "group", count(DISTINCT doc) AS n_docs FROM pairs JOIN ids USING (raw) GROUP BY 1')
 def t2_group_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """Stage names of documents mapped to groups (null names are noise), counted."""
     raw = latest_predictions(spark, sf).select("doc", F.explode("ground_truth").alias("raw")).filter("raw IS NOT NULL")
@@ -278,7 +290,10 @@ def t19_label(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type", "p_size").alias("label"))
 
 
-@query()
+@query(
+    "WITH t AS (SELECT DISTINCT table_id, cell_rows FROM extracted_tables), w AS (SELECT table_id, cell_rows, list_max(list_transform(cell_rows, lambda r: len(r))) AS w FROM t)"
+    " SELECT table_id, len(cell_rows)::INT AS n_rows, coalesce(len(list_filter(range(w), lambda i: len(list_filter(cell_rows, lambda r: trim(coalesce(r[i + 1], '')) <> '')) > 0)), 0)::INT AS n_columns FROM w"
+)
 def r3_drop_empty_columns(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "extracted_tables").select("table_id", "cell_rows").distinct()
     kept = T.drop_empty_columns(F.col("cell_rows"))
