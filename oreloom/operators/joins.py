@@ -75,17 +75,22 @@ def greedy_disjoint(rows: DataFrame, group: str, name: str, sides: list[tuple[st
     return rows.select(*columns).groupBy(group).applyInPandas(keep, schema)
 
 
-def band_join(left: DataFrame, right: DataFrame, key: str, at: str, band: int, per_spot: int) -> DataFrame:
-    """Pairs of the same key with |left.at - right.at| <= band. The cap is the feature: of the right rows of one
-    (key, at) the per_spot first by hash of ``right_id`` take part, the same at every run. Needs left_id and right_id.
+def band_join(left: DataFrame, right: DataFrame, key: str, at: str, band: int, per_key: int | None = None) -> DataFrame:
+    """All pairs of the same key with |left.at - right.at| <= band. Needs left_id and right_id.
+
+    A hot key is spread over its buckets of width band + 1. per_key: if given, of the found pairs of a key the first so
+    many by hash are kept, the same at every run (the reference samples 5000 a document); by default none is dropped.
     """
-    pick = F.row_number().over(Window.partitionBy(key, at).orderBy(F.xxhash64("right_id"), "right_id"))
-    few = right.select(key, F.col(at).alias("__at"), "right_id", pick.alias("__rn")).filter(F.col("__rn") <= per_spot)
     width = band + 1
     here = F.floor(F.col(at) / width)
     spread = left.select(key, at, "left_id", F.explode(F.array(here - 1, here, here + 1)).alias("__bucket"))
-    joined = spread.join(few.withColumn("__bucket", F.floor(F.col("__at") / width)), [key, "__bucket"])
-    return joined.filter(F.abs(F.col(at) - F.col("__at")) <= band).select(key, "left_id", "right_id", (F.col("__at") - F.col(at)).alias("gap"))
+    marks = right.select(key, F.col(at).alias("__at"), "right_id", F.floor(F.col(at) / width).alias("__bucket"))
+    near = spread.join(marks, [key, "__bucket"]).filter(F.abs(F.col(at) - F.col("__at")) <= band)
+    pairs = near.select(key, "left_id", "right_id", (F.col("__at") - F.col(at)).alias("gap"))
+    if per_key is None:
+        return pairs
+    pick = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("left_id", "right_id"), "left_id", "right_id", "gap"))
+    return pairs.withColumn("__rn", pick).filter(F.col("__rn") <= per_key).drop("__rn")
 
 
 def cosine(a: Column, b: Column) -> Column:

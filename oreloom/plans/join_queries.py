@@ -102,7 +102,7 @@ def j9_greedy_disjoint(spark: SparkSession, sf: str) -> DataFrame:
 def j10_band(spark: SparkSession, sf: str) -> DataFrame:
     left = table(spark, sf, "extracted_tables").filter("page_number IS NOT NULL").select(F.col("document_id").alias("report_id"), "page_number", F.col("table_id").alias("left_id")).distinct()
     right = table(spark, sf, "documents").filter("length(text) >= 20 AND page_number IS NOT NULL").select("report_id", "page_number", F.col("doc_id").alias("right_id"))
-    return J.band_join(left, right, "report_id", "page_number", 5, 3)
+    return J.band_join(left, right, "report_id", "page_number", 5)
 
 
 _SEGMENTS = "v AS (SELECT c_nationkey AS n, c_mktsegment AS seg, o_orderpriority AS p, count(*)::DOUBLE AS x FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3)"

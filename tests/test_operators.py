@@ -111,6 +111,15 @@ def test_band_join_is_capped_the_same_way(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, joins.band_join(left, right, "k", "p", 5, 4).collect()))
 
 
+def test_band_join_keeps_all_pairs_of_a_hot_key(spark):
+    rnd = random.Random(5)
+    left = [("hot", rnd.randint(1, 40), f"t{i}") for i in range(30)] + [("d", 5, "t"), ("none", 5, "t")]
+    right = [("hot", rnd.randint(1, 40), i) for i in range(600)] + [("d", 10, 1000), ("d", 11, 1001)]
+    got = joins.band_join(spark.createDataFrame(left, "k string, p int, left_id string"), spark.createDataFrame(right, "k string, p int, right_id int"), "k", "p", 5)
+    want = [(k, x, y, q - p) for k, p, x in left for j, q, y in right if k == j and abs(p - q) <= 5]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
 def test_knn_blocks_match_brute_force(spark, metric):
     rng = np.random.default_rng(3)
