@@ -163,12 +163,29 @@ def ordered_pairs(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 def negative_partner(rows: DataFrame, doc: str, row_id: str, buckets: int) -> DataFrame:
     """A partner row of a different document for each row, the same at every run: the next one by hash inside a
-    bucket of rows. Rows without such a next row have none.
+    bucket of rows that is of another document, wrapping round the bucket. A row of a bucket with one document only gets
+    a row of the next bucket that has another. Rows without a document count as one document; row_id is not null. Only
+    where all rows are of one document has a row no partner, and is left out.
     """
-    order = Window.partitionBy("__bucket").orderBy("__h", row_id)
     hashed = rows.select(doc, row_id, F.pmod(F.xxhash64(row_id), F.lit(buckets)).alias("__bucket"), F.xxhash64(row_id, F.lit(7)).alias("__h"))
-    nxt = hashed.withColumn("partner", F.lead(row_id).over(order)).withColumn("partner_doc", F.lead(doc).over(order))
-    return nxt.filter(F.col("partner").isNotNull() & ~F.col("partner_doc").eqNullSafe(F.col(doc))).select(doc, row_id, "partner", "partner_doc")
+    me = F.struct("__h", F.col(row_id).alias("id"), F.col(doc).alias("doc"))
+    back = Window.partitionBy("__bucket").orderBy(F.desc("__h"), F.desc(row_id), F.desc(doc))  # backwards, so that what follows is a growing frame
+    whole = Window.partitionBy("__bucket")
+    before = F.lead(me).over(back)
+    runs = hashed.withColumn("__start", F.when(before.isNotNull() & ~before["doc"].eqNullSafe(F.col(doc)), me))
+    ahead = runs.withColumn("__next", F.last("__start", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    ahead = ahead.withColumn("__first", F.min(me).over(whole)).withColumn("__second", F.min("__start").over(whole))
+    round_ = F.when(~F.col("__first.doc").eqNullSafe(F.col(doc)), F.col("__first")).otherwise(F.col("__second"))
+    own = ahead.select(doc, row_id, "__bucket", F.coalesce("__next", round_).alias("__partner"))
+    # One row per bucket: its first row, and its first row of another document.
+    ends = runs.groupBy("__bucket").agg(F.min(me).alias("__first"), F.min("__start").alias("__second"))
+    lone = ends.filter("__second IS NULL").select(F.col("__bucket").alias("__lone"), F.col("__first.doc").alias("__doc"))
+    other = F.when(~F.col("__first.doc").eqNullSafe(F.col("__doc")), F.col("__first")).otherwise(F.col("__second"))
+    far = lone.join(F.broadcast(ends)).select("__lone", F.pmod(F.col("__bucket") - F.col("__lone"), F.lit(buckets)).alias("__far"), other.alias("__other")).filter("__other IS NOT NULL")
+    far = far.groupBy(F.col("__lone").alias("__bucket")).agg(F.min_by("__other", "__far").alias("__other"))
+    partner = F.coalesce("__partner", "__other")
+    found = own.join(F.broadcast(far), "__bucket", "left").withColumn("__partner", partner).filter("__partner IS NOT NULL")
+    return found.select(doc, row_id, F.col("__partner.id").alias("partner"), F.col("__partner.doc").alias("partner_doc"))
 
 
 def nearest_number(rows: DataFrame, targets: list[float], value: str, name: str, preferred: Column, window: float) -> DataFrame:

@@ -148,6 +148,16 @@ def test_negative_partner_is_of_another_document(spark):
     assert rows and all(r.doc != r.partner_doc for r in rows)
 
 
+@pytest.mark.parametrize("buckets", [1, 4, 500])
+def test_negative_partner_for_every_row(spark, buckets):
+    docs = {i: "hot" if i % 10 < 7 else None if i % 10 == 7 else f"d{i % 23}" for i in range(200)}
+    df = spark.createDataFrame([(d, i) for i, d in docs.items()], "doc string, id int")
+    rows = joins.negative_partner(df, "doc", "id", buckets).collect()
+    assert sorted(r.id for r in rows) == sorted(docs)
+    assert all(r.doc == docs[r.id] and r.partner_doc == docs[r.partner] and r.doc != r.partner_doc for r in rows)
+    assert joins.negative_partner(df.filter("doc = 'hot'"), "doc", "id", buckets).count() == 0
+
+
 # --- evaluation and corpus -----------------------------------------------------------------------------------------------
 
 
