@@ -247,6 +247,23 @@ def test_pages(text, spam):
     assert (pages.other_share(text) > pages.MAX_OTHER) == spam
 
 
+KEYWORDS = ["насос мельница грохот дробилка", "αντλία μύλος κόσκινο σπαστήρας", "مضخة مطحنة غربال كسارة", "球磨机 配件 水泵 价格", "ポンプ 部品 価格 通販", "球磨机配件水泵价格", "ポンプ部品価格通販"]
+SENTENCES = [
+    "На участке {} содержание меди составило 4.11 % при крупности 334 мкм. ", "Το εργοστάσιο {} λειτουργεί από το 2011. ", "بلغت نسبة الاسترداد 79.8٪ في موقع {}. ",
+    "{}选矿厂的回收率为95.53%，处理量为1325吨每小时。 ", "{}の浮選槽の回収率は90.5%で、2016年に更新された。 ",
+]
+
+
+@pytest.mark.parametrize("joint", [" ", "\n"])
+def test_stuffed_pages_in_every_script(joint):
+    for words in KEYWORDS:
+        text = joint.join([words] * 200) if " " in words else words * 200
+        assert pages.other_share(text) > pages.MAX_OTHER, words
+    for sentence in SENTENCES:
+        text = joint.join(sentence.format(name) for name in "Beldbruk Lomovale Miradal Toskdal Nevazo Irrmere Kolmepuro Oradal".split() * 3)
+        assert pages.other_share(text) == 0.0, sentence
+
+
 def test_pages_end_to_end(spark):
     rows = [(1, PROSE * 5, "x"), (2, "cheap pump; " * 60, "x"), (2, "cheap pump; " * 60, "x"), (3, None, "x"), (4, "pump " * 50_000, "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, other_share string")
