@@ -82,9 +82,12 @@ _SWEEP = (
 )
 
 
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores(spark, sf).join(truth(spark, sf).withColumn("y", F.lit(1)), ["doc", "item"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+
+
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
-    scored = _scores(spark, sf).join(truth(spark, sf).withColumn("y", F.lit(1)), ["doc", "item"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
-    return E.threshold_sweep(scored, "item", "p", "y")
+    return E.threshold_sweep(_scored(spark, sf), "item", "p", "y")
 
 
 @query(_SWEEP + " SELECT item, threshold, round(f, 6) AS f_beta FROM sweep")
@@ -92,6 +95,11 @@ def l8_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return _sweep(spark, sf).select("item", "threshold", _R("f_beta"))
 
 
+@query()
+def l8_tuned_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return E.tuned_threshold(_scored(spark, sf), "item", "p", "y").select("item", "threshold", _R("f_beta"))
+
+
 @query(_SWEEP + ", r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY round(f, 12) DESC, threshold) AS rn FROM sweep) SELECT item, threshold, round(f, 6) AS f_beta FROM r WHERE rn = 1")
 def w14_best_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return E.best_threshold(_sweep(spark, sf), "item").select("item", "threshold", _R("f_beta"))

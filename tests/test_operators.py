@@ -158,6 +158,23 @@ def test_negative_partner_for_every_row(spark, buckets):
     assert joins.negative_partner(df.filter("doc = 'hot'"), "doc", "id", buckets).count() == 0
 
 
+@pytest.mark.parametrize("positives", [12, 60])
+def test_tuned_threshold_matches_brute_force(spark, positives):
+    rnd = random.Random(positives)
+    rows = [("x", rnd.randint(200, 999) / 1000 + 0.0005, 1) for _ in range(positives)] + [("x", rnd.randint(0, 700) / 1000 + 0.0005, 0) for _ in range(90)] + [("none", 0.7005, 0)]
+    b2 = 2.25 if positives < 25 else 1.0
+
+    def score(t):
+        passed = [y for k, p, y in rows if k == "x" and p >= t / 100]
+        return round((1 + b2) * sum(passed) / (b2 * positives + len(passed)), 12)
+
+    best = max(range(15, 86, 5), key=lambda t: (score(t), -t))
+    best = max(range(best - 5, best + 6), key=lambda t: (score(t), t == best, -t))
+    got = {r.k: r for r in evaluate.tuned_threshold(spark.createDataFrame(rows, "k string, p double, y int"), "k", "p", "y").collect()}
+    assert round(got["x"].threshold * 100) == best and got["x"].f_beta == pytest.approx(score(best))
+    assert got["none"].threshold == 0.5 and got["none"].f_beta == 0
+
+
 # --- evaluation and corpus -----------------------------------------------------------------------------------------------
 
 
