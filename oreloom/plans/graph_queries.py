@@ -42,7 +42,7 @@ def h7_back_edges(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def h8_pathways(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus graph has as many rows as pairs of stage names (bounded by the vocabulary); only it is collected."""
-    weighted = C.transition_counts(_edges(spark, sf), self_loops=False).orderBy(F.desc("n"), "src", "dst").limit(5000).toPandas()
+    weighted = C.transition_counts(_edges(spark, sf), self_loops=False).orderBy(F.desc("n"), "src", "dst").toPandas()
     rows = [(i, p) for i, p in enumerate(G.pathways(weighted))]
     return spark.createDataFrame(rows, "rank int, path array<string>")
 

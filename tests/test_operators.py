@@ -233,6 +233,15 @@ def test_reachability_back_edges_and_drawing(spark):
     assert ("x", "x", False) not in drawn and ("a", "p", True) in drawn and ("a", "x", True) in drawn
 
 
+def test_pathways_of_a_large_vocabulary(spark, monkeypatch):
+    from oreloom.plans import graph_queries
+
+    names = [f"n{i:02}" for i in range(75)]  # 5550 edges
+    edges = spark.createDataFrame([("d", a, b) for a in names for b in names if a != b], "doc string, src string, dst string")
+    monkeypatch.setattr(graph_queries, "_edges", lambda spark, sf: edges)
+    assert {r["rank"]: r.path for r in graph_queries.h8_pathways(spark, "").collect()}[0] == names
+
+
 def test_pathways():
     got = graphs.pathways(pd.DataFrame({"src": ["a", "b", "c", "a"], "dst": ["b", "c", "a", "d"], "n": [50, 40, 1, 2]}))
     assert got[0] == ["a", "b", "c"]
