@@ -219,9 +219,15 @@ def t6_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.size(T.paragraphs(F.col("text"))).alias("n"))
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(lower(text), 'ball[_ ]mill'))::INT AS ball_mill, len(regexp_extract_all(lower(text), 'flotation'))::INT AS flotation FROM {_DOCS}")
+_DOMAIN = ", ".join(f"('{g}', '{k}')" for g, ks in T.DOMAIN_KEYWORDS.items() for k in ks)
+
+
+@query(
+    f"SELECT doc_id, grp, keyword, len(regexp_extract_all(lower(text), replace(keyword, '_', '[_ ]')))::INT AS n FROM {_DOCS}, (VALUES {_DOMAIN}) AS k(grp, keyword) "
+    "WHERE regexp_matches(lower(text), replace(keyword, '_', '[_ ]'))"
+)
 def t7_keyword_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", *[T.keyword_count(F.col("text"), k).alias(k) for k in ("ball_mill", "flotation")])
+    return _docs(spark, sf).select("doc_id", F.inline(T.domain_counts(F.col("text"))))
 
 
 @query("SELECT DISTINCT table_id, trim(coalesce(caption, '') || ' | ' || coalesce(array_to_string(headers, ' '), '') || ' | ' || coalesce(array_to_string(flatten(cell_rows[1:5]), ' '), '')) AS s FROM extracted_tables")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -49,14 +51,31 @@ def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir where the cluster names one; a scratch folder only where it is unset (tests)."""
+    """Use spark.checkpoint.dir where the session names one. Where it is unset, a local master gets a scratch folder of this
+    machine, which is all the cluster there is; any other master is refused, since executors would not share the folder.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="oreloom-checkpoint-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="oreloom-checkpoint-"))
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def release(*done: DataFrame | None) -> None:
+    """Delete the files of checkpoints that cut() made and nothing reads any more; other DataFrames are left alone."""
+    for df in done:
+        plan = df._jdf.queryExecution().logical() if df is not None else None
+        if plan is None or plan.getClass().getSimpleName() != "LogicalRDD":
+            continue
+        at = plan.rdd().getCheckpointFile()
+        if at.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
