@@ -92,11 +92,12 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, sf))
 
 
-def _hierarchies(spark: SparkSession, sf: str) -> DataFrame:
+def _hierarchies(spark: SparkSession, sf: str, steps: bool = False) -> DataFrame:
     return hierarchy.hierarchies(
         table(spark, sf, "flow_connections").select(
             F.col("image_id").alias("g"), norm_key(F.col("parent_id")).alias("parent"), norm_key(F.col("child_id")).alias("child")
-        )
+        ),
+        steps=steps,
     )
 
 
@@ -105,7 +106,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.descendants(_hierarchies(spark, sf)).withColumnRenamed("g", "image_id")
+    return hierarchy.descendants(_hierarchies(spark, sf, steps=True)).withColumnRenamed("g", "image_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_stages, p1_sections, p1_evidence, p1_edges, p3_found, p4_found, p4_report, p5_found, p5_descendants)}

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,5 +230,31 @@ def test_hierarchies_empty_and_without_group(spark):
 
 
 def test_descendants(spark):
-    df = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c")], "g string, parent string, child string")
-    assert {tuple(r) for r in hierarchy.descendants(hierarchy.hierarchies(df)).collect()} == {("g", "a", "b"), ("g", "a", "c"), ("g", "b", "c")}
+    df = spark.createDataFrame([("g", "a>1", "b"), ("g", "b", "c")], "g string, parent string, child string")
+    for rows in (0, 10):
+        known = hierarchy.hierarchies(df, rows, steps=True)
+        assert {tuple(r) for r in hierarchy.descendants(known).collect()} == {("g", "a>1", "b"), ("g", "a>1", "c"), ("g", "b", "c")}
+
+
+def test_contraction_takes_steps_and_few_of_them():
+    n = 50_000
+    chain = hierarchy.Contraction(np.arange(n) - 1, np.ones(n, np.int64), np.arange(n), np.arange(n), np.ones(n, np.int64))
+    chain.run()
+    assert 10 < len(chain.steps) < 150  # grows with the logarithm of the depth
+    assert (chain.depth == np.arange(n)).all() and (chain.total == n - np.arange(n)).all() and (chain.root == 0).all()
+    offsets, flat = chain.paths(np.array([4, 0, 2]))
+    assert offsets.tolist() == [0, 5, 6, 9] and flat.tolist() == [0, 1, 2, 3, 4, 0, 0, 1, 2]
+
+
+def test_hierarchies_stream_many_groups_and_spell_deep_paths(spark, monkeypatch):
+    links = [(f"g{i % 97:02d}", f"n{j}", f"n{j + 1}") for i in range(97) for j in range(i % 13 + 1)]
+    df = spark.createDataFrame(links, "g string, parent string, child string")
+    monkeypatch.setattr(hierarchy, "PATH_BLOCK", 50)
+    for rows in (20, 5):  # several chunks of whole groups per task; some groups across parts
+        assert {tuple(r) for r in hierarchy.hierarchies(df, rows).collect()} == brute_tree(links)
+
+
+def test_a_table_twice_gives_the_same_hierarchies(spark, sf):
+    once = spark.read.parquet(f"{sf}/flow_connections.parquet").selectExpr("image_id as g", "lower(trim(parent_id)) as parent", "lower(trim(child_id)) as child")
+    rows = [{tuple(r) for r in hierarchy.hierarchies(df, part).collect()} for df, part in ((once, 50_000), (once.union(once), 50_000), (once, 60))]
+    assert rows[0] == rows[1] == rows[2]
