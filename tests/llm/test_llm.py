@@ -82,8 +82,9 @@ def test_automaton_matches_brute_force():
             i = rnd.randrange(len(w) + 1)
             w[i : i + rnd.randint(0, 1)] = rnd.choice(["", "a", "b", "d"])
         w = "".join(w)
-        want = sorted((damerau(w, x), -len(x), i) for i, x in enumerate(words) if damerau(w, x) <= canonical.allowed(len(x)))
-        assert trie.within(w) == want
+        reach = [(damerau(w, x), -len(x), i) for i, x in enumerate(words) if damerau(w, x) <= canonical.allowed(len(x)) and (damerau(w, x) <= 1 or w[:1] == x[0])]
+        assert trie.within(w) == sorted(reach)
+        assert trie.nearest(w) == min(reach, default=None)
 
 
 @pytest.mark.parametrize(
@@ -95,7 +96,19 @@ def test_automaton_matches_brute_force():
     ],
 )
 def test_free_entries(text, canon):
-    assert canonical.Trie(ENTRIES).match(text)[1] == canon
+    match = canonical.Trie(ENTRIES).match(text)
+    assert (match[3] if match else 0) == canon
+
+
+def test_a_long_list_is_searched_in_blocks_and_other_rows_do_not_matter(spark, monkeypatch):
+    texts = ["jaw crsher", "chan. de quij.", "bal mills", "gat house", "gatehouse", "baghuose", "rod, mill", "bll mil", "jw crshr"]
+    vocab = spark.createDataFrame([(i, n, [m]) for i, (c, n) in enumerate(ENTRIES, 1) for m in [n.upper()]], "canon_id int, canon_name string, alt_names array<string>")
+    units = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "unit_rid bigint, unit_type string, label string")
+    more = units.union(spark.createDataFrame([(100 + i, t, None) for i, t in enumerate(["gate house", "bat house", "raw mill"] * 50)], units.schema))
+    once = {tuple(r) for r in canonical.canonical_units(units, vocab).collect()}
+    monkeypatch.setattr(canonical, "TRIE_ENTRIES", 3)
+    monkeypatch.setattr(canonical.entry_blocks, "__defaults__", (3,))
+    assert {tuple(r) for r in canonical.canonical_units(more, vocab).collect() if r.unit_rid < 100} == once
 
 
 def test_units_end_to_end(spark):
