@@ -24,6 +24,11 @@ def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("list_name", F.col("a").alias("stage_a"), F.col("b").alias("stage_b"), "n_a", "n_b", "n_ab", "n", F.round("lift", 6).alias("lift"))
 
 
+def p2_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """How many records of each list are split, and into how many blocks of chunk pairs."""
+    return cooccur.blocked_baskets(cooccur.stage_baskets(table(spark, sf, "test_predictions")))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_units(table(spark, sf, "flow_units"), table(spark, sf, "unit_vocab"))
 
@@ -58,10 +63,10 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_scores, p6_found, p6_unmatched, p6_candidates, p7_ids, p8_pack, p8_fill, p9_found, p9_shares)}
+    return {f.__name__: f for f in (p2_found, p2_scores, p2_blocks, p6_found, p6_unmatched, p6_candidates, p7_ids, p8_pack, p8_fill, p9_found, p9_shares)}
 
 
-_P2 = """
+_P2_NAMES = """
 WITH latest AS (
   SELECT doc_id, ground_truth, xgb_stages FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY produced_at DESC NULLS LAST, ground_truth DESC, xgb_stages DESC) AS rn
@@ -70,7 +75,11 @@ names AS (
   SELECT DISTINCT doc_id, 'ground_truth' AS list_name, nullif(lower(trim(s, E' \\t\\n\\r')), '') AS item FROM latest, unnest(ground_truth) AS u(s)
   UNION
   SELECT DISTINCT doc_id, 'xgb_stages', nullif(lower(trim(s, E' \\t\\n\\r')), '') FROM latest, unnest(xgb_stages) AS u(s)),
-kept AS (SELECT * FROM names WHERE item IS NOT NULL),
+kept AS (SELECT * FROM names WHERE item IS NOT NULL)
+"""
+_P2 = (
+    _P2_NAMES
+    + """,
 total AS (SELECT list_name, count(DISTINCT doc_id) AS n FROM kept GROUP BY 1),
 single AS (SELECT list_name, item, count(*) AS n FROM kept GROUP BY 1, 2),
 pairs AS (
@@ -82,10 +91,20 @@ JOIN single sa ON sa.list_name = p.list_name AND sa.item = p.a
 JOIN single sb ON sb.list_name = p.list_name AND sb.item = p.b
 WHERE p.n_ab >= 5 AND p.n_ab * t.n >= 3 * sa.n * sb.n
 """
+)
+_P2_BLOCKS = (
+    _P2_NAMES
+    + """,
+sized AS (SELECT list_name, doc_id, count(*) AS m FROM kept GROUP BY 1, 2),
+split AS (SELECT list_name, ceil(m / least(greatest(sqrt(m), 8.0), 256.0))::BIGINT AS k FROM sized)
+SELECT list_name, count(*) AS n_baskets, count(*) FILTER (k > 1) AS n_large, coalesce(sum(k * (k + 1) // 2) FILTER (k > 1), 0)::BIGINT AS n_blocks FROM split GROUP BY 1
+"""
+)
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_blocks": _P2_BLOCKS,
         "p2_found": _P2.format(extra=""),
         "p2_scores": _P2.format(
             extra=", sa.n AS n_a, sb.n AS n_b, p.n_ab, t.n, round(p.n_ab::DOUBLE * t.n / (sa.n::DOUBLE * sb.n), 6) AS lift"

@@ -31,7 +31,7 @@ def brute_pairs(baskets, min_support, min_lift):
     return out
 
 
-@pytest.mark.parametrize("chunk", [2, 7, 128])
+@pytest.mark.parametrize("chunk", [2, 7, 8, 128])
 def test_pairs_match_brute_force(spark, chunk):
     rnd = random.Random(chunk)
     baskets = []
@@ -57,6 +57,15 @@ def test_baskets_take_the_latest_row_and_clean_names(spark):
     assert cooccur.cooccurrences(cooccur.stage_baskets(df.limit(0))).count() == 0
 
 
+def test_planted_records_go_through_blocks(spark, sf):
+    from oreloom.session import table
+
+    counts = cooccur.blocked_baskets(cooccur.stage_baskets(table(spark, sf, "test_predictions"))).collect()
+    assert all(r.n_large > 0 and r.n_blocks >= 3 * r.n_large for r in counts)
+    items = spark.createDataFrame([("x", 7, 3, i, [f"{i}a", f"{i}b"]) for i in range(3)], "list_name string, basket bigint, chunks int, i int, items array<string>")
+    assert sorted((r.lo, r.hi) for r in cooccur.large_blocks(items).collect()) == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+
+
 # --- canonical list ----------------------------------------------------------------------------------------------------
 
 ENTRIES = [(1, "jaw crusher"), (1, "chancadora de quijadas"), (2, "ball mill"), (3, "rod mill"), (4, "jig"), (5, "dust collector"), (5, "baghouse"), (6, "flocculant dosing skid"), (7, "air blower"), (7, "gebläse")]
