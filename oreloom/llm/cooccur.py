@@ -1,7 +1,7 @@
 """Items that appear together far more often than chance (problem 2).
 
-Ordinary baskets give their pairs directly. A large basket is split into item chunks by hash; every pair of its chunks,
-and every chunk with itself, is a block of its own, and blocks are spread over tasks and counted together with the
+Ordinary baskets give their pairs directly. A large basket is split into item chunks by hash; every chunk with itself
+and every pair of its chunks is a block of its own, and blocks are spread over tasks and counted together with the
 ordinary pairs. Items that cannot belong to any qualifying pair leave before pairs are formed, which changes no result.
 """
 
@@ -62,10 +62,11 @@ def _pairs_between(blocks: DataFrame) -> DataFrame:
 
 
 def large_blocks(chunks: DataFrame) -> DataFrame:
-    """Blocks (list_name, basket, lo, hi, l, r) of large baskets from their chunks (list_name, basket, chunks, i, items): every
-    chunk goes to the blocks of all pairs (lo <= hi) that it takes part in, each a group of its own.
+    """Blocks (list_name, basket, lo, hi, l, r) of two chunks of large baskets (list_name, basket, chunks, i, items): every
+    chunk goes to the blocks of all pairs (lo < hi) that it takes part in, each a group of its own.
     """
     to = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))
+    to = F.filter(to, lambda b: b["lo"] < b["hi"])
     spread = chunks.select("list_name", "basket", "i", "items", F.inline(to))
     side = lambda end: F.max(F.when(F.col("i") == F.col(end), F.col("items")))
     return spread.groupBy("list_name", "basket", "lo", "hi").agg(side("lo").alias("l"), side("hi").alias("r")).filter("l IS NOT NULL AND r IS NOT NULL")
@@ -85,13 +86,11 @@ def cooccurrences(baskets: DataFrame, min_support: int = MIN_SUPPORT, min_lift:
     spot = F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int")
     items = (
         rows.join(able.select("list_name", "item"), ["list_name", "item"], "left_semi")
-        .groupBy("list_name", "basket", "chunks", spot.alias("i"))
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
+        .groupBy("list_name", "basket", spot.alias("i"))
+        .agg(F.max("chunks").alias("chunks"), F.array_sort(F.collect_list("item")).alias("items"))
     )
-    ordinary = _pairs_within(items.filter("chunks = 1"))
-    blocks = large_blocks(items.filter("chunks > 1"))
-    same = _pairs_within(blocks.filter("lo = hi").select("list_name", F.col("l").alias("items")))
-    pairs = ordinary.unionByName(same).unionByName(_pairs_between(blocks.filter("lo < hi")))
+    # An ordinary basket is one chunk; a chunk with itself is a block that is already where it belongs.
+    pairs = _pairs_within(items).unionByName(_pairs_between(large_blocks(items.filter("chunks > 1"))))
     pairs = pairs.groupBy("list_name", "a", "b").agg(F.count("*").alias("n_ab")).filter(F.col("n_ab") >= min_support)
     of = lambda side, *more: able.select("list_name", F.col("item").alias(side), F.col("n_item").alias(f"n_{side}"), *more)
     scored = pairs.join(of("a", "n"), ["list_name", "a"]).join(of("b"), ["list_name", "b"])

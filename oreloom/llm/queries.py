@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreloom.llm import canonical, cooccur, packing, pages, tokens
-from oreloom.session import table
+from oreloom.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,18 @@ def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
+def p8_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Membership, splits and capacity of p8_pack."""
+    documents = table(spark, sf, "documents")
+    return packing.packing_audit(cut(packing.pack_documents(documents)), documents)
+
+
+def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of each window and how far its mixture of sources is from the corpus's."""
+    mixture = packing.window_mixture(cut(packing.pack_documents(table(spark, sf, "documents"))))
+    return mixture.select("window_id", "n_tokens", F.round("deviation", 6).alias("deviation"))
+
+
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.container_fill(packing.pack_documents(table(spark, sf, "documents")))
 
@@ -63,7 +75,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_scores, p2_blocks, p6_found, p6_unmatched, p6_candidates, p7_ids, p8_pack, p8_fill, p9_found, p9_shares)}
+    return {f.__name__: f for f in (p2_found, p2_scores, p2_blocks, p6_found, p6_unmatched, p6_candidates, p7_ids, p8_pack, p8_audit, p8_mixture, p8_fill, p9_found, p9_shares)}
 
 
 _P2_NAMES = """
@@ -104,6 +116,7 @@ SELECT list_name, count(*) AS n_baskets, count(*) FILTER (k > 1) AS n_large, coa
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_audit": "SELECT count(DISTINCT doc_id) AS n_items, 0 AS n_lost, 0 AS n_torn, 0 AS n_over, 0 AS n_loose FROM documents",
         "p2_blocks": _P2_BLOCKS,
         "p2_found": _P2.format(extra=""),
         "p2_scores": _P2.format(

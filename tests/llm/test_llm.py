@@ -63,7 +63,7 @@ def test_planted_records_go_through_blocks(spark, sf):
     counts = cooccur.blocked_baskets(cooccur.stage_baskets(table(spark, sf, "test_predictions"))).collect()
     assert all(r.n_large > 0 and r.n_blocks >= 3 * r.n_large for r in counts)
     items = spark.createDataFrame([("x", 7, 3, i, [f"{i}a", f"{i}b"]) for i in range(3)], "list_name string, basket bigint, chunks int, i int, items array<string>")
-    assert sorted((r.lo, r.hi) for r in cooccur.large_blocks(items).collect()) == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+    assert sorted((r.lo, r.hi) for r in cooccur.large_blocks(items).collect()) == [(0, 1), (0, 2), (1, 2)]
 
 
 # --- canonical list ----------------------------------------------------------------------------------------------------
@@ -230,7 +230,7 @@ def test_mixture_follows_the_targets():
     n = 4000
     rows = packing.pack_bucket(list(range(n)), [64] * n, ["a" if i % 4 else "b" for i in range(n)], {}, {"a": 0.75, "b": 0.25}, 2048, 2048 * 8)
     by = defaultdict(Counter)
-    for _, _, container, _, size, source in rows:
+    for _, _, container, _, _, size, source in rows:
         by[container // 8][source] += size
     for window in list(by)[:-1]:
         assert abs(by[window]["b"] / sum(by[window].values()) - 0.25) < 0.02
@@ -238,10 +238,45 @@ def test_mixture_follows_the_targets():
 
 def test_a_carried_deficit_is_paid_first():
     rows = packing.pack_bucket(list(range(200)), [100] * 200, ["a", "b"] * 100, {"b": 3000.0}, {"a": 0.5, "b": 0.5}, 2048, 2048)
-    first = Counter(r[5] for r in rows[:50])
+    first = Counter(r[6] for r in rows[:50])
     assert first["b"] > first["a"]
 
 
+def test_given_targets_hold_until_a_source_is_drained(spark):
+    rnd = random.Random(3)
+    sizes = [(i, "abc"[i % 3], rnd.randint(1, 300)) for i in range(3000)]
+    df = spark.createDataFrame(sizes, "doc_id bigint, source string, n_tokens int")
+    targets = {"a": 3.0, "b": 1.0}
+    rows = packing.pack_items(df, window_containers=8, targets=targets).collect()
+    check_packing(rows, sizes, 2048)
+    by = defaultdict(Counter)
+    for r in rows:
+        by[r.window_id][r.source] += r.n_tokens
+    both = [by[w] for w in sorted(by) if by[w]["a"] and not by[w]["c"]]
+    assert len(both) > 8
+    for mix in both[:-1]:
+        assert abs(mix["a"] / sum(mix.values()) - 0.75) < 0.06
+    want = {w: max(abs(m[s] / sum(m.values()) - t) for s, t in (("a", 0.75), ("b", 0.25), ("c", 0.0))) for w, m in by.items()}
+    got = {r.window_id: r.deviation for r in packing.window_mixture(spark.createDataFrame(rows), targets).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_items_without_tokens_are_spread_over_buckets(spark):
+    df = spark.range(1000).selectExpr("id AS doc_id", "'a' AS source", "CAST(NULL AS INT) AS n_tokens")
+    rows = packing.pack_items(df, bucket_items=100).collect()
+    assert len(rows) == 1000 and len({r.container_id >> 32 for r in rows}) == 10
+
+
+def test_audit_sees_what_is_wrong(spark):
+    docs = spark.createDataFrame([(i,) for i in range(5)], "doc_id bigint")
+    cols = "doc_id bigint, piece int, container_id bigint, window_id bigint, token_from bigint, n_tokens int, source string"
+    good = [(0, 0, 0, 0, 0, 5, "a"), (1, 0, 0, 0, 0, 3, "a"), (2, 0, 1, 0, 0, 8, "a"), (2, 1, 0, 0, 8, 0, "a"), (3, 0, 2, 0, 0, 0, "a"), (4, 0, 2, 0, 0, 8, "a")]
+    row = tuple(packing.packing_audit(spark.createDataFrame(good, cols), docs, 8).first())
+    assert row == (5, 0, 1, 0, 0)  # item 2 has a piece more than it needs
+    bad = [*good[:2], (2, 0, 0, 1, 0, 8, "a"), (3, 0, 2, 0, 0, 0, "a"), (9, 0, 2, 0, 0, 8, "a")]
+    assert tuple(packing.packing_audit(spark.createDataFrame(bad, cols), docs, 8).first()) == (5, 2, 0, 1, 1)
+
+
 # --- pages ----------------------------------------------------------------------------------------------------------------
 
 PROSE = "The operator reported that the mill was stopped for two days because the liners had to be replaced. "
