@@ -328,6 +328,22 @@ def test_pages_end_to_end(spark):
     assert pages.spam_pages(df.limit(0)).count() == 0
 
 
+def test_weights_are_fitted_on_a_bounded_sample_in_any_language(spark):
+    rnd = random.Random(4)
+    wares, verbs = [f"ware{c}" for c in "abcdefghijklmnop"], [f"verbo{c}" for c in "abcdefghijklmnop"]
+    prose = [" ".join(f"li {rnd.choice(verbs)} da {rnd.choice(verbs)} mu {rnd.choice(verbs)} os {rnd.choice(verbs)}." for _ in range(8)) for _ in range(150)]
+    lists = [" | ".join(rnd.sample(wares, 12)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate([*prose, *lists, None, ""])), "doc_id bigint, text string").repartition(3)
+    weights = pages.fit_weights(df)
+    assert min(weights[v] for v in verbs) > 1 and max(weights[w] for w in wares) < -1
+    assert weights == pages.fit_weights(df.repartition(7)) and len(weights) <= pages.FIT_TERMS
+    assert 0 < len(pages.fit_weights(df, most=60)) <= len(weights)
+    salad = " ".join(f"{rnd.choice(['da', 'os'])} {' '.join(rnd.sample(wares, 2))}{'.' if i % 5 == 4 else ''}" for i in range(20))  # little words between wares
+    assert pages.other_share(salad) <= pages.MAX_OTHER < pages.other_share(salad, weights)
+    assert pages.other_share(prose[0], weights) == 0.0
+    assert pages.fit_weights(spark.createDataFrame([(i, PROSE * 5) for i in range(9)], "doc_id bigint, text string")) == {}  # nothing to tell apart
+
+
 def test_labels_of_lines():
     units, labels = pages.label_units(PROSE + "\n" + PROSE + "\n" + "\n".join(f"http://a{i}.example/p" for i in range(9)))
     assert labels[:2] == [pages.PROSE] * 2 and labels[-9:] == [pages.LINKS] * 9 and len(units) == len(labels)
