@@ -1,8 +1,8 @@
 """References to records that do not exist (problem 4).
 
-A Bloom filter of the parent keys, built in parallel as one 4 KB bitmap per block and broadcast,
-proves definite orphans without any shuffle of the references; only the filter-positive references
-are verified by an exact join against the parents' life spans.
+A Bloom filter of the parent keys, built with partial aggregation as one row of four 64-bit words per slot, proves
+definite orphans; only the filter-positive references are verified by an exact join against the parents' life spans.
+The filter is broadcast while it is small, which spares the references a shuffle; a larger one is joined by slot.
 """
 
 from __future__ import annotations
@@ -12,59 +12,45 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bits of one block; fixed by Spark's bitmap aggregate (4 KB).
-BLOCK_BITS = 32768
-#: Upper bound of the broadcast filter: 4,096 blocks are 16 MB, whatever the number of parents.
-MAX_BLOCKS = 4096
-#: Bits spent per parent row while the filter is under its bound (about 2 % false positives).
+#: Words of a slot; a key sets one bit in each.
+WORDS = 4
+#: Bits spent per parent row at any size (about 2 % false positives).
 BITS_PER_KEY = 10
-#: Probes per key.
-PROBES = 3
+#: Slots that may be broadcast, about 25 MB as a hash table (10 million parents); a larger filter keeps its bits a key and is
+#: joined by slot in a shuffle instead.
+BROADCAST_SLOTS = 400_000
 #: Life spans per chunk of one parent key; a key made again more often than this is split into several chunks.
 SPANS_PER_CHUNK = 256
 
 
-def _blocks(n_rows: int) -> int:
-    return max(1, min(MAX_BLOCKS, math.ceil(n_rows * BITS_PER_KEY / BLOCK_BITS)))
+def _slot(h: Column, slots: int) -> Column:
+    return F.pmod(h, F.lit(slots)).cast("bigint")
 
 
-def _block(h: Column, blocks: int) -> Column:
-    return F.pmod(h, F.lit(blocks)).cast("int")
+def _masks(h: Column) -> list[Column]:
+    """One bit in each word, from the hash of the hash, so that they do not follow from the slot."""
+    again = F.xxhash64(h)
+    return [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(again, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(WORDS)]
 
 
-def _probe(h: Column, i: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(h, 17 * i + 9), F.lit(BLOCK_BITS)).cast("bigint")
-
-
-def bloom_blocks(keys: DataFrame, hash_col: str, n_rows: int) -> tuple[DataFrame, int]:
-    """Blocked Bloom filter of ``hash_col`` (bigint): rows (block, bits binary of 4 KB) and the number of blocks.
-
-    Its size is at most MAX_BLOCKS x 4 KB, so it may be broadcast at any size of the input; beyond
-    the bound only the share of false positives grows, never the result.
-    """
-    blocks = _blocks(n_rows)
+def bloom_slots(keys: DataFrame, hash_col: str, n_rows: int) -> tuple[DataFrame, int]:
+    """Blocked Bloom filter of ``hash_col`` (bigint): rows (slot, w0..w3 bigint), and the number of slots."""
+    slots = max(1, math.ceil(n_rows * BITS_PER_KEY / (64 * WORDS)))
     h = F.col(hash_col)
-    bits = F.array(*[_probe(h, i) for i in range(PROBES)])
-    filter_ = (
-        keys.select(_block(h, blocks).alias("block"), F.explode(bits).alias("bit"))
-        .groupBy("block")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
-    )
-    return filter_, blocks
+    bits = keys.select(_slot(h, slots).alias("slot"), *[m.alias(f"w{i}") for i, m in enumerate(_masks(h))])
+    return bits.groupBy("slot").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), slots
 
 
-def might_contain(refs: DataFrame, hash_col: str, filter_: DataFrame, blocks: int, flag: str = "maybe") -> DataFrame:
+def might_contain(refs: DataFrame, hash_col: str, filter_: DataFrame, slots: int, flag: str = "maybe") -> DataFrame:
     """Adds a boolean: false proves that the key is not among the parents."""
     h = F.col(hash_col)
-    spread = refs.withColumn("__block", _block(h, blocks))
-    small = F.broadcast(filter_.withColumnRenamed("block", "__block").withColumnRenamed("bits", "__bits"))
-    hit = F.col("__bits").isNotNull()
-    for i in range(PROBES):
-        bit = _probe(h, i)
-        byte = F.substring(F.col("__bits"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
-        value = F.conv(F.hex(byte), 16, 10).cast("int")
-        hit = hit & (F.getbit(value, (bit % 8).cast("int")) == 1)
-    return spread.join(small, "__block", "left").withColumn(flag, hit).drop("__block", "__bits")
+    named = filter_.select(F.col("slot").alias("__slot"), *[F.col(f"w{i}").alias(f"__w{i}") for i in range(WORDS)])
+    near = F.broadcast(named) if slots <= BROADCAST_SLOTS else named
+    hit = F.lit(True)
+    for i, mask in enumerate(_masks(h)):
+        hit = hit & (F.col(f"__w{i}").bitwiseAND(mask) != 0)
+    marked = refs.withColumn("__slot", _slot(h, slots)).join(near, "__slot", "left")
+    return marked.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__slot", *[f"__w{i}" for i in range(WORDS)])
 
 
 def life_spans(parents: DataFrame, keys: list[str], created: str = "created", deleted: str = "deleted") -> DataFrame:
@@ -107,16 +93,18 @@ def find_orphans(refs: DataFrame, parents: DataFrame, keys: list[str], n_parents
     A reference without a time is never sound ('missing' or 'late'); a parent without a creation time exists
     but is never born ('late'); a parent deleted no later than it was created never lives.
     """
+    # The hash leads the keys wherever rows are sorted by them: most comparisons then end at one number.
     hashed = F.xxhash64(*[F.col(k) for k in keys])
-    filter_, blocks = bloom_blocks(parents.select(hashed.alias("h")), "h", n_parents)
-    flagged = might_contain(refs.withColumn("__h", hashed), "__h", filter_, blocks, "__maybe").drop("__h")
+    parents, led = parents.withColumn("__h", hashed), ["__h", *keys]
+    filter_, slots = bloom_slots(parents.select("__h"), "__h", n_parents)
+    flagged = might_contain(refs.withColumn("__h", hashed), "__h", filter_, slots, "__maybe")
     month = F.date_format("at", "yyyy-MM").alias("ref_month")
 
     proven = flagged.filter(~F.col("__maybe")).select("ref_field", "row_id", month, F.lit("missing").alias("reason"))
 
-    spans = life_spans(parents, keys)
+    spans = life_spans(parents, led)
     asked = flagged.filter("__maybe").withColumn("__t", F.coalesce("at", F.lit("0001-01-01").cast("timestamp")))
-    on = [F.col(f"r.{k}") == F.col(f"p.{k}") for k in keys]
+    on = [F.col(f"r.{k}") == F.col(f"p.{k}") for k in led]
     on += [F.col("__t") >= F.col("from_t"), F.col("to_t").isNull() | (F.col("__t") < F.col("to_t"))]
     joined = asked.alias("r").join(spans.alias("p"), on, "left")
     lives = F.exists("spans", lambda s: (s["lo"] <= F.col("at")) & (F.col("at") < s["hi"]))

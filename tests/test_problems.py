@@ -166,15 +166,28 @@ def test_orphans_of_empty_tables(spark):
 
 
 def test_filter_never_denies_a_parent(spark, monkeypatch):
-    monkeypatch.setattr(orphans, "MAX_BLOCKS", 2)
     keys = spark.range(50_000).select(F.xxhash64("id").alias("h"))
-    blocks, n = orphans.bloom_blocks(keys, "h", 50_000)
-    assert n == 2 and blocks.count() <= 2
-    probed = orphans.might_contain(keys, "h", blocks, n)
-    assert probed.filter("NOT maybe").count() == 0
-    wide, n = orphans.bloom_blocks(keys.limit(1000), "h", 1000)
     strangers = spark.range(10**6, 10**6 + 5000).select(F.xxhash64("id").alias("h"))
-    assert orphans.might_contain(strangers, "h", wide, n).filter("maybe").count() < 500
+    slots, n = orphans.bloom_slots(keys, "h", 50_000)
+    for most in (n, 0):  # broadcast, and joined by slot: the same bits at any size
+        monkeypatch.setattr(orphans, "BROADCAST_SLOTS", most)
+        assert orphans.might_contain(keys, "h", slots, n).filter("NOT maybe").count() == 0
+        assert orphans.might_contain(strangers, "h", slots, n).filter("maybe").count() < 250
+    plan = orphans.might_contain(keys, "h", slots, n)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan
+    none, n = orphans.bloom_slots(keys.limit(0), "h", 0)
+    assert orphans.might_contain(strangers, "h", none, n).filter("maybe").count() == 0
+
+
+def test_orphans_of_a_larger_table_are_the_same(spark, monkeypatch):
+    parents = spark.createDataFrame([("u", f"k{i}", T(2020, 1, 1 + i % 9), T(2020, 2, 1) if i % 3 else None) for i in range(60)], "target string, key string, created timestamp, deleted timestamp")
+    refs = spark.createDataFrame([("f", i, "u", f"k{i % 90}", T(2020, 1 + i % 3, 3)) for i in range(300)], "ref_field string, row_id bigint, target string, key string, at timestamp")
+    more = parents.union(parents.selectExpr("target", "concat('other', key)", "created", "deleted"))
+    found = lambda p, n: {tuple(r) for r in orphans.find_orphans(refs, p, ["target", "key"], n).collect()}
+    once = found(parents, 60)
+    assert once == found(more, 120) == found(parents, 1)
+    monkeypatch.setattr(orphans, "BROADCAST_SLOTS", 0)
+    assert once == found(more, 120)
 
 
 # --- hierarchies ------------------------------------------------------------------------------------------------------
