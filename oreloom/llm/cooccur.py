@@ -16,6 +16,8 @@ from oreloom.session import cut
 #: A basket of more items than this is split into chunks of so many, or of the root of its size if that is more, but at
 #: most WIDEST; no block forms more than about WIDEST x WIDEST pairs.
 CHUNK, WIDEST = 8, 256
+#: Items that can be in a qualifying pair, over all lists, up to which they are broadcast (about 15 MB); more are joined by a shuffle.
+BROADCAST_ITEMS = 150_000
 MIN_SUPPORT = 5
 MIN_LIFT = 3.0
 
@@ -82,9 +84,12 @@ def cooccurrences(baskets: DataFrame, min_support: int = MIN_SUPPORT, min_lift:
     sizes = baskets.groupBy("list_name").agg(F.count("*").alias("n"))
     counts = baskets.select("list_name", F.explode("items").alias("item")).groupBy("list_name", "item").agg(F.count("*").alias("n_item"))
     able = counts.filter(F.col("n_item") >= min_support).join(sizes, "list_name").filter(F.col("n_item") * min_lift <= F.col("n"))
+    able = cut(able)
+    if able.count() <= BROADCAST_ITEMS:
+        able = F.broadcast(able)
     spot = F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int")
     items = (
-        rows.join(able.select("list_name", "item"), ["list_name", "item"], "left_semi")
+        rows.join(able, ["list_name", "item"], "left_semi")
         .groupBy("list_name", "basket", "chunks", spot.alias("i"))
         .agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
