@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -66,55 +67,119 @@ def _name(value: object, kind: Kind) -> str | None:
     return None
 
 
-def _named(obj: object, kind: Kind) -> str | None:
-    """The name that an object, a pair list or a bare value bears."""
+def _named(obj: object, kind: Kind) -> tuple[str, ...] | None:
+    """The name, or pair of names, that an object, a pair list or a bare value bears."""
     if isinstance(obj, dict):
         for alt in kind.names:
-            parts = [_name(obj.get(f), kind) for f in alt]
+            parts = tuple(_name(obj.get(f), kind) for f in alt)
             if all(parts):
-                return ">".join(parts)
+                return parts
         return None
     if kind.pair:
         ends = obj[:2] if isinstance(obj, list) else obj.split(PAIR_MARK, 1) if isinstance(obj, str) else []
-        parts = [_name(x, kind) for x in ends]
-        return ">".join(parts) if len(parts) == 2 and all(parts) else None
-    return None if isinstance(obj, list) else _name(obj, kind)
+        parts = tuple(_name(x, kind) for x in ends)
+        return parts if len(parts) == 2 and all(parts) else None
+    return _alone(obj, kind)
 
 
-def _members(value: object, kind: Kind) -> Iterator[tuple[str | None, object]]:
+def _alone(obj: object, kind: Kind) -> tuple[str, ...] | None:
+    name = None if isinstance(obj, list) else _name(obj, kind)
+    return None if name is None else (name,)
+
+
+def _members(value: object, kind: Kind) -> Iterator[tuple[tuple[str, ...] | None, object]]:
     """(name, content) of all members of a field of whatever shape."""
+    while isinstance(value, dict) and set(value) == {"items"} and isinstance(value["items"], (list, dict)):
+        value = value["items"]
     if isinstance(value, list):
         for member in value:
             yield _named(member, kind), member
     elif isinstance(value, dict):
         if set(value) & kind.fields():
             yield _named(value, kind), value
-        elif set(value) == {"items"} and isinstance(value["items"], (list, dict)):
-            yield from _members(value["items"], kind)
         else:
             for key, content in value.items():
-                yield _named(key, kind) if kind.pair else _name(key, kind), content
+                yield _named(key, kind) if kind.pair else _alone(key, kind), content
     elif value is not None:
         yield _named(value, kind), value
 
 
+_LITERAL = re.compile(r"true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+_BLANK = re.compile(r"[ \t\n\r]*")
+
+
+def loads_deep(text: str) -> object:
+    """json.loads without recursion, for records nested too deeply for it; ValueError for broken text."""
+    skip = lambda at: _BLANK.match(text, at).end()
+    at, stack, key = skip(0), [], None
+    while True:
+        mark, value, closed = text[at : at + 1], None, True
+        if mark in ("{", "["):
+            value, at = ({} if mark == "{" else []), skip(at + 1)
+            closed = text[at : at + 1] == ("}" if mark == "{" else "]")
+            at += closed
+        elif mark == '"':
+            value, at = scanstring(text, at + 1)
+        else:
+            found = _LITERAL.match(text, at)
+            if not found:
+                raise ValueError(f"no value at {at}")
+            value, at = json.loads(found[0]), found.end()
+        if not closed:
+            stack.append((value, key))
+        while closed:  # put the value into its container, and close that if it ends here
+            if not stack:
+                if skip(at) != len(text):
+                    raise ValueError(f"more after the value at {at}")
+                return value
+            holder, above = stack[-1]
+            holder.append(value) if isinstance(holder, list) else holder.__setitem__(key, value)
+            at = skip(at)
+            mark, at = text[at : at + 1], skip(at + 1)
+            if mark == ",":
+                break
+            if mark != ("]" if isinstance(holder, list) else "}"):
+                raise ValueError(f"no end at {at}")
+            stack.pop()
+            value, key = holder, above
+        if isinstance(stack[-1][0], dict):
+            if text[at : at + 1] != '"':
+                raise ValueError(f"no key at {at}")
+            key, at = scanstring(text, at + 1)
+            at = skip(at)
+            if text[at : at + 1] != ":":
+                raise ValueError(f"no colon at {at}")
+            at = skip(at + 1)
+
+
 def _parsed(text: object) -> object:
-    """Content of a JSON field; doubly encoded JSON is decoded again; None for null, empty or broken text."""
-    try:
-        for _ in range(4):
-            if not isinstance(text, str):
-                return text
+    """Content of a JSON field, decoded again as long as it is a text (every turn makes it shorter); ValueError if broken.
+
+    Null and blank texts are no JSON but nothing: None.
+    """
+    if isinstance(text, str) and not text.strip():
+        return None
+    while isinstance(text, str):
+        try:
             text = json.loads(text)
-        return text
-    except (ValueError, RecursionError):
+        except RecursionError:
+            text = loads_deep(text)
+    return text
+
+
+def _content(text: object) -> object:
+    """Content of a JSON field, None for null, empty or broken text."""
+    try:
+        return _parsed(text)
+    except ValueError:
         return None
 
 
-def interval_nodes(text: object, kind: Kind, start: int = 0) -> list[tuple[str, str, int, int, dict | None]]:
-    """(kind, name, pre, post, content) of all named nodes, depth first; a member without a name ends its branch."""
-    out: list[tuple[str, str, int, int, dict | None]] = []
+def interval_nodes(text: object, kind: Kind, start: int = 0) -> list[tuple[str, tuple[str, ...], int, int, dict | None]]:
+    """(kind, names, pre, post, content) of all named nodes, depth first; a member without a name ends its branch."""
+    out: list[tuple[str, tuple[str, ...], int, int, dict | None]] = []
     clock = start
-    stack: list[tuple] = [("open", _parsed(text), kind, None)]
+    stack: list[tuple] = [("open", _content(text), kind, None)]
     while stack:
         step, a, b, c = stack.pop()
         if step == "close":
@@ -138,13 +203,13 @@ def interval_nodes(text: object, kind: Kind, start: int = 0) -> list[tuple[str,
     return out
 
 
-NODE_SCHEMA = "rec bigint, kind string, name string, pre int, post int, attrs map<string,string>"
+NODE_SCHEMA = "rec bigint, kind string, name string, name2 string, pre int, post int, attrs map<string,string>"
 
 
 def node_table(df: DataFrame, id_col: str, shape: dict[str, Kind], with_attrs: bool = True) -> DataFrame:
-    """Interval-labelled nodes of the JSON fields of ``df``: (id, rec, kind, name, pre, post, attrs).
+    """Interval-labelled nodes of the JSON fields of ``df``: (id, rec, kind, name, name2, pre, post, attrs).
 
-    rec tells records with the same id apart. Streams Arrow batches; a record is never held longer than its batch.
+    rec tells records with the same id apart; name2 is the second name of a pair. Streams Arrow batches; a record is never held longer than its batch.
     """
     fields = list(shape)
     id_type = df.schema[id_col].dataType.simpleString()
@@ -157,13 +222,13 @@ def node_table(df: DataFrame, id_col: str, shape: dict[str, Kind], with_attrs: b
                 for text, f in zip(values[2:], fields, strict=True):
                     nodes = interval_nodes(text, shape[f], clock)
                     clock += 2 * len(nodes)
-                    for kind, name, pre, post, content in nodes:
+                    for kind, names, pre, post, content in nodes:
                         attrs = None
                         if with_attrs:
                             plain = (content or {}).items()
                             attrs = {k: json.dumps(v) if isinstance(v, bool) else str(v) for k, v in plain if isinstance(v, (str, int, float))}
-                        rows.append((values[0], values[1], kind, name, pre, post, attrs))
-            yield pd.DataFrame(rows, columns=["__id", "rec", "kind", "name", "pre", "post", "attrs"])
+                        rows.append((values[0], values[1], kind, names[0], names[1] if len(names) > 1 else None, pre, post, attrs))
+            yield pd.DataFrame(rows, columns=["__id", "rec", "kind", "name", "name2", "pre", "post", "attrs"])
 
     source = df.select(F.col(id_col).alias("__id"), F.xxhash64(*fields).alias("rec"), *fields)
     return source.mapInPandas(run, f"__id {id_type}, {NODE_SCHEMA}").withColumnRenamed("__id", id_col)
@@ -200,5 +265,25 @@ def child_records(traces: DataFrame) -> DataFrame:
         .otherwise("")
     )
     return nodes.select(
-        "trace_id", F.col("kind").alias("child_kind"), parent.alias("parent_key"), F.col("name").alias("item_key")
+        "trace_id", F.col("kind").alias("child_kind"), parent.alias("parent_key"), F.concat_ws(">", "name", "name2").alias("item_key")
     ).distinct()
+
+
+def rejected_fields(df: DataFrame, id_col: str, shape: dict[str, Kind]) -> DataFrame:
+    """(id, field, n_chars) of the fields whose text is no JSON at some level of encoding, distinct; null and blank texts are none."""
+    fields = list(shape)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, *texts in zip(pdf["__id"], *(pdf[f] for f in fields), strict=True):
+                for f, text in zip(fields, texts, strict=True):
+                    try:
+                        _parsed(text)
+                    except ValueError:
+                        rows.append((key, f, len(text)))
+            yield pd.DataFrame(rows, columns=["__id", "field", "n_chars"])
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    found = df.select(F.col(id_col).alias("__id"), *fields).mapInPandas(run, f"__id {id_type}, field string, n_chars bigint")
+    return found.withColumnRenamed("__id", id_col).distinct()

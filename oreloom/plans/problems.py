@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreloom.functions.keys import norm_key
 from oreloom.operators import hierarchy, nested, orphans, units
-from oreloom.plans.nested_sql import child_records_sql
+from oreloom.plans.nested_sql import child_records_sql, flat_sql, rejects_sql
 from oreloom.plans.units_sql import common_values_sql
 from oreloom.session import table
 
@@ -16,42 +16,47 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested.child_records(table(spark, sf, "xgb_traces"))
 
 
+def p1_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of every trace with its interval labels and those of the nodes that hold it."""
+    nodes = nested.trace_nodes(table(spark, sf, "xgb_traces"), with_attrs=False)
+    return nodes.select("trace_id", "rec", "kind", "name", "name2", "pre", "post", "stage_pre", "section_pre").distinct()
+
+
+def _numbers(*names: str) -> list[Column]:
+    return [F.col("attrs")[n].try_cast("double").alias(n) for n in names]
+
+
 def p1_stages(spark: SparkSession, sf: str) -> DataFrame:
-    """Flat stage rows with their interval labels."""
-    a = lambda k: F.col("attrs")[k].try_cast("double").alias(k)
+    """Flat stage rows."""
     nodes = nested.trace_nodes(table(spark, sf, "xgb_traces")).filter("kind = 'stage'")
-    return nodes.select(
-        "trace_id", "rec", F.col("name").alias("stage"), "pre", "post", a("probability"), a("threshold"), a("val_f1"), a("val_support"),
-        F.col("attrs")["selected"].try_cast("boolean").alias("selected"), F.col("attrs")["in_ground_truth"].try_cast("boolean").alias("in_ground_truth"),
-    ).distinct()
+    flags = [F.col("attrs")[n].try_cast("boolean").alias(n) for n in ("selected", "in_ground_truth")]
+    return nodes.select("trace_id", F.col("name").alias("stage"), *_numbers("probability", "threshold", "val_f1", "val_support"), *flags).distinct()
 
 
 def p1_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Flat section rows that name their trace and stage."""
     nodes = nested.trace_nodes(table(spark, sf, "xgb_traces")).filter("kind = 'section'")
-    return nodes.select(
-        "trace_id", "rec", F.col("stage_pre").alias("parent_pre"), F.col("stage_name").alias("stage"), F.col("name").alias("section"), "pre", "post",
-        F.col("attrs")["weight"].try_cast("double").alias("weight"),
-    ).distinct()
+    return nodes.select("trace_id", F.col("stage_name").alias("stage"), F.col("name").alias("section"), *_numbers("weight")).distinct()
 
 
 def p1_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Flat evidence rows that name their trace, stage and section."""
     nodes = nested.trace_nodes(table(spark, sf, "xgb_traces")).filter("kind = 'evidence'")
     return nodes.select(
-        "trace_id", "rec", F.col("section_pre").alias("parent_pre"), F.col("stage_name").alias("stage"), F.col("section_name").alias("section"),
-        F.col("name").try_cast("bigint").alias("page"), "pre", "post", F.col("attrs")["table_id"].alias("table_id"), F.col("attrs")["quote"].alias("quote"),
+        "trace_id", F.col("stage_name").alias("stage"), F.col("section_name").alias("section"), F.col("name").try_cast("bigint").alias("page"),
+        F.col("attrs")["table_id"].alias("table_id"), F.col("attrs")["quote"].alias("quote"),
     ).distinct()
 
 
 def p1_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Flat edge rows of each trace."""
     nodes = nested.trace_nodes(table(spark, sf, "xgb_traces")).filter("kind = 'edge'")
-    ends = F.split("name", ">", 2)
-    return nodes.select(
-        "trace_id", "rec", ends[0].alias("src"), ends[1].alias("dst"), "pre", "post",
-        F.col("attrs")["support"].try_cast("double").alias("support"), F.col("attrs")["score"].try_cast("double").alias("score"),
-    ).distinct()
+    return nodes.select("trace_id", F.col("name").alias("src"), F.col("name2").alias("dst"), *_numbers("support", "score")).distinct()
+
+
+def p1_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields whose JSON is broken, which yield no rows elsewhere."""
+    return nested.rejected_fields(table(spark, sf, "xgb_traces"), "trace_id", nested.TRACE_SHAPE)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +114,7 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.descendants(_hierarchies(spark, sf, steps=True)).withColumnRenamed("g", "image_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stages, p1_sections, p1_evidence, p1_edges, p3_found, p4_found, p4_report, p5_found, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_stages, p1_sections, p1_evidence, p1_edges, p1_rejects, p3_found, p4_found, p4_report, p5_found, p5_descendants)}
 
 _WS = r"E' \t\n\r'"
 _NORM = lambda c: f"nullif(lower(trim({c}, {_WS})), '')"
@@ -158,6 +163,8 @@ SELECT image_id, v AS node_id, root_id, node_depth, node_path, coalesce(n.n, 0)
 
 ORACLES = {
     "p1_found": child_records_sql(),
+    "p1_rejects": rejects_sql(),
+    **{f"p1_{kind}": flat_sql(kind) for kind in ("stages", "sections", "evidence", "edges")},
     "p3_found": common_values_sql(),
     "p5_found": _P5_ALL,
     "p4_found": _P4 + "SELECT * FROM found",

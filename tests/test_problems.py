@@ -46,6 +46,35 @@ def test_shapes_of_every_level(spark):
     )
 
 
+def test_any_number_of_encodings_and_any_depth(spark):
+    text = json.dumps([{"stage": "mill"}])
+    for _ in range(9):
+        text = json.dumps(text)
+    deep = '[{"stage": "jig", "sections": ' + '{"items": ' * 40_000 + '["s"]' + "}" * 40_000 + "}]"
+    rows = [(1, text, None, "z"), (2, deep, '[["a>b", "c"]]', "z"), (3, "{broken", "", "z"), (4, deep[:-2], None, "z"), (5, '"[1, "', None, "z")]
+    assert children(spark, rows) == [(1, "stage", "", "mill"), (2, "edge", "", "a>b>c"), (2, "section", "jig", "s"), (2, "stage", "", "jig")]
+    df = spark.createDataFrame(rows, "trace_id bigint, stages string, edges string, kind string")
+    rejects = {(r.trace_id, r.field) for r in nested.rejected_fields(df, "trace_id", nested.TRACE_SHAPE).collect()}
+    assert rejects == {(3, "stages"), (4, "stages"), (5, "stages")}
+    edge = nested.trace_nodes(df).filter("kind = 'edge'").first()
+    assert (edge.name, edge.name2) == ("a>b", "c")
+
+
+def test_deep_loader_equals_the_plain_one():
+    rnd = random.Random(8)
+
+    def value(depth):
+        kind = rnd.randint(0, 7 if depth else 5)
+        return (None, True, -1.5e3, 7, 'q"\\\n', "")[kind] if kind < 6 else [value(depth - 1) for _ in range(rnd.randint(0, 3))] if kind == 6 else {f"k{i}": value(depth - 1) for i in range(rnd.randint(0, 3))}
+
+    for _ in range(300):
+        x = value(5)
+        assert nested.loads_deep(json.dumps(x, indent=rnd.choice([None, 1]))) == x
+    for broken in ("", "[", "[1,]", '{"a" 1}', '{"a": 1,}', "[1] 2", "{1: 2}", "tru", "[1 2]", "]"):
+        with pytest.raises(ValueError):
+            nested.loads_deep(broken)
+
+
 def test_nameless_members_hide_what_they_hold(spark):
     a = [{"sections": [{"section": "hidden"}], "probability": 0.1}, {"stage": "  ", "sections": ["x"]}, {"stage": None, "sections": ["y"]}, {"stage": "ok", "sections": [{"weight": 1, "evidence": [1]}]}]
     assert children(spark, [(1, json.dumps(a), None, None)]) == [(1, "stage", "", "ok")]
