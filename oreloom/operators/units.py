@@ -97,12 +97,24 @@ def unit_aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*r, 0.0) for r in rows], "quantity string, alias string, currency string, factor double, shift double")
 
 
-def split_value(text: Column) -> tuple[Column, Column]:
-    """(number as double, unit text squashed to '' if none) of a single value; both null where it is none."""
-    clean = F.regexp_replace(text, rf"(?i)(?<![A-Za-z]){ABOUT}", " ")
-    number = F.regexp_extract(clean, VALUE, 2)
-    unit = F.concat(F.regexp_extract(clean, VALUE, 1), F.regexp_extract(clean, VALUE, 3))
-    return F.when(number != "", plain_number(number)), F.when(number != "", alias_key(unit))
+_PLAIN = r"^[0-9]+(\.[0-9]+)?$"
+_MARK = "\x01"
+
+
+def split_value(text: Column) -> Column:
+    """Struct (number double, unit text squashed, '' if none) of a single value; null where it is none.
+
+    Bare numbers, the commonest values, are told by one short pattern; only the others meet the long one, once.
+    """
+    trimmed = F.trim(text)
+    clean = F.translate(F.regexp_replace(text, rf"(?i)(?<![A-Za-z]){ABOUT}", " "), _MARK, " ")
+    split = F.split(F.regexp_replace(clean, VALUE, f"$2{_MARK}$1$3"), _MARK)
+    read = lambda parts: F.when(
+        F.size(parts) == 2, F.struct(plain_number(F.get(parts, F.lit(0))).alias("number"), alias_key(F.get(parts, F.lit(1))).alias("unit"))
+    )
+    # The transform binds the split text, so that number and unit are taken from one match.
+    rest = F.get(F.transform(F.array(split), read), F.lit(0))
+    return F.when(trimmed.rlike(_PLAIN), F.struct(trimmed.try_cast("double").alias("number"), F.lit("").alias("unit"))).otherwise(rest)
 
 
 def plain_number(number: Column) -> Column:
@@ -110,8 +122,10 @@ def plain_number(number: Column) -> Column:
     n = F.regexp_replace(number, r"[ \u00a0\u2009\u202f'’]", "")
     dots_group = n.rlike(r"^\d{1,3}(\.\d{3})+,\d+$") | n.rlike(r"^\d{1,3}(\.\d{3}){2,}$")
     commas_group = n.rlike(r"^\d+(,\d{3})+(\.\d+)?$")
+    one_mark = F.length(n) - F.length(F.translate(n, ",.", "")) <= 1
     plain = (
-        F.when(dots_group, F.replace(F.replace(n, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+        F.when(one_mark & ~F.contains(n, F.lit(",")), n)
+        .when(dots_group, F.replace(F.replace(n, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
         .when(commas_group, F.replace(n, F.lit(","), F.lit("")))
         .otherwise(F.replace(n, F.lit(","), F.lit(".")))
     )
@@ -119,55 +133,40 @@ def plain_number(number: Column) -> Column:
 
 
 def feature_values(features: DataFrame) -> DataFrame:
-    """One row per recorded value: feature_id, quantity, item_pos, value, unit_field, price_year, table_id."""
-    keep = ["feature_id", "price_year", "table_id"]
-    grades = features.select(*keep, F.posexplode("grade_values").alias("item_pos", "value"), F.col("grade_unit").alias("unit_field"))
-    plain = [
-        features.select(*keep, F.lit(0).alias("item_pos"), F.col(q).alias("value"), F.col(u).alias("unit_field"))
-        for q, u in (("tonnage_mean", "tonnage_unit"), ("capex_mean", "capex_unit"))
-    ]
-    out = grades.withColumn("quantity", F.lit("grade_values"))
-    for q, df in zip(("tonnage_mean", "capex_mean"), plain, strict=True):
-        out = out.unionByName(df.withColumn("quantity", F.lit(q)))
-    return out.filter(F.col("value").isNotNull())
+    """One row per recorded value, from one scan: feature_id, quantity, item_pos, value, unit_field, price_year, table_id."""
+    one = lambda q, i, v, u: F.struct(F.lit(q).alias("quantity"), i.alias("item_pos"), v.alias("value"), F.col(u).alias("unit_field"))
+    grades = F.transform(F.coalesce("grade_values", F.array().cast("array<string>")), lambda v, i: one("grade_values", i, v, "grade_unit"))
+    plain = [one(q, F.lit(0), F.col(q), u) for q, u in (("tonnage_mean", "tonnage_unit"), ("capex_mean", "capex_unit"))]
+    recorded = F.filter(F.concat(grades, F.array(*plain)), lambda x: x["value"].isNotNull())
+    return features.select("feature_id", "price_year", "table_id", F.inline(recorded))
 
 
 def table_statements(tables: DataFrame) -> DataFrame:
-    """Units stated by a table: table_id, quantity, unit_header, unit_caption, unit_before (squashed aliases or null)."""
+    """Units stated by a table, from one scan: table_id, quantity, unit_table (squashed alias): header, else caption, else text before.
+
+    Rows of the same table that differ are told apart by the nearest kind of statement, then by the alias.
+    """
     empty = lambda c: F.nullif(alias_key(c), F.lit(""))
-    out = []
+    close = lambda c: F.when(c.rlike(r"\([^)]*$"), F.concat(c, F.lit(")"))).otherwise(c)
+    stated = []
     for quantity, words in QUANTITY_WORDS.items():
         own = F.filter("headers", lambda h: F.coalesce(h.rlike(QUANTITY_HEADERS[quantity]), F.lit(False)))
-        stated = F.transform(
-            own,
-            lambda h: F.coalesce(
-                F.nullif(F.regexp_extract(h, r"\[(.*)\]\s*$", 1), F.lit("")),
-                F.nullif(F.regexp_extract(h, r"^[^(\[,]*\((.*)\)\s*$", 1), F.lit("")),
-                F.nullif(F.regexp_extract(h, r"^[^(\[,]*,\s*(.*)$", 1), F.lit("")),
-            ),
+        inner = lambda h: F.coalesce(
+            F.nullif(F.regexp_extract(h, r"\[(.*)\]\s*$", 1), F.lit("")),
+            F.nullif(F.regexp_extract(h, r"^[^(\[,]*\((.*)\)\s*$", 1), F.lit("")),
+            F.nullif(F.regexp_extract(h, r"^[^(\[,]*,\s*(.*)$", 1), F.lit("")),
         )
-        header = F.get(F.filter(stated, lambda s: s.isNotNull()), F.lit(0))
+        header = F.get(F.filter(F.transform(own, inner), lambda s: s.isNotNull()), F.lit(0))
         said = rf"(?i)\b(?:{words})\b(?:\s+(?:below|above|here))?(?:\s+(?:are|is))?(?:\s+(?:given|reported|expressed|stated|shown|quoted))?\s*(?:\bin\b|\bas\b|:)\s*"
-        caption = F.regexp_extract("caption", said + r"([^;]*?)(?:\s*;|\)?\s*$)", 1)
-        balanced = F.when(caption.rlike(r"\([^)]*$"), F.concat(caption, F.lit(")"))).otherwise(caption)
+        caption = F.array(F.regexp_extract("caption", said + r"([^;]*?)(?:\s*;|\)?\s*$)", 1))
         before = F.regexp_extract("text_before", said + r"(.*?)(?:\.?\s*$|\s*;|\.\s+(?=[A-Z][a-z]))", 1)
-        out.append(
-            tables.select(
-                "table_id",
-                F.lit(quantity).alias("quantity"),
-                empty(header).alias("unit_header"),
-                empty(balanced).alias("unit_caption"),
-                empty(before).alias("unit_before"),
-            )
-        )
-    union = out[0]
-    for df in out[1:]:
-        union = union.unionByName(df)
-    stated_any = F.coalesce("unit_header", "unit_caption", "unit_before").isNotNull()
-    best = F.min(F.struct(F.col("unit_header").isNull(), F.col("unit_caption").isNull(), "unit_header", "unit_caption", "unit_before"))
-    return union.filter(stated_any & F.col("table_id").isNotNull()).groupBy("table_id", "quantity").agg(best.alias("s")).select(
-        "table_id", "quantity", F.coalesce("s.unit_header", "s.unit_caption", "s.unit_before").alias("unit_table")
-    )
+        units = F.array(empty(header), empty(F.get(F.transform(caption, close), F.lit(0))), empty(before))
+        stated.append(F.struct(F.lit(quantity).alias("quantity"), units.alias("units")))
+    nearest = lambda s: F.transform(s["units"], lambda u, i: F.struct(i.alias("kind"), u.alias("unit")))
+    found = tables.filter("table_id IS NOT NULL").select("table_id", F.inline(F.array(*stated)))
+    said_any = F.filter(nearest(found), lambda x: x["unit"].isNotNull())
+    best = found.select("table_id", "quantity", F.get(said_any, F.lit(0)).alias("s")).filter("s IS NOT NULL")
+    return best.groupBy("table_id", "quantity").agg(F.min("s").alias("s")).select("table_id", "quantity", F.col("s.unit").alias("unit_table"))
 
 
 def common_values(features: DataFrame, tables: DataFrame, rates: DataFrame) -> DataFrame:
@@ -178,12 +177,11 @@ def common_values(features: DataFrame, tables: DataFrame, rates: DataFrame) -> D
     """
     spark = features.sparkSession
     aliases = F.broadcast(unit_aliases(spark))
-    number, own = split_value(F.col("value"))
     values = (
         feature_values(features)
-        .select("feature_id", "quantity", "item_pos", "price_year", "table_id", "unit_field", number.alias("number"), own.alias("own"))
-        .filter(F.col("number").isNotNull() & ~F.isnan("number"))
-        .distinct()
+        .select("feature_id", "quantity", "item_pos", "price_year", "table_id", "unit_field", split_value(F.col("value")).alias("v"))
+        .filter("v.number IS NOT NULL AND NOT isnan(v.number)")
+        .select("feature_id", "quantity", "item_pos", "price_year", "table_id", "unit_field", F.col("v.number").alias("number"), F.col("v.unit").alias("own"))
     )
     values = cut(values)  # read twice below; the parsing is the expensive part
     pick = lambda name: aliases.select(

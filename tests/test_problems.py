@@ -109,7 +109,7 @@ def test_interval_containment(spark):
     ],
 )
 def test_values(spark, text, number, unit):
-    n, u = units.split_value(F.col("v"))
+    n, u = (units.split_value(F.col("v"))[k] for k in ("number", "unit"))
     row = spark.createDataFrame([(text,)], "v string").select(n.alias("n"), u.alias("u")).first()
     assert (row.n, row.u) == (number, unit)
 
