@@ -2,7 +2,34 @@
 
 from __future__ import annotations
 
-from oreloom.operators import units
+# The sizes of units, stated here by themselves: milligrams per tonne, tonnes, multiples; names without blanks.
+_ALIASES = """
+grade(name, factor) AS (VALUES
+  ('%', 10000000.0), ('pct', 10000000.0), ('percent', 10000000.0), ('wt%', 10000000.0), ('wt.%', 10000000.0), ('weightpercent', 10000000.0), ('%w/w', 10000000.0),
+  ('kg/t', 1000000.0), ('kgpertonne', 1000000.0), ('g/kg', 1000000.0), ('gramsperkilogram', 1000000.0),
+  ('g/t', 1000.0), ('gpt', 1000.0), ('gramspertonne', 1000.0), ('grampertonne', 1000.0), ('ppm', 1000.0), ('partspermillion', 1000.0), ('mg/kg', 1000.0), ('gpertonne', 1000.0), ('g/tonne', 1000.0),
+  ('ppb', 1.0), ('partsperbillion', 1.0), ('mg/t', 1.0), ('mgpertonne', 1.0), ('ug/kg', 1.0), ('µg/kg', 1.0),
+  ('oz/st', 31103.4768 / 0.90718474), ('ozpershortton', 31103.4768 / 0.90718474), ('troyozpershortton', 31103.4768 / 0.90718474), ('ozt/st', 31103.4768 / 0.90718474),
+  ('oz/shortton', 31103.4768 / 0.90718474), ('troyouncespershortton', 31103.4768 / 0.90718474),
+  ('lb/st', 500000.0), ('lbpershortton', 500000.0), ('lbs/shortton', 500000.0), ('lbs/st', 500000.0), ('lb/shortton', 500000.0), ('poundspershortton', 500000.0)),
+mass(name, factor) AS (VALUES
+  ('t', 1.0), ('tonne', 1.0), ('tonnes', 1.0), ('metrictonne', 1.0), ('metrictonnes', 1.0), ('metrictons', 1.0), ('metricton', 1.0),
+  ('st', 0.90718474), ('shortton', 0.90718474), ('shorttons', 0.90718474), ('tons(short)', 0.90718474),
+  ('lt', 1.0160469088), ('longton', 1.0160469088), ('longtons', 1.0160469088), ('tons(long)', 1.0160469088)),
+money(name, code) AS (VALUES
+  ('usd', 'USD'), ('us$', 'USD'), ('cad', 'CAD'), ('c$', 'CAD'), ('cad$', 'CAD'), ('aud', 'AUD'), ('a$', 'AUD'), ('eur', 'EUR'), ('€', 'EUR'), ('zar', 'ZAR'),
+  ('clp', 'CLP'), ('clp$', 'CLP'), ('pen', 'PEN'), ('s/', 'PEN'), ('s/.', 'PEN'), ('brl', 'BRL'), ('r$', 'BRL')),
+scale(mark, times, mass_too) AS (VALUES
+  ('k', 1e3, true), ('thousand', 1e3, true), ('000', 1e3, true), ('''000', 1e3, true), ('000s', 1e3, false),
+  ('m', 1e6, true), ('million', 1e6, true), ('mm', 1e6, true), ('mn', 1e6, true), ('millions', 1e6, false), ('b', 1e9, true), ('bn', 1e9, true), ('billion', 1e9, true)),
+alias(quantity, alias, currency, factor) AS (
+  SELECT 'grade_values', name, NULL, factor::DOUBLE FROM grade
+  UNION SELECT 'tonnage_mean', name, NULL, factor::DOUBLE FROM mass
+  UNION SELECT 'tonnage_mean', mark || name, NULL, factor::DOUBLE * times FROM mass, scale WHERE mass_too
+  UNION SELECT 'tonnage_mean', name || 'x' || times::BIGINT, NULL, factor::DOUBLE * times FROM mass, (VALUES (1e3), (1e6)) AS n(times)
+  UNION SELECT 'capex_mean', name, code, 1.0 FROM money
+  UNION SELECT 'capex_mean', name || mark, code, times FROM money, scale
+  UNION SELECT 'capex_mean', mark || name, code, times FROM money, scale)"""
 
 _GROUP = "[ \u00a0\u2009\u202f'\u2019]"
 _NUMBER = rf"\d{{1,3}}(?:{_GROUP}\d{{3}})+(?:[.,]\d+)?|\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d{{1,3}}(?:\.\d{{3}})+,\d+|\d{{1,3}}(?:\.\d{{3}}){{2,}}|\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?"
@@ -23,8 +50,6 @@ def _said(words: str) -> str:
 
 
 def common_values_sql() -> str:
-    rows = sorted(set(units._alias_rows()), key=str)
-    aliases = ", ".join(f"({_quote(q)}, {_quote(a)}, {_quote(c) if c else 'NULL'}, {f!r}::DOUBLE)" for q, a, c, f in rows)
     heads = {
         "grade_values": r"(?i)^\s*(?:(?:head|cu|au|ag)\s+)?(?:grade|cu|au|ag)\b",
         "tonnage_mean": r"(?i)^\s*(?:ore\s+)?(?:mass|tonnage|tonnes)\b",
@@ -43,7 +68,7 @@ def common_values_sql() -> str:
         unit = f"coalesce(nullif({_squash(header)}, ''), nullif({_squash(caption)}, ''), nullif({_squash(before)}, ''))"
         stated.append(f"SELECT table_id, {_quote(q)} AS quantity, {unit} AS unit FROM extracted_tables WHERE table_id IS NOT NULL")
     return f"""
-WITH alias(quantity, alias, currency, factor) AS (VALUES {aliases}),
+WITH {_ALIASES},
 val AS (
   SELECT DISTINCT * FROM (
     SELECT feature_id, price_year, table_id, 'grade_values' AS quantity, (generate_subscripts(grade_values, 1) - 1)::INT AS item_pos, unnest(grade_values) AS v, grade_unit AS u FROM doc_features
