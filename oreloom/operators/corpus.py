@@ -9,19 +9,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oreloom.session import cut
+
+#: Items of a doc per chunk when pairs of them are formed.
+PAIR_CHUNK = 64
+
+
+def in_parts(seq: DataFrame) -> DataFrame:
+    """The rows cut into ranges of (doc, pos), ``__part`` telling them apart: a hot doc is spread over as many as its share.
+
+    Checkpointed, since the borders of a range order are drawn anew at every run and two readers must see the same.
+    """
+    return cut(seq.repartitionByRange("doc", "pos")).withColumn("__part", F.spark_partition_id())
+
+
+def _with_carried(inside: DataFrame, ends: DataFrame, carried: Column) -> DataFrame:
+    """inside with ``__carried``, what the other parts of its doc hand over: one row per part that a doc reaches, few with anything."""
+    over = ends.select(F.col("__part").alias("__p"), F.col("doc").alias("__d"), carried.alias("__carried")).filter("__carried IS NOT NULL")
+    return inside.join(over, (F.col("__part") == F.col("__p")) & F.col("doc").eqNullSafe(F.col("__d")), "left").drop("__p", "__d")
+
+
+def beside(parts: DataFrame, value: str, name: str, ahead: bool) -> DataFrame:
+    """Adds the value of the next (ahead) or previous row of the doc; null at its end."""
+    kept = F.struct(value)  # tells a null value from no row
+    move = F.lead if ahead else F.lag
+    inside = parts.withColumn("__own", move(kept).over(Window.partitionBy("__part", "doc").orderBy("pos")))
+    edge = (F.min_by if ahead else F.max_by)(kept, "pos")
+    ends = parts.groupBy("__part", "doc").agg(edge.alias("edge"))
+    found = _with_carried(inside, ends, move("edge").over(Window.partitionBy("doc").orderBy("__part")))
+    return found.withColumn(name, F.coalesce("__own", "__carried")[value]).drop("__own", "__carried")
+
+
+def ranked(parts: DataFrame, name: str) -> DataFrame:
+    """Adds the number of the row in its doc, from 1."""
+    inside = parts.withColumn("__own", F.row_number().over(Window.partitionBy("__part", "doc").orderBy("pos")))
+    ends = parts.groupBy("__part", "doc").agg(F.count("*").alias("n"))
+    found = _with_carried(inside, ends, F.sum("n").over(Window.partitionBy("doc").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
+    return found.withColumn(name, F.col("__own") + F.coalesce("__carried", F.lit(0))).drop("__own", "__carried")
+
 
 def collapse_repeats(seq: DataFrame) -> DataFrame:
     """Drop null stages and those equal to the previous one within doc; positions are renumbered from 1."""
-    by = Window.partitionBy("doc").orderBy("pos")
-    kept = seq.filter(F.col("stage").isNotNull()).withColumn("__before", F.lag("stage").over(by))
-    kept = kept.filter(~F.col("stage").eqNullSafe(F.col("__before")))
-    return kept.select("doc", "stage", F.row_number().over(by).alias("pos"))
+    parts = in_parts(seq.filter(F.col("stage").isNotNull()))
+    kept = beside(parts, "stage", "__before", ahead=False).filter(~F.col("stage").eqNullSafe(F.col("__before"))).drop("__before")
+    return ranked(kept, "__n").select("doc", "stage", F.col("__n").cast("int").alias("pos"))
 
 
 def transitions(seq: DataFrame) -> DataFrame:
     """(doc, src, dst) of adjacent stages; the last stage of a doc has none."""
-    by = Window.partitionBy("doc").orderBy("pos")
-    return seq.select("doc", F.col("stage").alias("src"), F.lead("stage").over(by).alias("dst")).filter("dst IS NOT NULL")
+    return beside(in_parts(seq), "stage", "dst", ahead=True).select("doc", F.col("stage").alias("src"), "dst").filter("dst IS NOT NULL")
 
 
 def transition_counts(edges: DataFrame, self_loops: bool = True) -> DataFrame:
@@ -35,14 +71,30 @@ def support(members: DataFrame, min_docs: int = 1) -> DataFrame:
     return members.groupBy("item").agg(F.count_distinct("doc").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
 
 
-def joint_support(members: DataFrame) -> DataFrame:
-    """A5: docs containing both items, the diagonal included. Item sets are folded per doc, pairs formed inside it.
+def item_pairs(members: DataFrame, chunk: int = PAIR_CHUNK) -> DataFrame:
+    """(doc, a, b), a < b, of all pairs of a doc's distinct items, null items left out.
 
-    Meant for small vocabularies per doc (a flowsheet's stages); baskets without bound have an operator of their own.
+    A doc's items are spread over chunks by hash; every pair of chunks, a chunk with itself too, is a block of its own, so
+    that no task forms more than about chunk x chunk pairs of a doc at a time, however many items it has.
     """
-    sets = members.filter("item IS NOT NULL").groupBy("doc").agg(F.collect_set("item").alias("items"))
-    pairs = F.flatten(F.transform("items", lambda a: F.transform("items", lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return sets.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n_docs"))
+    items = members.select("doc", "item").filter("item IS NOT NULL").distinct()
+    sizes = items.groupBy(F.col("doc").alias("__d")).agg(F.ceil(F.count("*") / F.lit(chunk)).alias("k"))
+    spot = F.pmod(F.xxhash64("item"), F.col("k")).cast("int")
+    sized = items.join(sizes, F.col("doc").eqNullSafe(F.col("__d"))).select("doc", "item", "k", spot.alias("i"))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("k").cast("int") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))
+    spread = sized.select("doc", "item", "i", F.inline(blocks)).groupBy("doc", "lo", "hi")
+    side = lambda end: F.array_sort(F.collect_list(F.when(F.col("i") == F.col(end), F.col("item"))))
+    sides = spread.agg(side("lo").alias("l"), side("hi").alias("r"))
+    pairs = sides.select("doc", "lo", "hi", "r", F.explode("l").alias("x")).select("doc", "lo", "hi", "x", F.explode("r").alias("y"))
+    pairs = pairs.filter((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y")))
+    return pairs.select("doc", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def joint_support(members: DataFrame) -> DataFrame:
+    """A5: docs containing both items, the diagonal included; pairs are counted before either order of them is told."""
+    counted = item_pairs(members).groupBy("a", "b").agg(F.count("*").alias("n_docs"))
+    alone = support(members.filter("item IS NOT NULL")).select(F.col("item").alias("a"), F.col("item").alias("b"), "n_docs")
+    return counted.unionByName(counted.select(F.col("b").alias("a"), F.col("a").alias("b"), "n_docs")).unionByName(alone)
 
 
 def conditional_probability(joint: DataFrame) -> DataFrame:
@@ -125,10 +177,11 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def normalised_order(seq: DataFrame) -> DataFrame:
-    """Position scaled to [0, 1] within doc; a single stage has 0."""
-    last = F.max("pos").over(Window.partitionBy("doc"))
-    first = F.min("pos").over(Window.partitionBy("doc"))
-    return seq.withColumn("order", F.coalesce(F.try_divide((F.col("pos") - first).cast("double"), (last - first).cast("double")), F.lit(0.0)))
+    """Position scaled to [0, 1] within doc; a single stage has 0. The ends come from an aggregate, not from a hot doc's window."""
+    ends = seq.groupBy(F.col("doc").alias("__d")).agg(F.min("pos").alias("__lo"), F.max("pos").alias("__hi"))
+    joined = seq.join(ends, F.col("doc").eqNullSafe(F.col("__d")))
+    scaled = F.try_divide((F.col("pos") - F.col("__lo")).cast("double"), (F.col("__hi") - F.col("__lo")).cast("double"))
+    return joined.withColumn("order", F.coalesce(scaled, F.lit(0.0))).drop("__d", "__lo", "__hi")
 
 
 def vocabulary(seq: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oreloom.operators.corpus import item_pairs
+
 
 def nearest_within(left: DataFrame, right: DataFrame, key: str, at: str, tolerance: int, value: str) -> DataFrame:
     """For each left row the value of the right row of the same key with the nearest ``at`` within the tolerance.
@@ -154,11 +156,11 @@ def endpoint_gate(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def ordered_pairs(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """All (src, dst), src <> dst, of a doc's item set with a label telling whether the edge exists."""
-    sets = members.groupBy("doc").agg(F.collect_set("item").alias("items"))
-    pairs = F.flatten(F.transform("items", lambda a: F.transform(F.filter("items", lambda b: b != a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
+    """All (src, dst), src <> dst, of a doc's item set with a label telling whether the edge exists. Pairs come from blocks of chunks."""
+    pairs = item_pairs(members)
+    both = pairs.select("doc", F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))))
     marked = edges.select("doc", "src", "dst").distinct().withColumn("label", F.lit(1))
-    return sets.select("doc", F.inline(pairs)).join(marked, ["doc", "src", "dst"], "left").fillna(0, ["label"])
+    return both.join(marked, ["doc", "src", "dst"], "left").fillna(0, ["label"])
 
 
 def negative_partner(rows: DataFrame, doc: str, row_id: str, buckets: int) -> DataFrame:

@@ -40,13 +40,10 @@ def t3_canonical_stage(spark: SparkSession, sf: str) -> DataFrame:
     " SELECT doc, pos, CASE WHEN stage = 'dewatering' AND o < 0.3 THEN 'early dewatering' WHEN stage = 'dewatering' AND before = 'leach train' THEN 'leach dewatering' ELSE stage END AS stage FROM n"
 )
 def t4_contextual_stage(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc").orderBy("pos")
-    seq = sequences(spark, sf).withColumns({
-        "before": F.array(F.lag("stage").over(w)), "after": F.array(F.lead("stage").over(w)),
-        "o": (F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy("doc")),
-    })
+    parts = C.in_parts(sequences(spark, sf))
+    sizes = parts.groupBy("doc").agg(F.count("*").alias("n"))
+    seq = C.ranked(C.beside(C.beside(parts, "stage", "b", ahead=False), "stage", "a", ahead=True), "rank").join(sizes, "doc")
+    seq = seq.withColumns({"before": F.array("b"), "after": F.array("a"), "o": (F.col("rank") - 1) / F.col("n")})
     rules = [{"of": "dewatering", "below": 0.3, "to": "early dewatering"}, {"of": "dewatering", "fed_by": "leach train", "to": "leach dewatering"}]
     return seq.select("doc", "pos", S.contextual_stage(F.col("stage"), F.col("o"), F.col("before"), F.col("after"), rules).alias("stage"))
 

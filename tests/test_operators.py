@@ -406,3 +406,35 @@ def test_keyword_classes_match_counting_each_pattern(spark):
             if n:
                 want.add((i, m, n))
     assert {tuple(r) for r in keyword_classes(df, "id", "t").collect()} == want
+
+
+def test_a_hot_sequence_is_cut_into_parts_and_joined_again(spark, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    rnd = random.Random(6)
+    seq = [("hot", rnd.choice("abc"), i * 7) for i in range(3000)] + [(f"d{i % 40}", rnd.choice(["a", "b", None]), i) for i in range(400)] + [(None, "a", 1), (None, "b", 2)]
+    df = spark.createDataFrame(seq, "doc string, stage string, pos bigint").repartition(3)
+    assert corpus.in_parts(df).filter("doc = 'hot'").select("__part").distinct().count() > 1
+    want, kept = [], []
+    for doc in {d for d, _, _ in seq}:
+        own = [s for d, s, _ in sorted((x for x in seq if x[0] == doc), key=lambda x: x[2])]
+        want += [(doc, a, b) for a, b in zip(own, own[1:]) if b is not None]
+        named = [s for s in own if s is not None]
+        kept += [(doc, s, i) for i, s in enumerate((s for j, s in enumerate(named) if not j or named[j - 1] != s), 1)]
+    order = lambda rows: sorted(map(str, rows))
+    assert order(tuple(r) for r in corpus.transitions(df).collect()) == order(want)
+    assert order(tuple(r) for r in corpus.collapse_repeats(df).collect()) == order(kept)
+    assert corpus.transitions(df.limit(0)).count() == 0
+
+
+def test_pairs_of_large_sets_come_from_blocks(spark):
+    rnd = random.Random(9)
+    members = [("x", f"i{i:03d}") for i in range(90)] + [(f"d{i % 30}", f"i{rnd.randint(0, 50):03d}") for i in range(200)] + [("x", None), (None, "a"), (None, "b")]
+    df = spark.createDataFrame(members + members[:9], "doc string, item string")
+    sets = {}
+    for d, i in members:
+        if i is not None:
+            sets.setdefault(d, set()).add(i)
+    want = sorted(str((d, a, b)) for d, s in sets.items() for a in s for b in s if a < b)
+    for chunk in (8, 64):
+        assert sorted(str(tuple(r)) for r in corpus.item_pairs(df, chunk).collect()) == want
