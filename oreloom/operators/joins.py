@@ -5,8 +5,6 @@ Each has an equi-key that splits the work: a group key plus a bucket of the orde
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -106,48 +104,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", floor: float | None = None, block: int = 2048, same: bool = False) -> DataFrame:
-    """Exact k nearest base rows of each query; (id, vec) on both sides -> id, neighbor, score, rank.
-
-    Rows are gathered into blocks; every pair of a query block and a base block is one matrix product, which keeps its
-    k best per query, so k candidates per pair of blocks are shuffled. same: a row is not its own neighbour.
-    metric: cosine (higher is nearer) or euclidean (negative distance). Ties by neighbour id.
-    """
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        n = max(1, -(-df.count() // block))
-        spot = F.pmod(F.xxhash64("id"), F.lit(n))
-        return df.groupBy(spot.alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "vec")).alias(name))
-
-    schema = "id bigint, neighbor bigint, score double"
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for q, b in zip(pdf["q"], pdf["b"], strict=True):
-                qid, bid = np.array([r["id"] for r in q]), np.array([r["id"] for r in b])
-                x = np.array([r["vec"] for r in q], np.float64)
-                y = np.array([r["vec"] for r in b], np.float64)
-                if metric == "cosine":
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                    y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-                    s = x @ y.T
-                else:
-                    s = -np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-                s = np.round(s, 9)
-                if same:
-                    s[qid[:, None] == bid[None]] = -np.inf
-                order = np.lexsort((np.broadcast_to(bid, s.shape), -s), axis=1)[:, :k]
-                rows = pd.DataFrame(
-                    {"id": np.repeat(qid, order.shape[1]), "neighbor": bid[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()}
-                )
-                yield rows[np.isfinite(rows["score"])]
-
-    pairs = blocks(queries, "q").join(blocks(base, "b"))  # one row per pair of blocks
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "neighbor"))
-    found = pairs.select("q", "b").mapInPandas(best, schema).withColumn("rank", rank).filter(F.col("rank") <= k)
-    return found if floor is None else found.filter(F.col("score") >= floor)
-
-
 def endpoint_gate(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Edges (doc, src, dst) of which both ends are members (doc, item) of the doc."""
     m = members.select("doc", "item").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from oreloom.operators import corpus as C
 from oreloom.operators import graphs as G
 from oreloom.operators import joins as J
+from oreloom.operators import neighbors as N
 from oreloom.plans.base import SEQ, sequences
 from oreloom.plans.registry import query
 from oreloom.session import table
@@ -77,6 +78,6 @@ def h11_drawn_edges(spark: SparkSession, sf: str) -> DataFrame:
 )
 def h12_vote_trace(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    near = J.knn(v.filter("id % 20 = 0"), v, 5, "euclidean", same=True).select("id", "neighbor", (-F.col("score")).alias("distance"))
+    near = N.knn(v.filter("id % 20 = 0"), v, 5, "euclidean", same=True).select("id", "neighbor", (-F.col("score")).alias("distance"))
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("neighbor"), "label")
     return G.vote_trace(near, labels).select("id", "neighbor", "label", F.round("distance", 5).alias("distance"), F.round("weight", 5).alias("weight"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from oreloom.functions.keys import norm_key
 from oreloom.operators import joins as J
+from oreloom.operators import neighbors as N
 from oreloom.plans.base import BOTH, LATEST, LINKS, SEQ, latest_predictions, links, predicted, sequences, sql_norm, truth
 from oreloom.plans.registry import query
 from oreloom.session import table
@@ -132,7 +133,7 @@ _KNN = "WITH p AS (SELECT q.vec_id AS id, b.vec_id AS neighbor, round(list_cosin
 @query(_KNN + " SELECT id, neighbor, rank, round(s, 5) AS score FROM r WHERE rank <= 20")
 def j12_similar_documents(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    return J.knn(v.filter("id % 20 = 0"), v, 20, same=True).select("id", "neighbor", "rank", _R("score", 5))
+    return N.knn(v.filter("id % 20 = 0"), v, 20, same=True).select("id", "neighbor", "rank", _R("score", 5))
 
 
 @query(
@@ -141,7 +142,26 @@ def j12_similar_documents(spark: SparkSession, sf: str) -> DataFrame:
 )
 def j13_knn_euclidean(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    return J.knn(v.filter("id % 20 = 0"), v, 10, "euclidean", same=True).select("id", "neighbor", "rank", F.round(-F.col("score"), 4).alias("distance"))
+    return N.knn(v.filter("id % 20 = 0"), v, 10, "euclidean", same=True).select("id", "neighbor", "rank", F.round(-F.col("score"), 4).alias("distance"))
+
+
+@query()
+def j12_all_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbours of every row, through the index: each row meets the cells it probes."""
+    v = _vectors(spark, sf)
+    return N.knn(v, v, 20, same=True, index=N.fit_cells(v, 20)).select("id", "neighbor", "rank", _R("score", 5))
+
+
+@query("SELECT 'cosine' AS metric, count(*) FILTER (vec_id % 20 = 0) AS n_queries, true AS enough FROM embeddings UNION ALL SELECT 'euclidean', count(*) FILTER (vec_id % 20 = 0), true FROM embeddings")
+def j13_index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the index finds at least 0.9 of the exact neighbours, for the rows whose id is divisible by 20 against all."""
+    v = _vectors(spark, sf)
+    asked = v.filter("id % 20 = 0")
+    rows = []
+    for metric in ("cosine", "euclidean"):
+        found = N.knn(asked, v, 10, metric, same=True, index=N.fit_cells(v, 10, metric))
+        rows.append((metric, asked.count(), bool(N.recall(found, N.knn(asked, v, 10, metric, same=True)) >= 0.9)))
+    return spark.createDataFrame(rows, "metric string, n_queries bigint, enough boolean")
 
 
 _EDGES = f"WITH {SEQ}, m AS (SELECT DISTINCT doc, stage AS item FROM seq), e AS (SELECT DISTINCT doc, src, dst FROM (SELECT doc, stage AS src, lead(stage) OVER (PARTITION BY doc ORDER BY pos) AS dst FROM seq) WHERE dst IS NOT NULL)"
@@ -209,7 +229,7 @@ def j20_neighbor_features(spark: SparkSession, sf: str) -> DataFrame:
     """Similarity-weighted mean of the neighbours' value, and the row's own value less it."""
     v = _vectors(spark, sf)
     labels = table(spark, sf, "embeddings").select("vec_id", "label")
-    near = J.knn(v.filter("id % 20 = 0"), v, 10, same=True).join(labels.withColumnRenamed("vec_id", "neighbor"), "neighbor").filter("label IS NOT NULL")
+    near = N.knn(v.filter("id % 20 = 0"), v, 10, same=True).join(labels.withColumnRenamed("vec_id", "neighbor"), "neighbor").filter("label IS NOT NULL")
     w = F.greatest("score", F.lit(0.0))
     mean = near.groupBy("id").agg(F.try_divide(F.sum(w * F.col("label")), F.sum(w)).alias("m"))
     own = mean.join(labels.withColumnRenamed("vec_id", "id"), "id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from oreloom.operators import corpus as C
 from oreloom.operators import joins as J
+from oreloom.operators import neighbors as N
 from oreloom.operators import learn as L
 from oreloom.operators import tables as S
 from oreloom.plans.base import LATEST, SEQ, TRUTH, latest_predictions, predicted, sequences, truth
@@ -99,7 +100,7 @@ def w13_seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
 )
 def w3_neighbours_with_floor(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return J.knn(v.filter("id % 20 = 0"), v, 20, floor=0.3, same=True).select("id", "neighbor", F.round("score", 5).alias("score"))
+    return N.knn(v.filter("id % 20 = 0"), v, 20, floor=0.3, same=True).select("id", "neighbor", F.round("score", 5).alias("score"))
 
 
 def _graphs(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oreloom.functions import plant, text
-from oreloom.operators import corpus, evaluate, graphs, joins, learn, tables
+from oreloom.operators import corpus, evaluate, graphs, joins, learn, neighbors, tables
 from oreloom.sources import results, sinks
 from oreloom.streaming import ingest
 
@@ -126,7 +126,7 @@ def test_knn_blocks_match_brute_force(spark, metric):
     x = rng.normal(size=(90, 6)).round(3)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, vec array<double>")
     got = {}
-    for r in joins.knn(df.filter("id % 5 = 0"), df, 4, metric, block=20, same=True).collect():
+    for r in neighbors.knn(df.filter("id % 5 = 0"), df, 4, metric, block=20, same=True).collect():
         got.setdefault(r.id, {})[r["rank"]] = r.neighbor
     for q in range(0, 90, 5):
         if metric == "cosine":
@@ -139,7 +139,7 @@ def test_knn_blocks_match_brute_force(spark, metric):
 
 def test_knn_with_fewer_rows_than_k(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id bigint, vec array<double>")
-    assert joins.knn(df, df, 5, same=True).count() == 2
+    assert neighbors.knn(df, df, 5, same=True).count() == 2
 
 
 def test_negative_partner_is_of_another_document(spark):
@@ -438,3 +438,22 @@ def test_pairs_of_large_sets_come_from_blocks(spark):
     want = sorted(str((d, a, b)) for d, s in sets.items() for a in s for b in s if a < b)
     for chunk in (8, 64):
         assert sorted(str(tuple(r)) for r in corpus.item_pairs(df, chunk).collect()) == want
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_index_probes_few_cells_and_finds_most(spark, metric):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 8)) * 8
+    hot = [0] * 300 + list(range(12)) * 40  # one cell holds two fifths of the rows
+    x = centres[hot] + rng.normal(size=(len(hot), 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(10**6, None)], "id bigint, vec array<double>")
+    index = neighbors.fit_cells(df, 5, metric)
+    assert index.probes <= len(index.centres) and len(index.centres) > 8
+    exact = neighbors.knn(df, df, 5, metric, same=True)
+    found = neighbors.knn(df, df, 5, metric, same=True, index=index, block=64)
+    assert neighbors.recall(found, exact) >= 0.9
+    assert found.select("id").distinct().count() == len(hot)
+    again = neighbors.fit_cells(df.repartition(5), 5, metric)
+    assert again.probes == index.probes and np.allclose(again.centres, index.centres)
+    empty = df.limit(0)
+    assert neighbors.knn(empty, empty, 5, index=neighbors.fit_cells(empty, 5)).count() == 0
