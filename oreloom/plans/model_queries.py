@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oreloom.functions import hydromet as HY
 from oreloom.functions import plant as P
+from oreloom.functions import separation as SP
 from oreloom.operators import learn as L
+from oreloom.operators import plantchain as PC
 from oreloom.plans.base import LATEST, latest_predictions
+from oreloom.plans.plant_sql import CHAIN_ROWS, chain_sql, flotation_sql
 from oreloom.plans.registry import query
 from oreloom.session import table
 
@@ -150,11 +154,101 @@ def p_08_leach(spark: SparkSession, sf: str) -> DataFrame:
     return _scenarios(spark, sf).select("id", F.round(P.leach_extraction(k, F.lit(3600.0), F.lit(0.96)), 6).alias("extraction"))
 
 
-@query(f"WITH s AS ({_SCEN}) SELECT id, round((tph * p80 + 200 * 50.0) / (tph + 200), 6) AS mixed, 0.0::DOUBLE AS closure FROM s")
-def p_09_balance(spark: SparkSession, sf: str) -> DataFrame:
-    mixed = P.mix([(F.col("tph"), F.col("p80")), (F.lit(200.0), F.lit(50.0))])
-    error = P.closure_error(F.col("tph"), [F.col("tph") * 0.25, F.col("tph") * 0.75])
-    return _scenarios(spark, sf).select("id", F.round(mixed, 6).alias("mixed"), F.round(error, 6).alias("closure"))
+_F = lambda name, digits: f"round({name}, {digits}) AS {name}"
+_CHAIN = {"crusher_kw": 3, "mill_kw": 3, "mill_feed_um": 4, "cells": 0, "rougher_r": 6, "rougher_t": 4, "regrind_kw": 3, "conc_t": 4, "conc_grade": 6, "tails_t": 4, "tails_grade": 8,
+          "thickener_m2": 4, "filter_m2": 3, "cake_mm": 4, "cake_water": 4, "cathode_t": 4, "acid_kg": 2, "recovery": 6}
+
+
+def _chain_rows(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("p_size")
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), (1000.0 + s).alias("tph"), (0.004 + (s % 10) / 2000.0).alias("grade"), (150.0 + s).alias("p80"), (1.4 + (s % 5) / 10.0).alias("gas")
+    )
+
+
+def _chain(spark: SparkSession, sf: str, **how: object) -> DataFrame:
+    done = PC.simulate(_chain_rows(spark, sf), PC.Settings(**how))
+    return done.select("id", *[F.round(c, d).alias(c) for c, d in _CHAIN.items()], (F.col("closure") < 1e-6).alias("closed"))
+
+
+def _chain_oracle(leach: bool) -> str:
+    return f"{chain_sql(leach)} SELECT id, {', '.join(_F(c, d) for c, d in _CHAIN.items())}, true AS closed FROM done"
+
+
+@query(_chain_oracle(False))
+def p_09_concentrator(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain with concentrate as product; closed tells whether the copper of all leaving streams adds up."""
+    return _chain(spark, sf)
+
+
+@query(_chain_oracle(True))
+def p_09_hydromet(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain with cathode as product."""
+    return _chain(spark, sf, leach=True)
+
+
+@query(f"WITH src AS ({CHAIN_ROWS}), {flotation_sql('src', 'f', 0.90, 0.15, 'p80', 18.0, '6', 250.0)} SELECT id, round(r, 6) AS recovery FROM f")
+def p_04_kinetics(spark: SparkSession, sf: str) -> DataFrame:
+    """Recovery of a bank from surface tension, bubble size, collision, attachment, detachment and froth."""
+    rows = PC.with_flotation(_chain_rows(spark, sf), "recovery", PC.Cell(), F.col("p80"), F.col("gas"), 18.0, F.lit(6.0), 250.0)
+    return rows.select("id", F.round("recovery", 6).alias("recovery"))
+
+
+@query(
+    f"WITH s AS ({_SCEN}), t AS (SELECT *, 1.25 * tph / (2.7 * (4 * 8.0 / 0.4 * 4.6 * pow(3.6, 3.6) / pow(5.6, 5.6))) AS area, tph * 1000 / (tph * 0.5 + p80) AS w FROM s),"
+    " c AS (SELECT *, w * (sqrt(pow(1e7 / 70000, 2) + 4 * (1e8 * w / 140000) * 60) - 1e7 / 70000) / (2 * 1e8 * w / 140000) AS l FROM t)"
+    " SELECT id, round(area, 4) AS area, round(sqrt(4 * area / pi()), 4) AS diameter, round(l / 2, 4) AS cake_mm, round(tph / 3.6 * 200 / l, 4) AS belt, round(0.3 * tph * 1.10231 / 4.5 / 10.7639, 6) AS deck,"
+    " round(0.7 * tph * 1.10231 * (2000 / (1.6 * 62.428)) / (5 * 75 * 2.4 * 3.28084), 6) AS depth, (0.7 * tph * 1.10231 * (2000 / (1.6 * 62.428)) / (5 * 75 * 2.4 * 3.28084)) <= 4 * 25 / 25.4 AS shallow FROM c"
+)
+def p_05_sizing(spark: SparkSession, sf: str) -> DataFrame:
+    """Thickener area and diameter, belt area and cake, screen deck and bed depth."""
+    t = F.col("tph")
+    area, load, depth = SP.thickener_area(t), SP.cake_loading(t, t * 0.5 + F.col("p80")), SP.bed_depth_in(t * 0.7)
+    return _scenarios(spark, sf).select(
+        "id", F.round(area, 4).alias("area"), F.round(SP.diameter(area), 4).alias("diameter"), F.round(SP.cake_thickness_mm(load), 4).alias("cake_mm"),
+        F.round(SP.filter_area(t, load), 4).alias("belt"), F.round(SP.deck_area(t * 0.3), 6).alias("deck"), F.round(depth, 6).alias("depth"), SP.bed_is_shallow(depth, 25.0).alias("shallow"),
+    )
+
+
+@query(
+    f"WITH s AS ({_SCEN}), e AS (SELECT id, tph, tph / 100 AS cu, 0.4 * 18.6 * (30 + p80 / 10) AS i FROM s), g AS (SELECT *, i * 1.2 * 3600 * 63.5 * 0.92 / (2 * 96485.0) AS g, i * 1.2 * (0.5 * 5 / 12000) + 1.96 AS v FROM e),"
+    " c AS (SELECT *, ceil(cu * 1e6 / (g * 60)) AS n FROM g)"
+    " SELECT id, round(i, 4) AS current, round(v, 6) AS volts, n::BIGINT AS cells, round(n * 60 * i * 1.2 * v / 1000, 3) AS kw, round(cu * 6170, 4) AS acid, round(tph * 24 * 365 / (1.7 * 8), 3) AS pad, round(cu * 1000000 / 4 / 1000, 4) AS liquor FROM c"
+)
+def p_06_electrowinning(spark: SparkSession, sf: str) -> DataFrame:
+    """Cathode plating by Faraday's law, with the acid, heap pad and liquor of the same copper."""
+    cu = F.col("tph") / 100
+    i = HY.operating_current(30 + F.col("p80") / 10)
+    volts, cells = HY.cell_voltage(i), HY.cells_needed(cu, HY.cathode_grams(i))
+    return _scenarios(spark, sf).select(
+        "id", F.round(i, 4).alias("current"), F.round(volts, 6).alias("volts"), cells.cast("bigint").alias("cells"), F.round(HY.electrowinning_kw(cells, i, volts), 3).alias("kw"),
+        F.round(HY.leach_acid(cu), 4).alias("acid"), F.round(HY.heap_pad_area(F.col("tph")), 3).alias("pad"), F.round(HY.heap_liquor(cu), 4).alias("liquor"),
+    )
+
+
+@query(
+    f"WITH s AS ({_SCEN}), m AS (SELECT id, tph * 30 * 1000 / 98.08 AS a, tph * 1000 / 55.85 AS f, p80 * 2 * 1000 / 74.92 AS r, 150 * 1000 / 175.0 AS b FROM s)"
+    " SELECT id, round((a + 6 * least(f, r) / 2 + b) * 74.09 / 1000 / 0.95, 3) AS lime, round((a + 7 * least(f, r) / 2 + b) * 172.17 / 1000, 3) AS gypsum, f / r < 3 AS short FROM m"
+)
+def p_06_neutralisation(spark: SparkSession, sf: str) -> DataFrame:
+    lime, gypsum, short = HY.neutralisation(F.col("tph") * 30, F.col("tph"), F.col("p80") * 2, F.lit(150.0))
+    return _scenarios(spark, sf).select("id", F.round(lime, 3).alias("lime"), F.round(gypsum, 3).alias("gypsum"), short.alias("short"))
+
+
+# The steady state is checked by what defines it: both balances of the mixer vanish.
+@query(f"WITH s AS ({_SCEN}) SELECT id, true AS aqueous, true AS organic, true AS inside FROM s")
+def p_06_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scenarios(spark, sf).withColumns({"x0": 2 + F.col("p80") / 50, "ph": F.lit(1.8), "y0": F.lit(1.5), "qa": F.col("tph"), "qo": F.col("tph") * 1.1})
+    top, half = HY.isotherm(F.col("ph"), F.col("x0"), 0.5, 10.0)
+    rows = rows.withColumns({"top": top, "half": half})
+    x, y = HY.extraction_stage(F.col("x0"), F.col("y0"), F.col("qa"), F.col("qo"), F.col("top"), F.col("half"), 30.0, 0.9, 60.0, 60.0)
+    rows = rows.withColumns({"x": x, "y": y})
+    gain = 30.0 * (0.1 * F.col("y0") + 0.9 * F.col("top") * F.col("x") / (F.col("x") + F.col("half")) - F.col("y"))
+    small = lambda c: F.abs(c) < 1e-6
+    return rows.select(
+        "id", small(F.col("qa") / 60 * (F.col("x0") - F.col("x")) - gain).alias("aqueous"), small(F.col("qo") / 60 * (F.col("y0") - F.col("y")) + gain).alias("organic"),
+        ((F.col("x") > 0) & (F.col("x") < F.col("x0"))).alias("inside"),
+    )
 
 
 @query(f"WITH s AS ({_SCEN}), g AS (SELECT * FROM s, (SELECT unnest([100.0, 150.0, 200.0]::DOUBLE[]) AS target)) SELECT target, count(*) AS n, round(avg(wi * 10 * (1 / sqrt(target) - 1 / sqrt(f80))), 6) AS kwh FROM g GROUP BY 1")
