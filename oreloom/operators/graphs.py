@@ -206,3 +206,13 @@ def vote_trace(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     w = 1 / (F.col("distance") + 1e-6)
     scaled = neighbours.select("id", "neighbor", "distance", (w / F.sum(w).over(Window.partitionBy("id"))).alias("weight"))
     return scaled.join(labels, "neighbor").select("id", "neighbor", "label", "distance", "weight")
+
+
+def feature_contributions(near: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(id, neighbor, distance) -> one row per feature with its part of the squared distance; adds_up: the parts make it up."""
+    of = lambda key, name: vectors.select(F.col("id").alias(key), F.col("vec").alias(name))
+    both = near.join(of("id", "x"), "id").join(of("neighbor", "y"), "neighbor")
+    parts = F.zip_with("x", "y", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
+    summed = both.withColumn("parts", parts).withColumn("all", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p))
+    adds_up = F.abs(F.col("all") - F.col("distance") * F.col("distance")) < 1e-6
+    return summed.select("id", "neighbor", adds_up.alias("adds_up"), F.posexplode("parts").alias("feature", "part"))

@@ -5,6 +5,8 @@ Each has an equi-key that splits the work: a group key plus a bucket of the orde
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -146,6 +148,44 @@ def negative_partner(rows: DataFrame, doc: str, row_id: str, buckets: int) -> Da
     return found.select(doc, row_id, F.col("__partner.id").alias("partner"), F.col("__partner.doc").alias("partner_doc"))
 
 
+#: Names that one automaton holds (some tens of megabytes); more are looked for in further passes.
+NAME_BLOCK = 100_000
+
+
+def mentions(texts: DataFrame, names: DataFrame, block: int = NAME_BLOCK) -> DataFrame:
+    """A row (name) for each text and each name that it contains, whole words or not; one pass over a text for all names.
+
+    texts: (text), names: (name); null and empty names are in no text. The automaton (Aho-Corasick) is built once per task.
+    """
+    wanted = names.select("name").filter("name <> ''").distinct()
+    blocks = max(1, -(-wanted.count() // block))
+    out = None
+    for b in range(blocks):
+        mine = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)
+        found = texts.select("text").filter("text IS NOT NULL").mapInPandas(_finder(sorted(r.name for r in mine.collect())), "name string")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _finder(words: list[str]):  # noqa: ANN202
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for w in words:
+                automaton.add_word(w, w)
+            if words:
+                automaton.make_automaton()
+            within = lambda text: {w for _, w in automaton.iter(text)} if words else ()
+        except ImportError:  # each name by itself; the same result
+            within = lambda text: [w for w in words if w in text]
+        for pdf in batches:
+            yield pd.DataFrame({"name": [w for text in pdf["text"] for w in within(text)]}, dtype=object)
+
+    return run
+
+
 def nearest_number(rows: DataFrame, targets: list[float], value: str, name: str, preferred: Column, window: float) -> DataFrame:
     """For each target the row with the nearest value; inside the window a preferred row beats nearer others.
 

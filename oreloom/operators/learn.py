@@ -144,14 +144,42 @@ def ablation(metric: dict[str, float], full: float) -> list[tuple[str, float]]:
     return sorted(((g, full - m) for g, m in metric.items()), key=lambda x: (-x[1], x[0]))
 
 
-def lexical_relevance(left: DataFrame, right: DataFrame, weights: DataFrame) -> DataFrame:
-    """Relevance of (left_id, right_id) pairs as cosine of their tf-idf rows; the place of a heavier scorer.
+#: Features of a pair of stages: transitions either way, how often each and both occur, and the share of transitions.
+PAIR_FEATURES = ["n_there", "n_back", "n_src", "n_dst", "n_both", "rate"]
 
-    left: (left_id, term), right: (right_id, term); weights: (doc, term, weight) of both. Pairs share a term.
+
+def pair_features(pairs: DataFrame, edges: DataFrame, members: DataFrame, own: bool) -> DataFrame:
+    """Pairs (doc, src, dst, label) with counts over the documents of ``edges`` and ``members``.
+
+    own: the pairs' documents are among those; what a row itself adds is taken off, so that no row sees its own label.
+    """
+    from oreloom.operators.corpus import joint_support, support
+
+    counts = edges.groupBy("src", "dst").agg(F.count_distinct("doc").alias("n"))
+    singles = support(members)
+    joint = joint_support(members).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n_docs").alias("n_both"))
+    back = counts.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("n").alias("n_back"))
+    rows = pairs.join(counts.withColumnRenamed("n", "n_there"), ["src", "dst"], "left").join(back, ["src", "dst"], "left").join(joint, ["src", "dst"], "left")
+    for end in ("src", "dst"):
+        rows = rows.join(singles.select(F.col("item").alias(end), F.col("n_docs").alias(f"n_{end}")), end, "left")
+    less = 1.0 if own else 0.0
+    zero = lambda c: F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    mine = {"n_there": zero("n_there") - less * F.col("label"), "n_back": zero("n_back"), "n_src": zero("n_src") - less, "n_dst": zero("n_dst") - less, "n_both": zero("n_both") - less}
+    rows = rows.withColumns(mine)
+    return rows.withColumn("rate", F.coalesce(F.try_divide("n_there", "n_both"), F.lit(0.0)))
+
+
+def lexical_relevance(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Relevance of the given (left_id, right_id) pairs as cosine of their tf-idf rows; the place of a heavier scorer.
+
+    weights: (doc, term, weight) of both sides. Both joins have a pair's id in their key, so a hot term meets only its pairs.
+    Pairs without a common term have relevance 0.
     """
-    a = left.join(weights.withColumnRenamed("doc", "left_id").withColumnRenamed("weight", "wa"), ["left_id", "term"])
-    b = right.join(weights.withColumnRenamed("doc", "right_id").withColumnRenamed("weight", "wb"), ["right_id", "term"])
-    return a.join(b, "term").groupBy("left_id", "right_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("relevance"))
+    asked = pairs.select("left_id", "right_id").distinct()
+    mine = asked.join(weights.select(F.col("doc").alias("left_id"), "term", F.col("weight").alias("wa")), "left_id")
+    both = mine.join(weights.select(F.col("doc").alias("right_id"), "term", F.col("weight").alias("wb")), ["right_id", "term"])
+    scored = both.groupBy("left_id", "right_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("relevance"))
+    return asked.join(scored, ["left_id", "right_id"], "left").fillna(0.0, ["relevance"])
 
 
 def with_mandatory(pred: DataFrame, mandatory: list[str], label: str, prob: str, threshold: float) -> DataFrame:

@@ -81,3 +81,16 @@ def h12_vote_trace(spark: SparkSession, sf: str) -> DataFrame:
     near = N.knn(v.filter("id % 20 = 0"), v, 5, "euclidean", same=True).select("id", "neighbor", (-F.col("score")).alias("distance"))
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("neighbor"), "label")
     return G.vote_trace(near, labels).select("id", "neighbor", "label", F.round("distance", 5).alias("distance"), F.round("weight", 5).alias("weight"))
+
+
+@query(
+    "WITH p AS (SELECT q.vec_id AS id, b.vec_id AS neighbor, round(list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, neighbor) AS k FROM p),"
+    " d AS (SELECT id, neighbor, s, unnest(generate_series(0, 63)) AS i FROM r WHERE k <= 5),"
+    " c AS (SELECT d.id, d.neighbor, s, i, pow(q.embedding[i + 1]::DOUBLE - b.embedding[i + 1]::DOUBLE, 2) AS part FROM d JOIN embeddings q ON q.vec_id = d.id JOIN embeddings b ON b.vec_id = d.neighbor)"
+    " SELECT id, neighbor, i::INT AS feature, round(part, 9) AS part, abs(sum(part) OVER (PARTITION BY id, neighbor) - s * s) < 1e-6 AS adds_up FROM c"
+)
+def h12_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    """How much each feature adds to the squared distance of a neighbour, and whether the parts add up to it."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    near = N.knn(v.filter("id % 20 = 0"), v, 5, "euclidean", same=True).select("id", "neighbor", (-F.col("score")).alias("distance"))
+    return G.feature_contributions(near, v).select("id", "neighbor", "feature", F.round("part", 9).alias("part"), "adds_up")

@@ -99,7 +99,11 @@ def j9_greedy_disjoint(spark: SparkSession, sf: str) -> DataFrame:
     return J.greedy_disjoint(rows, "document_id", "image_id", [("lo", "hi")])
 
 
-@query()
+@query(
+    "WITH l AS (SELECT DISTINCT document_id AS report_id, page_number, table_id AS left_id FROM extracted_tables WHERE page_number IS NOT NULL),"
+    " r AS (SELECT report_id, page_number AS p, doc_id AS right_id FROM documents WHERE length(text) >= 20 AND page_number IS NOT NULL)"
+    " SELECT l.report_id, left_id, right_id, p - page_number AS gap FROM l JOIN r ON l.report_id = r.report_id AND abs(p - page_number) <= 5"
+)
 def j10_band(spark: SparkSession, sf: str) -> DataFrame:
     left = table(spark, sf, "extracted_tables").filter("page_number IS NOT NULL").select(F.col("document_id").alias("report_id"), "page_number", F.col("table_id").alias("left_id")).distinct()
     right = table(spark, sf, "documents").filter("length(text) >= 20 AND page_number IS NOT NULL").select("report_id", "page_number", F.col("doc_id").alias("right_id"))
@@ -189,16 +193,28 @@ def j15_endpoint_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT canon_name, count(*) AS n_docs FROM documents JOIN unit_vocab ON contains(lower(text), canon_name) GROUP BY 1")
 def j16_text_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """Theta match 'text contains name': the fixed list of names is tested inside each row, so nothing is joined."""
-    names = [r.canon_name for r in table(spark, sf, "unit_vocab").select("canon_name").distinct().collect()]
-    low = F.lower("text")
-    found = F.filter(F.array(*[F.when(F.contains(low, F.lit(n)), F.lit(n)) for n in names]), lambda n: n.isNotNull())
-    return table(spark, sf, "documents").select(F.explode(found).alias("canon_name")).groupBy("canon_name").agg(F.count("*").alias("n_docs"))
+    """Theta match 'text contains name': every text meets all names at once in one automaton."""
+    names = table(spark, sf, "unit_vocab").select(F.col("canon_name").alias("name"))
+    found = J.mentions(table(spark, sf, "documents").select(F.lower("text").alias("text")), names)
+    return found.groupBy(F.col("name").alias("canon_name")).agg(F.count("*").alias("n_docs"))
 
 
 @query()
 def j17_negative_partner(spark: SparkSession, sf: str) -> DataFrame:
-    return J.negative_partner(table(spark, sf, "documents").select("report_id", "doc_id"), "report_id", "doc_id", 64)
+    rows = table(spark, sf, "documents").select("report_id", "doc_id")
+    return J.negative_partner(rows, "report_id", "doc_id", max(64, rows.count() // 100_000))
+
+
+@query("SELECT count(*) AS n_rows, 0 AS n_same, 0 AS n_unknown, count(*) - count(DISTINCT doc_id) AS n_twice FROM documents")
+def j17_partner_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the partners: every row has one, of another document, that exists."""
+    documents = table(spark, sf, "documents").select("report_id", "doc_id")
+    known = documents.select(F.col("doc_id").alias("partner"), F.col("report_id").alias("of"), F.lit(1).alias("known"))
+    met = j17_negative_partner(spark, sf).join(known, "partner", "left")
+    return met.agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("report_id").eqNullSafe(F.col("partner_doc"))).alias("n_same"),
+        F.count_if(F.col("known").isNull() | ~F.col("of").eqNullSafe(F.col("partner_doc"))).alias("n_unknown"), (F.count("*") - F.count_distinct("doc_id")).alias("n_twice"),
+    )
 
 
 @query(

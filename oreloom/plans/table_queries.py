@@ -12,7 +12,7 @@ from oreloom.operators import learn as L
 from oreloom.operators import tables as S
 from oreloom.plans.base import LATEST, SEQ, TRUTH, latest_predictions, predicted, sequences, truth
 from oreloom.plans.registry import query
-from oreloom.session import table
+from oreloom.session import cut, table
 
 
 @query()
@@ -89,11 +89,20 @@ def w6_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     return S.leaderboard(table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_mktsegment", "c_acctbal")
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE ('0x' || substr(md5(o_orderkey::VARCHAR || ':42'), 1, 8))::BIGINT < 429496729")
 def w13_seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The sampling operator: a tenth of the rows, the same at every run and engine."""
     return S.seeded_sample(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 0.1)
 
 
+@query("SELECT DISTINCT table_id, array_to_string(list_transform(cell_rows[1:5], lambda r: coalesce(array_to_string(r, '~'), '')), '|') AS head FROM extracted_tables WHERE table_id IS NOT NULL AND cell_rows IS NOT NULL")
+def w13_head_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The head limit: the first five rows of each table."""
+    rows = table(spark, sf, "extracted_tables").filter("table_id IS NOT NULL AND cell_rows IS NOT NULL")
+    head = F.transform(F.slice("cell_rows", 1, 5), lambda r: F.coalesce(F.array_join(r, "~"), F.lit("")))
+    return rows.select("table_id", F.array_join(head, "|").alias("head")).distinct()
+
+
 @query(
     "WITH p AS (SELECT q.vec_id AS id, b.vec_id AS neighbor, round(list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbor) AS k FROM p)"
     " SELECT id, neighbor, round(s, 5) AS score FROM r WHERE k <= 20 AND s >= 0.3"
@@ -135,15 +144,18 @@ def r14_serialise(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def l7_edge_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    """Pair classifier with document-wise folds: each fold is scored by a model of the others."""
+    """Pair classifier with document-wise folds: each fold is scored by a model of the others, on features of the others."""
     seq = sequences(spark, sf)
-    pairs = J.ordered_pairs(seq.select("doc", F.col("stage").alias("item")).distinct(), C.transitions(seq))
-    counts = C.transition_counts(C.transitions(seq)).select("src", "dst", F.col("n").cast("double").alias("n"))
-    rows = pairs.join(counts, ["src", "dst"], "left").fillna(0.0, ["n"]).withColumn("fold", L.fold(F.col("doc"), 2))
+    edges = cut(C.transitions(seq))
+    members = seq.select("doc", F.col("stage").alias("item")).distinct()
+    pairs = cut(J.ordered_pairs(members, edges).withColumn("fold", L.fold(F.col("doc"), 3)))
     out = None
-    for k in range(2):
-        model = L.boosted_trees(rows.filter(F.col("fold") != k), ["n"], "label", trees=3)
-        part = L.score_trees(model, rows.filter(F.col("fold") == k)).select("doc", "src", "dst", "label", F.round("prob", 6).alias("prob"))
+    for k in range(3):
+        apart = L.fold(F.col("doc"), 3) != k
+        features = L.pair_features(pairs.filter(F.col("fold") != k), edges.filter(apart), members.filter(apart), own=True)
+        model = L.boosted_trees(features, L.PAIR_FEATURES, "label", trees=8)
+        held = L.pair_features(pairs.filter(F.col("fold") == k), edges.filter(apart), members.filter(apart), own=False)
+        part = L.score_trees(model, held).select("doc", "src", "dst", "label", F.round("prob", 6).alias("prob"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -175,8 +187,8 @@ def l13_lexical_relevance(spark: SparkSession, sf: str) -> DataFrame:
     tokens = rows.select("doc", "commodity", F.explode(F.split(F.concat_ws(" ", "xgb_stages"), "[^a-z]+")).alias("term")).filter("term <> ''")
     whole = tokens.select("doc", "term").unionByName(tokens.select(F.col("commodity").alias("doc"), "term"))
     weights = L.tf_idf(whole, rows.count(), 50)
-    out = L.lexical_relevance(tokens.select(F.col("doc").alias("left_id"), "term").distinct(), tokens.select(F.col("commodity").alias("right_id"), "term").distinct(), weights)
-    return out.join(rows.select(F.col("doc").alias("left_id"), F.col("commodity").alias("right_id")), ["left_id", "right_id"], "left_semi").select("left_id", "right_id", F.round("relevance", 6).alias("relevance"))
+    out = L.lexical_relevance(rows.select(F.col("doc").alias("left_id"), F.col("commodity").alias("right_id")), weights)
+    return out.select("left_id", "right_id", F.round("relevance", 6).alias("relevance"))
 
 
 @query(

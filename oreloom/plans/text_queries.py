@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreloom.functions import text as T
+from oreloom.functions.register import register_functions
 from oreloom.operators import corpus as C
 from oreloom.operators import joins as J
 from oreloom.operators.classify import keyword_classes
@@ -366,3 +367,20 @@ def r10_cosine(spark: SparkSession, sf: str) -> DataFrame:
 def w12_labels(spark: SparkSession, sf: str) -> DataFrame:
     top = C.top_per_group(latest_predictions(spark, sf), ["commodity"], [F.col("doc_f1").desc_nulls_last(), F.col("doc")], 5)
     return top.select("commodity", "doc", T.consecutive_label(F.col("rank")).alias("label"))
+
+
+@query(f'WITH raws AS (SELECT DISTINCT unnest(xgb_stages) AS raw FROM test_predictions), {_IDS} SELECT raw, grp AS "group" FROM ids WHERE raw IS NOT NULL')
+def t1_sql_function(spark: SparkSession, sf: str) -> DataFrame:
+    """The grouping key through the registered SQL function."""
+    register_functions(spark)
+    table(spark, sf, "test_predictions").createOrReplaceTempView("__predictions")
+    return spark.sql("SELECT raw, normalize_id(trim(raw)) AS `group` FROM (SELECT DISTINCT explode(xgb_stages) AS raw FROM __predictions) WHERE raw IS NOT NULL")
+
+
+@query("SELECT vec_id, len(embedding) AS size, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def r11_embedding_column(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings kept as JSON text and read back as arrays of numbers."""
+    stored = table(spark, sf, "embeddings").select("vec_id", F.to_json("embedding").alias("json"))
+    vec = T.embedding(F.col("json"))
+    total = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return stored.select("vec_id", F.size(vec).cast("bigint").alias("size"), F.round(total, 4).alias("total"))

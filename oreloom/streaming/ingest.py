@@ -10,31 +10,61 @@ from pyspark.sql.streaming import StreamingQuery
 from oreloom.sources.sinks import last_writer_wins
 
 
-def ingest_files(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, keys: list[str], sequence: str, files_per_batch: int = 100) -> StreamingQuery:
+#: Parts of a merged table by hash of its keys; a micro-batch rewrites only the parts that it touches.
+PARTS = 64
+
+
+def ingest_files(
+    spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, keys: list[str], sequence: str, files_per_batch: int = 100, parts: int = PARTS
+) -> StreamingQuery:
     """All files not yet seen, in micro-batches, merged into a Parquet table by key (the latest sequence wins).
 
-    Each batch reads the current version, merges and writes the next one under version=<batch id>, so that a batch that
-    runs again after a failure replaces its own output only. The checkpoint remembers the files.
+    The table is cut into ``parts`` by hash of the keys. A batch reads the current version of the parts that it touches,
+    merges and writes them under version=<batch id>/part=<n>; the others stay where they are. A batch that runs again after a
+    failure replaces its own output only. Versions of a part that a committed one has superseded are deleted.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        current = latest_version(spark, target, before=batch_id)
-        merged = batch if current is None else current.unionByName(batch)
-        last_writer_wins(merged, keys, [F.col(sequence)]).write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        fresh = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        touched = sorted(r.part for r in fresh.select("part").distinct().collect())  # at most ``parts`` numbers
+        if not touched:
+            return
+        current = _part_paths(spark, target, batch_id, clean=True)
+        paths = [current[n] for n in touched if n in current]
+        if paths:
+            old = spark.read.schema(batch.schema).option("basePath", target).parquet(*paths).select(*batch.columns)
+            fresh = fresh.unionByName(old.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")))
+        merged = last_writer_wins(fresh, keys, [F.col(sequence)])
+        merged.write.mode("overwrite").partitionBy("part").parquet(f"{target}/version={batch_id}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest written version of a merged table, optionally only those of earlier batches."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
-    done = [v for v in versions if (before is None or v < before) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={v}/_SUCCESS"))]
-    return spark.read.parquet(f"{target}/version={max(done)}") if done else None
+def _part_paths(spark: SparkSession, target: str, before: int | None = None, clean: bool = False) -> dict[int, str]:
+    """The newest completed version of each part, optionally only those of earlier batches; older ones may be deleted."""
+    named = spark._jvm.org.apache.hadoop.fs.Path
+    fs = named(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(named(target)):
+        return {}
+    number = lambda status, mark: int(status.getPath().getName().split("=")[1]) if status.getPath().getName().startswith(mark) else None
+    versions = sorted(v for v in (number(x, "version=") for x in fs.listStatus(named(target))) if v is not None and (before is None or v < before))
+    newest: dict[int, str] = {}
+    for v in versions:
+        if not fs.exists(named(f"{target}/version={v}/_SUCCESS")):
+            continue
+        for n in (number(x, "part=") for x in fs.listStatus(named(f"{target}/version={v}"))):
+            if n is not None:
+                if clean and n in newest:
+                    fs.delete(named(newest[n]), True)
+                newest[n] = f"{target}/version={v}/part={n}"
+    return newest
+
+
+def latest_version(spark: SparkSession, target: str) -> DataFrame | None:
+    """The merged table: the newest completed version of each part; None where nothing was written."""
+    paths = list(_part_paths(spark, target).values())
+    return spark.read.option("basePath", target).parquet(*paths).drop("version", "part") if paths else None
 
 
 def windowed_counts(events: DataFrame, at: str, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
