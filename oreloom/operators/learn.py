@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from oreloom.operators.evaluate import tuned_threshold
+from oreloom.operators.neighbors import knn
+from oreloom.session import cut
+
 
 def hash_split(key: Column, shares: list[tuple[str, float]]) -> Column:
     """A split by the first 8 hex digits of the key's MD5: the same at every run, engine and cluster."""
@@ -36,41 +41,78 @@ def tf_idf(tokens: DataFrame, n_docs: int, n_features: int = 200) -> DataFrame:
     return weighted.select("doc", "term", (F.col("w") / length).alias("weight"))
 
 
-def truncated_svd(rows: DataFrame, features: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """L2: k right singular vectors (features x k) and values of (doc, term, weight) rows, signs fixed by the largest part.
+def stop_words(spark: SparkSession, language: str = "english") -> list[str]:
+    """The stop words that Spark ships for a language."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return sorted(StopWordsRemover.loadDefaultStopWords(language))
+
 
-    Executors add up the Gram matrix (features x features, a few hundred); only it reaches the driver.
+def section_tf_idf(tokens: DataFrame, n_features: int, stops: list[str]) -> DataFrame:
+    """L1: tf_idf of each section by itself: tokens (section, doc, term) -> (section, doc, term, weight), stop words left out.
+
+    A document counts once per section; the n_features terms in most of a section's documents are kept, ties by term.
     """
-    spot = {f: i for i, f in enumerate(features)}
-    n = len(features)
+    told = tokens.filter(~F.col("term").isin(*stops))
+    sizes = tokens.groupBy("section").agg(F.count_distinct("doc").alias("n"))
+    tf = told.groupBy("section", "doc", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("section", "term").agg(F.count("*").alias("df"))
+    best = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("df"), "term"))
+    kept = df.withColumn("__rn", best).filter(F.col("__rn") <= n_features).drop("__rn").join(sizes, "section")
+    weighted = tf.join(kept, ["section", "term"]).withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1))
+    length = weighted.groupBy("section", "doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__l"))
+    return weighted.join(length, ["section", "doc"]).select("section", "doc", "term", (F.col("w") / F.col("__l")).alias("weight"))
+
+
+@dataclass(frozen=True)
+class Components:
+    """Right singular vectors (features x k), signs fixed by the largest part, and singular values of one section."""
+
+    features: list[str]
+    vectors: np.ndarray
+    values: np.ndarray
+
+    def top_terms(self) -> list[str]:
+        return [self.features[int(i)] for i in np.abs(self.vectors).argmax(0)]
+
+
+def section_svd(rows: DataFrame, k: int) -> dict[str, Components]:
+    """L2: k components of each section of (section, doc, term, weight) rows.
+
+    Executors add up the Gram matrices, features x features of a few hundred terms a section; only they reach the driver.
+    """
+    named: dict[str, list[str]] = {}
+    for r in rows.select("section", "term").distinct().collect():  # the features asked for, a few hundred a section
+        named.setdefault(r.section, []).append(r.term)
+    features = {s: sorted(ts) for s, ts in named.items()}
+    spot = {s: {t: i for i, t in enumerate(ts)} for s, ts in features.items()}
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n, n))
+        total = {s: np.zeros((len(ts), len(ts))) for s, ts in features.items()}
         for pdf in batches:
-            for terms, weights in zip(pdf["terms"], pdf["weights"], strict=True):
-                at = np.array([spot[t] for t in terms])
-                w = np.asarray(weights, float)
-                total[np.ix_(at, at)] += np.outer(w, w)
-        yield pd.DataFrame({"i": np.repeat(np.arange(n), n), "v": list(total.ravel())})
-
-    packed = rows.filter(F.col("term").isin(features)).groupBy("doc").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-    parts = packed.mapInPandas(lambda b: _indexed(gram(b), n), "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
-    matrix = np.zeros(n * n)
-    for r in parts:
-        matrix[r["cell"]] = r["v"]
-    values, vectors = np.linalg.eigh(matrix.reshape(n, n))
+            for s, terms, weights in zip(pdf["section"], pdf["terms"], pdf["weights"], strict=True):
+                at, w = np.array([spot[s][t] for t in terms]), np.asarray(weights, float)
+                total[s][np.ix_(at, at)] += np.outer(w, w)
+        for s, m in total.items():
+            i, j = np.nonzero(m)
+            yield pd.DataFrame({"section": s, "i": i.astype("int32"), "j": j.astype("int32"), "v": m[i, j]})
+
+    packed = rows.groupBy("section", "doc").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+    cells = packed.mapInPandas(gram, "section string, i int, j int, v double").groupBy("section", "i", "j").agg(F.sum("v").alias("v"))
+    matrices = {s: np.zeros((len(ts), len(ts))) for s, ts in features.items()}
+    for r in cells.collect():
+        matrices[r.section][r.i, r.j] = r.v
+    return {s: Components(features[s], *_components(m, k)) for s, m in matrices.items()}
+
+
+def _components(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    values, vectors = np.linalg.eigh(gram)
     order = np.argsort(values)[::-1][:k]
     vectors = vectors[:, order]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
     return vectors, np.sqrt(np.maximum(values[order], 0))
 
 
-def _indexed(parts: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
-        cells = pd.DataFrame({"cell": np.arange(n * n, dtype="int32"), "v": pdf["v"].to_numpy()})
-        yield cells[cells["v"] != 0]
-
-
 def polynomial_fit(rows: DataFrame, x: str, ys: list[str], degree: int = 2) -> dict[str, np.ndarray]:
     """L3: least-squares coefficients (constant first) per target from power sums: one pass, (2 degree + 1) numbers each."""
     powers = [F.sum(F.pow(F.col(x), F.lit(float(i)))).alias(f"p{i}") for i in range(2 * degree + 1)]
@@ -116,21 +158,78 @@ def score_trees(model, rows: DataFrame, name: str = "prob") -> DataFrame:  # noq
     return model.transform(rows).withColumn(name, vector_to_array("__p")[1]).drop("__features", "__raw", "__p", "__y", "__w")
 
 
-def classifier_chain(rows: DataFrame, features: list[str], labels: list[str], **how: int) -> list[tuple[str, object]]:
-    """Labels by descending frequency (ties by name), each model seeing the labels before it."""
+def oversampled(rows: DataFrame, features: list[str], label: str, key: str, neighbours: int = 3, seed: int = 7) -> DataFrame:
+    """The rows and made-up positives between a positive and one of its nearest, until the classes are about even.
+
+    Neighbours come from the blocked search over the positives (stated queries against all of them); the mixing share and the
+    number of copies follow from hashes, so that every run makes the same rows. With fewer than two positives nothing is made.
+    """
+    n, pos = rows.agg(F.count("*"), F.sum(F.col(label).cast("bigint"))).first()
+    copies = min(10, (n - (pos or 0)) // pos - 1) if pos and pos > 1 else 0
+    kept = rows.select(*features, label)
+    if copies <= 0:
+        return kept
+    vec = F.array(*[F.col(c).cast("double") for c in features])
+    points = cut(rows.filter(F.col(label) == 1).select(F.xxhash64(key).alias("id"), vec.alias("vec")).dropDuplicates(["id"]))
+    near = knn(points, points, neighbours, "euclidean", same=True)
+    made = near.join(points, "id").join(points.select(F.col("id").alias("neighbor"), F.col("vec").alias("other")), "neighbor")
+    made = made.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(int(copies) - 1)))).filter(F.col("copy") % neighbours == F.col("rank") - 1)
+    share = F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.lit(1000)) / 1000.0
+    mixed = F.zip_with("vec", "other", lambda a, b: a + (b - a) * share)
+    return kept.unionByName(made.select(*[mixed[i].alias(c) for i, c in enumerate(features)], F.lit(1).alias(label)))
+
+
+@dataclass(frozen=True)
+class Link:
+    """One label of a chain: its model, features, threshold and the F1 of its out-of-fold scores."""
+
+    label: str
+    model: object
+    features: list[str]
+    threshold: float
+    f1: float
+
+
+def out_of_fold(rows: DataFrame, features: list[str], label: str, key: str, folds: int, **how: int) -> DataFrame:
+    """(key, label, prob): every row scored by a model of the other folds."""
+    marked, out = rows.withColumn("__fold", fold(F.col(key), folds)), None
+    for k in range(folds):
+        model = boosted_trees(oversampled(marked.filter(F.col("__fold") != k), features, label, key), features, label, **how)
+        part = score_trees(model, marked.filter(F.col("__fold") == k)).select(key, label, "prob")
+        out = part if out is None else out.unionByName(part)
+    return cut(out)
+
+
+def tuned_chain(rows: DataFrame, features: list[str], labels: list[str], key: str, grid: list[dict[str, int]], folds: int = 3) -> list[Link]:
+    """Labels by descending frequency (ties by name), each seeing the out-of-fold scores of those before it.
+
+    For each label the settings of the grid are compared by the F1 of their out-of-fold scores at the tuned threshold; the
+    best fits the whole. No row is ever scored by a model that saw it, so thresholds and features carry no leak.
+    """
     totals = rows.agg(*[F.sum(x).alias(x) for x in labels]).first()
     order = sorted((x for x in labels if (totals[x] or 0) >= 2), key=lambda x: (-totals[x], x))
     chain, seen = [], list(features)
     for x in order:
-        chain.append((x, boosted_trees(rows, seen, x, **how)))
-        seen.append(x)
+        best = None
+        for how in grid:
+            scored = out_of_fold(rows, seen, x, key, folds, **how)
+            row = tuned_threshold(scored.withColumn("__label", F.lit(x)), "__label", "prob", x).first()
+            if best is None or row["f_beta"] > best[0]:
+                best = (row["f_beta"], row["threshold"], scored, how)
+        f1, threshold, scored, how = best
+        model = boosted_trees(oversampled(rows, seen, x, key), seen, x, **how)
+        chain.append(Link(x, model, list(seen), float(threshold), float(f1)))
+        name = f"chain_{x}"
+        rows = cut(rows.join(scored.select(key, F.col("prob").alias(name)), key))
+        seen.append(name)
     return chain
 
 
-def score_chain(chain: list[tuple[str, object]], rows: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Predictions in chain order, each fed to the next; columns <label>_prob and <label>."""
-    for label, model in chain:
-        rows = score_trees(model, rows.drop(label), f"{label}_prob").withColumn(label, (F.col(f"{label}_prob") >= threshold).cast("int"))
+def score_tuned_chain(chain: list[Link], rows: DataFrame) -> DataFrame:
+    """Predictions in chain order, each label's score fed to the next; columns <label> and chain_<label>."""
+    for link in chain:
+        rows = score_trees(link.model, rows, f"chain_{link.label}")
+        rows = rows.withColumn(link.label, (F.col(f"chain_{link.label}") >= link.threshold).cast("int"))
     return rows
 
 
@@ -139,6 +238,18 @@ def pseudo_labels(scored: DataFrame, prob: str, high: float = 0.85, low: float =
     return scored.withColumn("label", F.when(F.col(prob) > high, 1).when(F.col(prob) < low, 0)).filter("label IS NOT NULL")
 
 
+def pseudo_label_rounds(known: DataFrame, unknown: DataFrame, features: list[str], key: str, rounds: int = 2, **how: int) -> DataFrame:
+    """(key, features, label, round) of the rows that some round was confident about; each round learns from those before."""
+    found = None
+    for n in range(1, rounds + 1):
+        told = known if found is None else known.unionByName(found.select(*known.columns))
+        left = unknown if found is None else unknown.join(found.select(key), key, "left_anti")
+        model = boosted_trees(told, features, "label", **how)
+        new = cut(pseudo_labels(score_trees(model, left), "prob").select(key, *features, "label", F.lit(n).alias("round")))
+        found = new if found is None else found.unionByName(new)
+    return found
+
+
 def ablation(metric: dict[str, float], full: float) -> list[tuple[str, float]]:
     """Loss of the metric per left-out feature group, largest first, ties by name."""
     return sorted(((g, full - m) for g, m in metric.items()), key=lambda x: (-x[1], x[0]))

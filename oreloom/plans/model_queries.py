@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from oreloom.functions import hydromet as HY
 from oreloom.functions import plant as P
 from oreloom.functions import separation as SP
+from oreloom.functions.keys import norm_key
 from oreloom.operators import learn as L
 from oreloom.operators import plantchain as PC
-from oreloom.plans.base import LATEST, latest_predictions
+from oreloom.plans.base import LATEST, latest_predictions, sql_norm, truth
 from oreloom.plans.plant_sql import CHAIN_ROWS, chain_sql, flotation_sql
 from oreloom.plans.registry import query
-from oreloom.session import table
+from oreloom.session import cut, table
 
 _R = lambda c, d=6: F.round(c, d).alias(c)
 
@@ -25,7 +26,7 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 _TFIDF = (
     f"WITH {LATEST}, v AS (SELECT doc, unnest(xgb_stages) AS s FROM latest), tok AS (SELECT doc, unnest(string_split_regex(lower(s), '[^a-z]+')) AS term FROM v WHERE s IS NOT NULL),"
-    " tf AS (SELECT doc, term, count(*) AS tf FROM tok WHERE term <> '' GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20),"
+    " tf AS (SELECT doc, term, count(*) AS tf FROM tok WHERE term <> '' GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200),"
     " w AS (SELECT doc, term, tf * (ln((1.0 + (SELECT count(*) FROM latest)) / (1.0 + df)) + 1) AS w FROM tf JOIN d USING (term))"
 )
 
@@ -33,22 +34,61 @@ _TFIDF = (
 @query(_TFIDF + " SELECT doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS weight FROM w")
 def l1_tf_idf(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "test_predictions").select("doc_id").distinct().count()
-    return L.tf_idf(_tokens(spark, sf), n, 20).select("doc", "term", _R("weight"))
+    return L.tf_idf(_tokens(spark, sf), n, 200).select("doc", "term", _R("weight"))
+
+
+def _section_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """(section, doc, term) of the documents' words of three letters or more."""
+    rows = table(spark, sf, "documents").filter("text IS NOT NULL AND section_group IS NOT NULL").select("section_group", "doc_id", "text").distinct()
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
+    return rows.select(F.col("section_group").alias("section"), F.col("doc_id").alias("doc"), F.explode(words).alias("term"))
+
+
+@query()
+def l1_section_tf_idf(spark: SparkSession, sf: str) -> DataFrame:
+    """Tf-idf by section of the documents: 200 features each, without the stop words of Spark's English list."""
+    return L.section_tf_idf(_section_tokens(spark, sf), 200, L.stop_words(spark)).select("section", "doc", "term", _R("weight"))
 
 
 @query()
 def l2_svd(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "test_predictions").select("doc_id").distinct().count()
-    rows = L.tf_idf(_tokens(spark, sf), n, 20)
-    features = sorted(r.term for r in rows.select("term").distinct().collect())  # at most the 20 features asked for
-    vectors, values = L.truncated_svd(rows, features, 5)
-    return spark.createDataFrame([(i, float(round(v, 6)), [float(x) for x in vectors[:, i]]) for i, v in enumerate(values)], "k int, value double, vector array<double>")
+    """Twenty components per section of the section's 200 features: singular values, and the terms that weigh most."""
+    weights = cut(L.section_tf_idf(_section_tokens(spark, sf), 200, L.stop_words(spark)))
+    rows = [(s, i, float(round(v, 6)), t) for s, found in sorted(L.section_svd(weights, 20).items()) for i, (v, t) in enumerate(zip(found.values, found.top_terms(), strict=True))]
+    return spark.createDataFrame(rows, "section string, k int, value double, term string")
+
+
+def _sheets(spark: SparkSession, sf: str) -> DataFrame:
+    """image_id, x = ln(1 + units), and the numbers of stages and cells of each flowsheet."""
+    rows = table(spark, sf, "flow_units").filter("image_id IS NOT NULL AND deleted_at IS NULL").select("image_id", norm_key(F.col("unit_id")).alias("u"), norm_key(F.col("stage_id")).alias("s"), "cells").distinct()
+    per = rows.groupBy("image_id").agg(F.count_distinct("u").alias("n"), F.count_distinct("s").cast("double").alias("stages"), F.coalesce(F.sum("cells"), F.lit(0)).cast("double").alias("cells"))
+    return per.select("image_id", F.log1p(F.col("n").cast("double")).alias("x"), "stages", "cells")
 
 
-@query("SELECT 'degree_1' AS model, round(regr_intercept(p_retailprice, p_size), 4) AS c0, round(regr_slope(p_retailprice, p_size), 4) AS c1 FROM part")
+_SHEETS = f"""rows AS (SELECT DISTINCT image_id, {sql_norm('unit_id')} AS u, {sql_norm('stage_id')} AS s, cells FROM flow_units WHERE image_id IS NOT NULL AND deleted_at IS NULL),
+  sheets AS (SELECT image_id, ln(1 + count(DISTINCT u)) AS x, count(DISTINCT s)::DOUBLE AS stages, coalesce(sum(cells), 0)::DOUBLE AS cells FROM rows GROUP BY 1),
+  long AS (SELECT image_id, x, 'stages' AS label, stages AS y FROM sheets UNION ALL SELECT image_id, x, 'cells', cells FROM sheets),
+  m AS (SELECT label, count(*)::DOUBLE AS a, sum(x) AS b, sum(x * x) AS c, sum(x * x * x) AS d, sum(x * x * x * x) AS e, sum(y) AS p, sum(x * y) AS q, sum(x * x * y) AS r FROM long GROUP BY 1),
+  det AS (SELECT label, a * (c * e - d * d) - b * (b * e - c * d) + c * (b * d - c * c) AS z, p * (c * e - d * d) - b * (q * e - d * r) + c * (q * d - c * r) AS z0,
+    a * (q * e - d * r) - p * (b * e - c * d) + c * (b * r - q * c) AS z1, a * (c * r - q * d) - b * (b * r - q * c) + p * (b * d - c * c) AS z2 FROM m)"""
+
+
+@query(f"WITH {_SHEETS} SELECT label, round(z0 / z, 4) AS c0, round(z1 / z, 4) AS c1, round(z2 / z, 4) AS c2 FROM det")
 def l3_polynomial(spark: SparkSession, sf: str) -> DataFrame:
-    c = L.polynomial_fit(table(spark, sf, "part"), "p_size", ["p_retailprice"], 1)["p_retailprice"]
-    return spark.createDataFrame([("degree_1", round(float(c[0]), 4), round(float(c[1]), 4))], "model string, c0 double, c1 double")
+    """Degree 2, two targets, from one pass of power sums."""
+    fit = L.polynomial_fit(_sheets(spark, sf), "x", ["stages", "cells"], 2)
+    return spark.createDataFrame([(y, *[round(float(v), 4) for v in c]) for y, c in fit.items()], "label string, c0 double, c1 double, c2 double")
+
+
+@query(
+    f"WITH {_SHEETS} SELECT image_id, label, (CASE WHEN label = 'stages' THEN greatest(greatest(round_even(z0 / z + z1 / z * x + z2 / z * x * x, 0), 0), 1) ELSE greatest(round_even(z0 / z + z1 / z * x + z2 / z * x * x, 0), 0) END)::INT AS count FROM long JOIN det USING (label)"
+)
+def l3_predicted_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of every flowsheet from the fitted polynomials, rounded, clipped at 0, the mandatory label at least 1."""
+    sheets = _sheets(spark, sf)
+    fit = L.polynomial_fit(sheets, "x", ["stages", "cells"], 2)
+    raw = F.array(*[F.struct(F.lit(y).alias("label"), L.predict_polynomial(F.col("x"), c).alias("raw")) for y, c in fit.items()])
+    return L.postprocess_counts(sheets.select("image_id", F.inline(raw)), "label", "raw", ["stages"]).select("image_id", "label", "count")
 
 
 _SPLIT = "('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0"
@@ -60,31 +100,50 @@ def l9_hash_split(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", L.hash_split(key, [("train", 0.7), ("val", 0.2), ("test", 0.1)]).alias("split"), L.fold(key, 5).alias("fold"))
 
 
-def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey"), F.hash("c_mktsegment").cast("double").alias("segment"))
-    return rows.withColumn("label", ((F.col("c_acctbal") > 3000) & (F.col("c_nationkey") < 15)).cast("int")).withColumn("label2", (F.col("c_acctbal") > 6000).cast("int"))
+#: Labels of the chain: the commonest names of the planted truth are found by a count; so many of them are learnt.
+_LABELS = 4
+
+
+def _stage_model_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str], list[str]]:
+    """One row per latest record: predicted probabilities of the commonest names as features, the truth as labels y0.."""
+    truth_rows = truth(spark, sf)
+    names = [r.item for r in truth_rows.groupBy("item").count().orderBy(F.desc("count"), "item").limit(_LABELS).collect()]
+    latest = latest_predictions(spark, sf).select("doc", F.coalesce("doc_f1", F.lit(0.0)).alias("doc_f1"), F.size(F.coalesce("xgb_stages", F.array().cast("array<string>"))).cast("double").alias("n_stages"),
+                                                  F.transform(F.coalesce("xgb_stages", F.array().cast("array<string>")), norm_key).alias("said"))
+    held = truth_rows.filter(F.col("item").isin(*names)).groupBy("doc").agg(F.collect_set("item").alias("held"))
+    rows = latest.join(held, "doc", "left")
+    features = {f"f{i}": F.array_contains("said", n).cast("double") for i, n in enumerate(names)}
+    labels = {f"y{i}": F.coalesce(F.array_contains("held", n), F.lit(False)).cast("int") for i, n in enumerate(names)}
+    rows = rows.select("doc", "doc_f1", "n_stages", *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in features.items()], *[c.alias(k) for k, c in labels.items()])
+    return cut(rows.withColumn("split", L.hash_split(F.col("doc"), [("train", 0.6), ("rest", 0.4)]))), ["doc_f1", "n_stages", *features], list(labels)
 
 
 @query()
 def l4_boosted_trees(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit on the training split, score the rest; rows-only with a quality floor in the tests."""
-    rows = _labelled(spark, sf).withColumn("split", L.hash_split(F.col("c_custkey"), [("train", 0.7), ("test", 0.3)]))
-    model = L.boosted_trees(rows.filter("split = 'train'"), ["c_acctbal", "c_nationkey", "segment"], "label", trees=8)
-    return L.score_trees(model, rows.filter("split = 'test'")).select("c_custkey", "label", F.round("prob", 6).alias("prob"))
+    """Every label by itself: fit on the training split, score the rest."""
+    rows, features, labels = _stage_model_rows(spark, sf)
+    out = rows.filter("split = 'rest'").select("doc", *features, *labels)
+    for y in labels:
+        model = L.boosted_trees(rows.filter("split = 'train'"), features, y, trees=6)
+        out = L.score_trees(model, out, f"{y}_prob")
+    return out.select("doc", *labels, *[F.round(f"{y}_prob", 6).alias(f"{y}_prob") for y in labels])
 
 
 @query()
 def l5_classifier_chain(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _labelled(spark, sf)
-    chain = L.classifier_chain(rows, ["c_acctbal", "c_nationkey"], ["label", "label2"], trees=4)
-    return L.score_chain(chain, rows).select("c_custkey", "label", "label2")
+    """The chain with a small grid, oversampled positives and tuned thresholds, all on out-of-fold scores; scored on held-out rows."""
+    rows, features, labels = _stage_model_rows(spark, sf)
+    chain = L.tuned_chain(rows.filter("split = 'train'"), features, labels[:2], "doc", grid=[{"depth": 2, "trees": 4}, {"depth": 3, "trees": 6}], folds=2)
+    return L.score_tuned_chain(chain, rows.filter("split = 'rest'").drop(*labels)).select("doc", *labels[:2])
 
 
 @query()
 def l6_pseudo_labels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _labelled(spark, sf).withColumn("split", L.hash_split(F.col("c_custkey"), [("train", 0.5), ("rest", 0.5)]))
-    model = L.boosted_trees(rows.filter("split = 'train'"), ["c_acctbal", "c_nationkey"], "label", trees=6)
-    return L.pseudo_labels(L.score_trees(model, rows.filter("split = 'rest'").drop("label")), "prob").select("c_custkey", "label")
+    """Two rounds: confident predictions join the training rows of the next round; each row keeps the round that labelled it."""
+    rows, features, labels = _stage_model_rows(spark, sf)
+    known = rows.filter("split = 'train'").select("doc", *features, F.col(labels[0]).alias("label"))
+    found = L.pseudo_label_rounds(known, rows.filter("split = 'rest'").select("doc", *features), features, "doc", rounds=2, trees=5)
+    return found.select("doc", "label", "round")
 
 
 @query(f"WITH {LATEST}, x AS (SELECT DISTINCT doc_id AS doc, k AS item, v AS p FROM (SELECT doc_id, unnest(map_keys(xgb_predicted)) AS k, unnest(map_values(xgb_predicted)) AS v FROM test_predictions)) SELECT doc, item, p FROM x WHERE p >= 0.8 OR item IN ('ball_mill', 'jaw_crusher')")

@@ -269,17 +269,98 @@ def test_counts_are_rounded_clipped_and_mandatory(spark):
 
 def test_svd_matches_numpy(spark):
     rng = np.random.default_rng(0)
-    m = rng.random((30, 5))
-    df = spark.createDataFrame([(f"d{i}", f"t{j}", float(m[i, j])) for i in range(30) for j in range(5)], "doc string, term string, weight double")
-    vectors, values = learn.truncated_svd(df, [f"t{j}" for j in range(5)], 3)
-    assert values == pytest.approx(np.linalg.svd(m)[1][:3]) and np.abs(vectors.T @ vectors - np.eye(3)).max() < 1e-9
+    m = {"a": rng.random((30, 5)), "b": rng.random((12, 4))}
+    df = spark.createDataFrame([(s, f"d{i}", f"t{j}", float(x)) for s, v in m.items() for i, row in enumerate(v) for j, x in enumerate(row)], "section string, doc string, term string, weight double")
+    for s, found in learn.section_svd(df, 3).items():
+        assert found.values == pytest.approx(np.linalg.svd(m[s])[1][:3]) and np.abs(found.vectors.T @ found.vectors - np.eye(3)).max() < 1e-9
+        assert len(found.top_terms()) == 3
+    assert learn.section_svd(df.limit(0), 3) == {}
+
+
+def test_section_weights_have_unit_rows_and_no_stop_words(spark):
+    stops = learn.stop_words(spark)
+    df = spark.createDataFrame([("s", "d1", t) for t in "the ore the mill ore".split()] + [("s", "d2", t) for t in "mill of water".split()] + [("t", "d1", "ore")], "section string, doc string, term string")
+    rows = learn.section_tf_idf(df, 2, stops).collect()
+    assert {(r.section, r.doc, r.term) for r in rows} == {("s", "d1", "mill"), ("s", "d1", "ore"), ("s", "d2", "mill"), ("t", "d1", "ore")}
+    one = {r.term: r.weight for r in rows if r.section == "s" and r.doc == "d1"}
+    idf = {"mill": np.log(3 / 3) + 1, "ore": np.log(3 / 2) + 1}
+    raw = {"mill": idf["mill"], "ore": 2 * idf["ore"]}
+    assert one == pytest.approx({t: w / np.hypot(*raw.values()) for t, w in raw.items()})
+
+
+def _two_classes(spark, n, positive):
+    rng = np.random.default_rng(4)
+    rows = [(f"k{i}", float(rng.normal(3.0 if i < positive else 0.0)), float(rng.normal()), int(i < positive), int(i < positive and i % 4 > 0)) for i in range(n)]
+    return spark.createDataFrame(rows, "key string, a double, b double, y int, z int")
+
+
+def test_made_up_positives_lie_between_positives(spark):
+    df = _two_classes(spark, 120, 20)
+    out = learn.oversampled(df, ["a", "b"], "y", "key").collect()
+    real = {(r.a, r.b) for r in df.collect()}
+    made = [r for r in out if (r.a, r.b) not in real]
+    assert len(out) - len(made) == 120 and len(made) == 80 and all(r.y == 1 for r in made)
+    pos = np.array([(r.a, r.b) for r in df.collect() if r.y])
+    assert all((pos.min(0) <= (r.a, r.b)).all() and ((r.a, r.b) <= pos.max(0)).all() for r in made)
+    assert learn.oversampled(df.filter("y = 0"), ["a", "b"], "y", "key").count() == 100
+
+
+def test_tuned_chain_beats_chance_on_rows_it_never_saw(spark):
+    df = _two_classes(spark, 300, 90).withColumn("split", learn.hash_split(F.col("key"), [("train", 0.6), ("rest", 0.4)]))
+    chain = learn.tuned_chain(df.filter("split = 'train'"), ["a", "b"], ["z", "y"], "key", [{"depth": 2, "trees": 3}], folds=2)
+    assert [x.label for x in chain] == ["y", "z"] and chain[1].features == ["a", "b", "chain_y"] and all(0.1 <= x.threshold <= 0.9 for x in chain)
+    rest = df.filter("split = 'rest'")
+    got = learn.score_tuned_chain(chain, rest.drop("y", "z")).select("key", F.col("y").alias("p")).join(rest, "key").collect()
+    assert sum(r.p == r.y for r in got) / len(got) > 0.85
+
+
+def test_pseudo_labels_take_two_rounds(spark):
+    df = _two_classes(spark, 200, 80)
+    known, unknown = df.filter(learn.fold(F.col("key"), 3) == 0).select("key", "a", "b", F.col("y").alias("label")), df.select("key", "a", "b")
+    found = learn.pseudo_label_rounds(known, unknown.join(known.select("key"), "key", "left_anti"), ["a", "b"], "key", trees=3).collect()
+    assert len({r.key for r in found}) == len(found) and {r.round for r in found} <= {1, 2} and 1 in {r.round for r in found}
+    assert not {r.key for r in known.collect()} & {r.key for r in found}
+
+
+def test_pair_features_do_not_see_their_own_label(spark):
+    edges = spark.createDataFrame([("d1", "a", "b"), ("d2", "a", "b"), ("d3", "b", "a")], "doc string, src string, dst string")
+    members = spark.createDataFrame([(d, i) for d in ("d1", "d2", "d3") for i in "ab"], "doc string, item string")
+    pairs = joins.ordered_pairs(members, edges)
+    rows = {(r.doc, r.src): r for r in learn.pair_features(pairs, edges, members, own=True).collect()}
+    assert (rows["d1", "a"].n_there, rows["d3", "a"].n_there, rows["d1", "a"].n_both, rows["d1", "b"].n_there) == (1.0, 2.0, 2.0, 1.0)
+    apart = {(r.doc, r.src): r for r in learn.pair_features(pairs, edges.filter("doc <> 'd1'"), members.filter("doc <> 'd1'"), own=False).collect()}
+    assert (apart["d1", "a"].n_there, apart["d1", "a"].n_back, apart["d1", "a"].n_both) == (1.0, 1.0, 2.0)
 
 
 def test_boosted_trees_beat_chance(spark, sf):
     from oreloom.plans.model_queries import l4_boosted_trees
 
     rows = l4_boosted_trees(spark, sf).collect()
-    assert sum((r.prob > 0.5) == bool(r.label) for r in rows) / len(rows) > 0.85
+    assert sum((r.y0_prob > 0.5) == bool(r.y0) for r in rows) / len(rows) > 0.6
+
+
+def test_mentions_match_plain_search(spark):
+    texts, names = ["the ball mill feeds", "a jig", None, "", "ball millball mill and jigs"], ["ball mill", "ball", "jig", "mill", "", None, "zz"]
+    df, ns = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(n,) for n in names * 2], "name string")
+    want = sorted(n for t in texts if t for n in ("ball mill", "ball", "jig", "mill", "zz") if n in t)
+    assert sorted(r.name for r in joins.mentions(df, ns).collect()) == sorted(r.name for r in joins.mentions(df, ns, block=2).collect()) == want
+    assert joins.mentions(df, ns.limit(0)).count() == 0
+
+
+def test_sql_functions_equal_the_columns(spark):
+    from oreloom.functions.register import register_functions, register_stage
+
+    register_functions(spark)
+    df = spark.createDataFrame([(x,) for x in ("copper_flotation_unit", "cu_au", "ball_mills", "a 12.5 b", "$1,200%", "Table 4-2: x", None, "incl", "jaw_crusher_a")], "raw string")
+    df.createOrReplaceTempView("raws")
+    got = spark.sql("SELECT normalize_id(raw) AS a, first_number(raw) AS b, parse_number(raw) AS c, content_id(raw) AS d, table_number(raw) AS e FROM raws").collect()
+    r = F.col("raw")
+    assert got == df.select(text.normalise_id(r).alias("a"), text.first_number(r).alias("b"), text.parse_number(r).alias("c"), text.content_id(r).alias("d"), text.table_number(r).alias("e")).collect()
+    mapping, noise = {"mill": "milling", "drum": None}, ["copper"]
+    register_stage(spark, "stage_v1", mapping, noise)
+    ids = spark.createDataFrame([(x,) for x in ("copper_mill", "Mill ", "big_drum_mill_x", "mill_drum", "none", None)], "raw string")
+    ids.createOrReplaceTempView("ids")
+    assert spark.sql("SELECT stage_v1(raw) AS s FROM ids").collect() == ids.select(tables.canonical_stage(F.col("raw"), mapping, noise).alias("s")).collect()
 
 
 def test_split_is_stable_and_near_its_shares(spark):
@@ -357,6 +438,22 @@ def test_streaming_ingest_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in ingest.latest_version(spark, target).collect()} == {("a", 2, 2), ("b", 9, 3)}
 
 
+def test_streaming_merge_rewrites_only_touched_parts(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    schema = "k string, v int, seq int"
+    kind = spark.createDataFrame([], schema).schema
+    assert ingest.latest_version(spark, target) is None
+    spark.createDataFrame([(f"k{i}", i, 1) for i in range(200)], schema).coalesce(1).write.parquet(source)
+    for n in range(3):
+        spark.createDataFrame([("k7", 100 + n, 2 + n)], schema).coalesce(1).write.mode("append").parquet(source)
+        ingest.ingest_files(spark, source, kind, target, checkpoint, ["k"], "seq", 1, parts=8).awaitTermination()
+    rows = {r.k: r.v for r in ingest.latest_version(spark, target).collect()}
+    assert len(rows) == 200 and rows["k7"] == 102 and rows["k8"] == 8
+    written = {p.name: sorted(x.name for x in p.iterdir() if x.is_dir()) for p in (tmp_path / "out").iterdir()}
+    full = [v for v, parts in written.items() if len(parts) >= 7]
+    assert len(full) == 1 and all(len(parts) <= 1 for v, parts in written.items() if v not in full)  # superseded parts are gone
+
+
 def test_streaming_windows_equal_batch(spark, tmp_path):
     rows = [(f"2024-01-01 0{i % 3}:15:00", "e", 1.0) for i in range(9)]
     df = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
