@@ -205,7 +205,7 @@ def common_values(features: DataFrame, tables: DataFrame, rates: DataFrame) -> D
         .join(stated, ["table_id", "quantity"])
         .select(*asked.columns, F.col("by_unit_table").alias("unit"))
     )
-    fx = F.broadcast(rates.select(F.col("currency_code").alias("__code"), F.col("fx_year").alias("__year"), "usd_per_unit").distinct())
+    fx = rates.select(F.col("currency_code").alias("__code"), F.col("fx_year").alias("__year"), "usd_per_unit").distinct()  # broadcast if its size allows
     converted = (
         here.unionByName(there)
         .join(fx, (F.col("unit.currency") == F.col("__code")) & (F.col("price_year") == F.col("__year")), "left")

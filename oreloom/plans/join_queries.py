@@ -224,7 +224,7 @@ def j18_keyword_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens looked up in the keyword dimension (fixed, small), counted per category."""
     tokens = table(spark, sf, "flow_units").select("unit_rid", F.explode(F.split(norm_key(F.col("unit_type")), "[^a-z]+")).alias("token")).distinct()
     words = table(spark, sf, "unit_vocab").select("category", F.explode(F.split("canon_name", "[^a-z]+")).alias("token")).distinct()
-    return tokens.join(F.broadcast(words), "token").groupBy("category", "token").agg(F.count("*").alias("n"))
+    return tokens.join(words, "token").groupBy("category", "token").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,10 +61,33 @@ def scan_graphs(spark: SparkSession, path: str, schema: T.StructType, skip: list
     return good.filter(~F.col("stem").isin(*skip) & (context >= min_context))
 
 
-def document_index(spark: SparkSession, path: str) -> DataFrame:
-    """document_id -> file, reading one field only."""
-    rows = spark.read.schema("document_id string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.filter("document_id IS NOT NULL").select("document_id", F.input_file_name().alias("file"))
+#: Bytes of a file's head in which its document_id is looked for.
+HEAD_BYTES = 512
+
+
+def document_index(spark: SparkSession, path: str, head: int = HEAD_BYTES) -> DataFrame:
+    """(document_id, file) from the first bytes of each file; the rest is never read. Files whose head names no id are left out.
+
+    The listing comes from Spark with the content column pruned; each task opens its files through Arrow's file systems (local
+    paths, HDFS and object stores) and reads one short range.
+    """
+    pattern = re.compile(r'"document_id"\s*:\s*"((?:[^"\\]|\\.)*)"')
+
+    def peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            rows = []
+            for uri in pdf["file"]:
+                system, at = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+                with system.open_input_stream(at) as stream:
+                    text = stream.read(head).decode("utf-8", "replace")
+                if found := pattern.search(text):
+                    rows.append((json.loads(f'"{found[1]}"'), uri))
+            yield pd.DataFrame(rows, columns=["document_id", "file"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(F.col("path").alias("file"))
+    return files.mapInPandas(peek, "document_id string, file string")
 
 
 def prediction_splits(files: dict[str, DataFrame]) -> DataFrame:

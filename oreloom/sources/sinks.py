@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +18,25 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return True
 
 
+def write_manifest(spark: SparkSession, entries: list[dict], path: str) -> None:
+    """K9: a small JSON file (one object per line) put in place by one rename, so that readers see the old or the new one, never a part."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = target.getFileSystem(conf).create(draft, True)
+    stream.write(bytearray("".join(json.dumps(e, ensure_ascii=False, sort_keys=True) + "\n" for e in entries).encode()))
+    stream.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else jvm.java.net.URI("file:///"), conf)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(draft, target, options)
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """K9: the manifest's entries as rows."""
+    return spark.read.schema(schema).json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header; nested columns as JSON text."""
     flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in df.schema]

@@ -415,6 +415,41 @@ def test_key_pairs(spark):
     assert [tuple(r) for r in results.key_pairs(df, "j").collect()] == [("a", "b|c", 2.0)]
 
 
+def test_documents_of_a_listing_and_their_heads(spark, tmp_path):
+    import json as js
+
+    for i in range(3):
+        (tmp_path / "bucket" / f"k{i}").mkdir(parents=True)
+        (tmp_path / "bucket" / f"k{i}" / f"r{i}.json").write_text(js.dumps({"document_id": f"d\u00e9 {i}", "filename": "x" * 2000, "status": "done"}))
+    (tmp_path / "bucket" / "k0" / "late.json").write_text(js.dumps({"pad": "y" * 900, "document_id": "unseen"}))
+    (tmp_path / "bucket" / "k0" / "note.txt").write_text('{"document_id": "no json"}')
+    uri = f"file://{tmp_path}/bucket/*"  # a listing by URI, as of an object store
+    good, bad = results.read_json_documents(spark, f"{uri}/*.json", results.RESULT, "document_id")
+    assert good.count() == 4 and bad.count() == 0
+    index = {r.document_id: r.file for r in results.document_index(spark, uri).collect()}
+    assert set(index) == {"d\u00e9 0", "d\u00e9 1", "d\u00e9 2"} and index["d\u00e9 1"].endswith("k1/r1.json")
+
+
+def test_graph_corpus_scan(spark, tmp_path):
+    import json as js
+
+    node = lambda kind: {"type": kind, "features": {"n": 1.0}}
+    for name, nodes in (("a", [node("context")] * 4), ("b", [node("context")] * 3 + [node("stage")]), ("corpus_meta", [node("context")] * 9)):
+        (tmp_path / f"{name}.json").write_text(js.dumps({"document_id": name, "nodes": nodes}))
+    (tmp_path / "broken.json").write_text("{")
+    kind = spark.createDataFrame([], "document_id string, nodes array<struct<type:string,features:map<string,double>>>").schema
+    found = results.scan_graphs(spark, str(tmp_path), kind, ["corpus_meta"])
+    assert [r.document_id for r in found.collect()] == ["a"]
+
+
+def test_manifest_is_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "manifest.json")
+    for n in (3, 1):
+        sinks.write_manifest(spark, [{"file": f"f{i}", "score": i / 2} for i in range(n)], path)
+        assert {tuple(r) for r in sinks.read_manifest(spark, path, "file string, score double").collect()} == {(f"f{i}", i / 2) for i in range(n)}
+    assert [p.name for p in tmp_path.iterdir() if p.name.endswith(".tmp")] == []
+
+
 def test_sinks(spark, tmp_path):
     assert not sinks.write_table(spark.range(0), str(tmp_path / "none")) and sinks.write_table(spark.range(3), str(tmp_path / "some"))
     assert spark.read.parquet(str(tmp_path / "some")).count() == 3
