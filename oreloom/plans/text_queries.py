@@ -242,25 +242,53 @@ def t9_table_number(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "extracted_tables").select("table_id", T.table_number(F.col("caption")).alias("num")).distinct()
 
 
-@query("SELECT o_orderkey, year(o_orderdate)::INT AS filed, year(o_orderdate)::INT AS effective FROM orders")
+# Five shapes each of file names and sentences: dated, dated in capitals, dated later or across a line or too far, undated.
+_NAMES = "CASE o_orderkey % 5 WHEN 0 THEN 'report_' || lower(strftime(d, '%-d_%b_%Y')) || '_10_36.pdf' WHEN 1 THEN 'R_' || upper(strftime(d, '%-d_%b_%Y')) || '.PDF' WHEN 2 THEN 'report_' || strftime(d, '%Y') || '.pdf' WHEN 3 THEN 'a_1_foo_1999_' || lower(strftime(d, '%-d_%b_%Y')) ELSE NULL END"
+_SAID = "CASE o_orderkey % 5 WHEN 0 THEN 'The effective date of this report is ' || strftime(d, '%-d %B %Y') || '.' WHEN 1 THEN 'EFFECTIVE  DATE: ' || strftime(d, '%Y-%m-%d') || ' (filed 2031)' WHEN 2 THEN 'effective date ' || repeat('x', 70) || strftime(d, '%Y') WHEN 3 THEN 'Effective date' || chr(10) || strftime(d, '%Y') ELSE 'dated ' || strftime(d, '%Y') END"
+
+
+@query(
+    f"WITH s AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders), t AS (SELECT o_orderkey, d, {_NAMES} AS f, {_SAID} AS e FROM s)"
+    " SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1, 3) AND len(f) > 0 THEN year(d)::INT END AS filed, CASE WHEN position('date' IN lower(e)) > 0 AND o_orderkey % 5 < 2 THEN year(d)::INT END AS effective FROM t"
+)
 def t10_years(spark: SparkSession, sf: str) -> DataFrame:
-    """Years read back out of a file name and of a sentence built from each order's date."""
-    named = F.concat(F.lit("report_"), F.lower(F.date_format("o_orderdate", "d_MMM_yyyy")), F.lit("_10_36.pdf"))
-    said = F.concat(F.lit("The effective date of this report is "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit("."))
+    """Years out of file names and sentences of several shapes, three of five without one that counts."""
+    k, d = F.col("o_orderkey") % 5, F.col("o_orderdate").cast("date")
+    short, year = F.date_format(d, "d_MMM_yyyy"), F.date_format(d, "yyyy")
+    named = F.when(k == 0, F.concat(F.lit("report_"), F.lower(short), F.lit("_10_36.pdf"))).when(k == 1, F.concat(F.lit("R_"), F.upper(short), F.lit(".PDF")))
+    named = named.when(k == 2, F.concat(F.lit("report_"), year, F.lit(".pdf"))).when(k == 3, F.concat(F.lit("a_1_foo_1999_"), F.lower(short)))
+    said = F.when(k == 0, F.concat(F.lit("The effective date of this report is "), F.date_format(d, "d MMMM yyyy"), F.lit("."))).when(k == 1, F.concat(F.lit("EFFECTIVE  DATE: "), d.cast("string"), F.lit(" (filed 2031)")))
+    said = said.when(k == 2, F.concat(F.lit("effective date " + "x" * 70), year)).when(k == 3, F.concat(F.lit("Effective date\n"), year)).otherwise(F.concat(F.lit("dated "), year))
     return table(spark, sf, "orders").select("o_orderkey", T.filing_year(named).alias("filed"), T.effective_year(said).alias("effective"))
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'PFS' WHEN 1 THEN 'PEA' WHEN 2 THEN 'MRE' ELSE 'TR' END AS study FROM part")
+# Titles that a report's pages may bear, and what each counts for; written in one word, the last is both a PFS and an FS to the fixed patterns.
+_TITLES = ("Pre-Feasibility Study", "Feasibility Study", "Preliminary Economic Assessment", "Scoping Study", "Mineral Resource Estimate", "Annual Report", "PREFEASIBILITY STUDY update")
+_COUNTS_FOR = ("PFS", "FS", "PEA", "PEA", "MRE", "TR", "PFS")
+
+
+@query(
+    f"WITH k AS (SELECT * FROM (VALUES {', '.join(f'({i}, {chr(39)}{c}{chr(39)})' for i, c in enumerate(_COUNTS_FOR))}) AS t(i, c)), p AS (SELECT p_partkey, unnest([p_size % 7, p_partkey % 7, (p_size + p_partkey) % 7]) AS i FROM part),"
+    " v AS (SELECT p_partkey, count(*) FILTER (c = 'FS' OR i = 6) AS f, count(*) FILTER (c = 'PFS') AS p, count(*) FILTER (c = 'PEA') AS e, count(*) FILTER (c = 'MRE') AS m FROM p JOIN k USING (i) GROUP BY 1)"
+    " SELECT p_partkey, CASE WHEN f + p + e > 0 THEN CASE WHEN f >= p AND f >= e THEN 'FS' WHEN p >= e THEN 'PFS' ELSE 'PEA' END WHEN m > 0 THEN 'MRE' ELSE 'TR' END AS study FROM v"
+)
 def t11_study_type(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("p_size") % 4
-    title = F.when(k == 0, "Pre-Feasibility Study and Mineral Resource Estimate").when(k == 1, "Preliminary Economic Assessment").when(k == 2, "Mineral Resource Estimate").otherwise("Annual Report")
-    return table(spark, sf, "part").select("p_partkey", T.study_type(F.array(title)).alias("study"))
+    """The vote over three titles of each row, every mixture of kinds among them."""
+    titles = F.array(*[F.lit(t) for t in _TITLES])
+    picks = F.array(*[F.get(titles, x.cast("int")) for x in (F.col("p_size") % 7, F.col("p_partkey") % 7, (F.col("p_size") + F.col("p_partkey")) % 7)])
+    return table(spark, sf, "part").select("p_partkey", T.study_type(picks).alias("study"))
 
 
-@query("SELECT DISTINCT h, trim(regexp_replace(h, '\\s+', ' ', 'g')) AS clean FROM (SELECT unnest(headers) AS h FROM extracted_tables) WHERE h IS NOT NULL")
+@query(
+    "WITH h AS (SELECT DISTINCT unnest(headers) AS h FROM extracted_tables), b AS (SELECT h FROM h WHERE h IS NOT NULL UNION SELECT reverse(h) FROM h WHERE h IS NOT NULL), f AS (SELECT h, trim(regexp_replace(h, '\\s+', ' ', 'g')) AS flat FROM b)"
+    " SELECT h, CASE WHEN len(list_intersect(string_split_regex(lower(flat), '[^a-z0-9_]+'), w)) = 0 AND len(list_intersect(string_split_regex(lower(reverse(flat)), '[^a-z0-9_]+'), w)) > 0 THEN reverse(flat) ELSE flat END AS clean"
+    " FROM f, (SELECT ['grade', 'recovery', 'tonnage', 'total', 'sample', 'depth', 'zone', 'mass', 'cost'] AS w)"
+)
 def t12_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every header as it stands and turned round."""
     heads = table(spark, sf, "extracted_tables").select(F.explode("headers").alias("h")).filter("h IS NOT NULL").distinct()
-    return heads.select("h", T.clean_header(F.col("h")).alias("clean"))
+    both = heads.unionByName(heads.select(F.reverse("h").alias("h"))).distinct()
+    return both.select("h", T.clean_header(F.col("h")).alias("clean"))
 
 
 @query("SELECT event_id, props AS json FROM events")
