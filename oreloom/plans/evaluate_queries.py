@@ -82,6 +82,9 @@ _SWEEP = (
 )
 
 
+_SCORED = f"WITH {BOTH}, {_SCORES}, scored AS (SELECT x.item, x.p, (t.doc IS NOT NULL)::INT AS y FROM x LEFT JOIN truth t ON t.doc = x.doc AND t.item = x.item)"
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(spark, sf).join(truth(spark, sf).withColumn("y", F.lit(1)), ["doc", "item"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
 
@@ -95,7 +98,16 @@ def l8_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return _sweep(spark, sf).select("item", "threshold", _R("f_beta"))
 
 
-@query()
+@query(
+    _SCORED
+    + ", pos AS (SELECT item, sum(y) AS pos FROM scored GROUP BY 1), g AS (SELECT item, pos, t FROM pos, (SELECT unnest(generate_series(10, 90)) AS t)),"
+    " c AS (SELECT g.item, pos, t, CASE WHEN pos < 25 THEN 2.25 ELSE 1 END AS b2, count(*) FILTER (least(floor((p - 0.1) / 0.01 + 1e-9), 80) >= t - 10) AS n, coalesce(sum(y) FILTER (least(floor((p - 0.1) / 0.01 + 1e-9), 80) >= t - 10), 0) AS tp FROM g JOIN scored s ON s.item = g.item GROUP BY 1, 2, 3),"
+    " f AS (SELECT item, t, round(coalesce((1 + b2) * tp / nullif(b2 * pos + n, 0), 0), 12) AS f FROM c),"
+    " o AS (SELECT item, t FROM f WHERE t % 5 = 0 AND t BETWEEN 15 AND 85 AND f > 0 QUALIFY row_number() OVER (PARTITION BY item ORDER BY f DESC, t) = 1),"
+    " a AS (SELECT pos.item, coalesce(o.t, 50) AS mid FROM pos LEFT JOIN o ON o.item = pos.item),"
+    " r AS (SELECT f.item, t, f, row_number() OVER (PARTITION BY f.item ORDER BY f DESC, (t = mid) DESC, t) AS rn FROM f JOIN a ON a.item = f.item AND abs(t - mid) <= 5)"
+    " SELECT item, t / 100.0 AS threshold, round(f, 6) AS f_beta FROM r WHERE rn = 1"
+)
 def l8_tuned_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return E.tuned_threshold(_scored(spark, sf), "item", "p", "y").select("item", "threshold", _R("f_beta"))
 
@@ -131,7 +143,11 @@ def h4_kendall_tau(spark: SparkSession, sf: str) -> DataFrame:
     return E.kendall_tau(*_orders(spark, sf)).select("doc", "n_common", _R("tau"))
 
 
-@query()
+@query(
+    _ORDERS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", up AS (SELECT doc, a, b, 1 AS len FROM b UNION SELECT n.doc, n.a, n.b, len + 1 FROM up JOIN b n ON n.doc = up.doc AND n.a > up.a AND n.b > up.b),"
+    + " m AS (SELECT doc, max(len) AS len FROM up GROUP BY 1) SELECT b.doc, count(*)::INT AS n_common, round(any_value(m.len) / count(*), 6) AS lcs FROM b JOIN m ON m.doc = b.doc GROUP BY 1"
+)
 def h5_lcs_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return E.lcs_ratio(*_orders(spark, sf)).select("doc", "n_common", _R("lcs"))
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreloom.plans.base import sql_norm
 from oreloom.plans.registry import query
-from oreloom.session import table
+from oreloom.plans.table_queries import clean_sql
+from oreloom.session import ensure_checkpoint_dir, table
 from oreloom.sources import results, sinks
 from oreloom.streaming.ingest import sessions, windowed_counts
 
 
+_STOPS = ("the", "of", "a", "and")
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_valid(props)")
 def s1_permissive_json(spark: SparkSession, sf: str) -> DataFrame:
     """JSON with a stated schema; what cannot be parsed is rejected, not fatal."""
@@ -109,6 +115,37 @@ def k12_consolidate(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "r.produced_at")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own beside the checkpoints, where a sink may write."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM customer")
+def k1_parquet_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Written by Spark's committer, cut by a column, and read back."""
+    path = _scratch(spark, "k1")
+    sinks.write_table(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey"), path, ["c_nationkey"])
+    return spark.read.parquet(path)
+
+
+@query("SELECT table_id, to_json(headers)::VARCHAR AS headers, caption FROM extracted_tables")
+def k11_csv_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Written as CSV, lists as JSON text, and read back."""
+    path = _scratch(spark, "k11")
+    sinks.write_csv(table(spark, sf, "extracted_tables").select("table_id", "headers", "caption"), path)
+    return spark.read.schema("table_id string, headers string, caption string").option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", sinks.CSV_NULL).csv(path)
+
+
+@query("SELECT o_orderkey::VARCHAR AS file, o_totalprice AS score FROM orders WHERE o_orderkey < 100")
+def k9_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """A small manifest put in place by one rename and read back."""
+    path = _scratch(spark, "k9")
+    entries = table(spark, sf, "orders").filter("o_orderkey < 100").select(F.col("o_orderkey").cast("string").alias("file"), F.col("o_totalprice").cast("double").alias("score")).collect()
+    sinks.write_manifest(spark, [r.asDict() for r in entries], path)
+    return sinks.read_manifest(spark, path, "file string, score double")
+
+
 @query('SELECT time_bucket(INTERVAL 1 HOUR, ts) AS "start", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2')
 def stream_windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
     return windowed_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts")
@@ -136,8 +173,8 @@ def s6_dangling(spark: SparkSession, sf: str) -> DataFrame:
     return dangling(table(spark, sf, "doc_features"), "table_id", table(spark, sf, "extracted_tables"), "table_id")
 
 
-@query()
+@query(f"SELECT {clean_sql('table_id', _STOPS)} AS table_id, {clean_sql('caption', _STOPS)} AS caption, page_number FROM extracted_tables")
 def s7_rewrite_text(spark: SparkSession, sf: str) -> DataFrame:
     from oreloom.sources.store import rewrite_text
 
-    return rewrite_text(table(spark, sf, "extracted_tables").select("table_id", "caption", "page_number"), ["the", "of", "a", "and"])
+    return rewrite_text(table(spark, sf, "extracted_tables").select("table_id", "caption", "page_number"), list(_STOPS))

@@ -49,7 +49,14 @@ def t4_contextual_stage(spark: SparkSession, sf: str) -> DataFrame:
     return seq.select("doc", "pos", S.contextual_stage(F.col("stage"), F.col("o"), F.col("before"), F.col("after"), rules).alias("stage"))
 
 
-@query()
+def clean_sql(column: str, stops: tuple[str, ...]) -> str:
+    """Stop words and plural endings removed, in SQL."""
+    words = f"list_filter(string_split_regex(lower(trim({column})), '\\s+'), lambda w: w <> '' AND w NOT IN ({', '.join(repr(x) for x in stops)}))"
+    single = "CASE WHEN regexp_matches(w, '[a-z]{3,}ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '[a-z]{2,}[^s]s$') THEN regexp_replace(w, 's$', '') ELSE w END"
+    return f"array_to_string(list_transform({words}, lambda w: {single}), ' ')"
+
+
+@query(f"SELECT doc_id, length({clean_sql('text', ('the', 'a', 'of', 'and', 'to', 'in', 'is', 'was', 'for'))})::INT AS n FROM documents WHERE text IS NOT NULL")
 def t5_clean_text(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").filter("text IS NOT NULL")
     return docs.select("doc_id", F.length(S.clean_text(F.col("text"), ["the", "a", "of", "and", "to", "in", "is", "was", "for"])).alias("n"))

@@ -37,10 +37,14 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+#: How a null is written to CSV, so that it is not taken for an empty text.
+CSV_NULL = "\\N"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header; nested columns as JSON text."""
+    """CSV with header; nested columns as JSON text, quotes doubled, nulls as CSV_NULL."""
     flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in df.schema]
-    df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*flat).write.mode("overwrite").options(header=True, escape='"', nullValue=CSV_NULL, emptyValue="").csv(path)
 
 
 def last_writer_wins(rows: DataFrame, keys: list[str], sequence: list[Column]) -> DataFrame:
