@@ -5,6 +5,7 @@ Each has an equi-key that splits the work: a group key plus a bucket of the orde
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,8 +56,9 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, at: str, value: s
 
 def greedy_disjoint(rows: DataFrame, group: str, name: str, sides: list[tuple[str, str]], overlap: float = 0.5) -> DataFrame:
     """Per group keep boxes (one (lo, hi) pair of columns per dimension) largest first, dropping one whose common part
-    with a kept one is at least ``overlap`` of the smaller. The order of decisions matters, so each (bounded) group is
-    decided in one Arrow task. Ties by name; boxes without extent take part but overlap nothing.
+    with a kept one is at least ``overlap`` of the smaller. The order of decisions matters, so each group (the boxes of a
+    page or document) is decided in one Arrow task; a box meets only the kept ones near it. Ties by name; boxes without extent
+    take part but overlap nothing.
     """
     columns = [group, name, *[c for side in sides for c in side]]
     schema = rows.select(*columns).schema
@@ -66,17 +68,50 @@ def greedy_disjoint(rows: DataFrame, group: str, name: str, sides: list[tuple[st
         hi = np.array([pdf[b] for _, b in sides], float)
         area = np.prod(np.maximum(hi - lo, 0.0), axis=0)
         order = sorted(range(len(pdf)), key=lambda i: (-area[i], str(pdf[name].iloc[i])))
-        chosen: list[int] = []
+        grid, chosen = BoxGrid(lo, hi), []
         for i in order:
-            common = np.prod(np.maximum(np.minimum(hi[:, chosen], hi[:, [i]]) - np.maximum(lo[:, chosen], lo[:, [i]]), 0.0), axis=0)
-            smaller = np.minimum(area[chosen], area[i])
-            if not ((smaller > 0) & (common >= overlap * smaller)).any():
-                chosen.append(i)
+            near = grid.near(i) if area[i] > 0 else ()
+            if len(near):
+                common = np.prod(np.maximum(np.minimum(hi[:, near], hi[:, [i]]) - np.maximum(lo[:, near], lo[:, [i]]), 0.0), axis=0)
+                if (common >= overlap * np.minimum(area[near], area[i])).any():
+                    continue
+            chosen.append(i)
+            if area[i] > 0:
+                grid.add(i)
         return pdf.iloc[chosen][columns]
 
     return rows.select(*columns).groupBy(group).applyInPandas(keep, schema)
 
 
+class BoxGrid:
+    """Boxes by size class: those of a class lie in cells at least as wide as their longest side, so each touches few cells."""
+
+    def __init__(self, lo: np.ndarray, hi: np.ndarray) -> None:
+        self.lo, self.hi = lo, hi
+        self.cells: dict[int, dict[tuple, list[int]]] = {}
+        self.all: dict[int, list[int]] = {}
+
+    def _touched(self, i: int, level: int, most: int) -> Iterator[tuple] | None:
+        first, last = (np.floor(x[:, i] / 2.0**level).astype(int) for x in (self.lo, self.hi))
+        if np.prod((last - first + 1).astype(float)) > most:
+            return None
+        return itertools.product(*(range(a, b + 1) for a, b in zip(first, last, strict=True)))
+
+    def add(self, i: int) -> None:
+        level = int(np.ceil(np.log2((self.hi[:, i] - self.lo[:, i]).max())))
+        self.all.setdefault(level, []).append(i)
+        for cell in self._touched(i, level, 2**62) or ():
+            self.cells.setdefault(level, {}).setdefault(cell, []).append(i)
+
+    def near(self, i: int) -> np.ndarray:
+        """All boxes that may share room with box i; where it touches more cells than a class has boxes, the whole class."""
+        found: set[int] = set()
+        for level, members in self.all.items():
+            cells = self._touched(i, level, len(members))
+            found.update(members if cells is None else (j for c in cells for j in self.cells[level].get(c, ())))
+        return np.fromiter(found, int, len(found))
+
+
 def band_join(left: DataFrame, right: DataFrame, key: str, at: str, band: int, per_key: int | None = None) -> DataFrame:
     """All pairs of the same key with |left.at - right.at| <= band. Needs left_id and right_id.
 

@@ -129,6 +129,16 @@ def l4_boosted_trees(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc", *labels, *[F.round(f"{y}_prob", 6).alias(f"{y}_prob") for y in labels])
 
 
+@query()
+def l11_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss of F1 on held-out rows when a group of features is zeroed."""
+    rows, features, labels = _stage_model_rows(spark, sf)
+    model = L.boosted_trees(rows.filter("split = 'train'"), features, labels[0], trees=6)
+    groups = {"record": ["doc_f1", "n_stages"], "own name": ["f0"], "other names": [f for f in features if f.startswith("f") and f != "f0"]}
+    ranked = L.ablation(model, rows.filter("split = 'rest'").select(*features, labels[0]), groups, labels[0])
+    return spark.createDataFrame([(g, round(float(d), 6)) for g, d in ranked], "left_out string, loss double")
+
+
 @query()
 def l5_classifier_chain(spark: SparkSession, sf: str) -> DataFrame:
     """The chain with a small grid, oversampled positives and tuned thresholds, all on out-of-fold scores; scored on held-out rows."""

@@ -167,24 +167,15 @@ def l7_edge_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query()
-def l11_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    """Loss of micro F1 when one group of labels is left out of the predictions."""
-    from oreloom.operators import evaluate as E
-
-    pred, real = predicted(spark, sf), truth(spark, sf)
-    groups = {"mills": "mill", "crushers": "crush", "tanks": "tank"}
-    marks = {g: F.contains(F.col("item"), F.lit(w)) for g, w in groups.items()}
-    cells = E.outcomes(pred, real, ["doc", "item"]).select("*", *[m.alias(g) for g, m in marks.items()])
-
-    def f1(keep):  # noqa: ANN001, ANN202
-        p = F.col("is_pred") * keep
-        tp, fp, fn = F.sum(p * F.col("is_true")), F.sum(p * (1 - F.col("is_true"))), F.sum((1 - p) * F.col("is_true"))
-        return E.f1_columns(tp, fp, fn)[2]
-
-    row = cells.agg(f1(F.lit(1)).alias("full"), *[f1((~F.col(g)).cast("int")).alias(g) for g in groups]).first()
-    ranked = L.ablation({g: row[g] for g in groups}, row["full"])
-    return spark.createDataFrame([(g, round(float(d), 6)) for g, d in ranked], "left_out string, loss double")
+@query(
+    r"""WITH t AS (SELECT DISTINCT table_id, lower(coalesce(caption, '')) AS a, lower(coalesce(array_to_string(headers, ' '), '')) AS b FROM extracted_tables),
+    w AS (SELECT table_id, list_distinct(list_filter(string_split_regex(a, '[\s\x0b\x1c-\x1f\x{85}\x{a0}]+'), lambda x: x <> '')) AS x, list_distinct(list_filter(string_split_regex(b, '[\s\x0b\x1c-\x1f\x{85}\x{a0}]+'), lambda x: x <> '')) AS y FROM t)
+    SELECT table_id, round(coalesce(len(list_intersect(x, y)) / nullif(len(list_distinct(x || y)), 0), 0), 6) AS relevance FROM w"""
+)
+def l13_scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The hook of the relevance model, with its default scorer, over caption and header of each table."""
+    rows = table(spark, sf, "extracted_tables").select("table_id", F.coalesce("caption", F.lit("")).alias("a"), F.coalesce(F.array_join("headers", " "), F.lit("")).alias("b")).distinct()
+    return L.score_pairs(rows, "a", "b").select("table_id", F.round("relevance", 6).alias("relevance"))
 
 
 @query()

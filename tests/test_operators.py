@@ -332,6 +332,20 @@ def test_pair_features_do_not_see_their_own_label(spark):
     assert (apart["d1", "a"].n_there, apart["d1", "a"].n_back, apart["d1", "a"].n_both) == (1.0, 1.0, 2.0)
 
 
+def test_ablation_ranks_the_telling_group_first(spark):
+    df = _two_classes(spark, 200, 80)
+    model = learn.boosted_trees(df, ["a", "b"], "y", trees=3)
+    ranked = learn.ablation(model, df, {"noise": ["b"], "signal": ["a"]}, "y")
+    assert [g for g, _ in ranked] == ["signal", "noise"] and ranked[0][1] > 0.2
+
+
+def test_pairs_are_scored_by_a_given_model(spark):
+    df = spark.createDataFrame([("a b", "b c", 1), ("", None, 2), (None, "x", 3)], "l string, r string, k int")
+    assert {r.k: round(r.relevance, 4) for r in learn.score_pairs(df, "l", "r").collect()} == {1: 0.3333, 2: 0.0, 3: 0.0}
+    longer = lambda a, b: [len(x) - len(y) for x, y in zip(a, b)]
+    assert {r.k: r.s for r in learn.score_pairs(df, "l", "r", longer, "s").collect()} == {1: 0.0, 2: 0.0, 3: -1.0}
+
+
 def test_boosted_trees_beat_chance(spark, sf):
     from oreloom.plans.model_queries import l4_boosted_trees
 
@@ -339,6 +353,22 @@ def test_boosted_trees_beat_chance(spark, sf):
     assert sum((r.y0_prob > 0.5) == bool(r.y0) for r in rows) / len(rows) > 0.6
 
 
+@pytest.mark.parametrize("dims", [1, 2])
+def test_disjoint_boxes_match_plain_greedy(spark, dims):
+    rng = np.random.default_rng(dims)
+    lo = rng.uniform(-50, 50, (200, dims)).round(1)
+    hi = lo + rng.choice([0.0, 0.5, 3.0, 20.0, 70.0], (200, dims))
+    rows = [("p", f"b{i:03d}", *[float(x) for d in range(dims) for x in (lo[i, d], hi[i, d])]) for i in range(200)]
+    sides = [(f"lo{d}", f"hi{d}") for d in range(dims)]
+    df = spark.createDataFrame(rows, ", ".join(["g string", "name string", *[f"{c} double" for s in sides for c in s]]))
+    area, kept = (hi - lo).prod(1), []
+    for i in sorted(range(200), key=lambda i: (-area[i], i)):
+        common = [np.maximum(np.minimum(hi[i], hi[j]) - np.maximum(lo[i], lo[j]), 0).prod() for j in kept]
+        if not any(min(area[i], area[j]) > 0 and c >= 0.5 * min(area[i], area[j]) for c, j in zip(common, kept)):
+            kept.append(i)
+    assert {r.name for r in joins.greedy_disjoint(df, "g", "name", sides).collect()} == {f"b{i:03d}" for i in kept}
+
+
 def test_mentions_match_plain_search(spark):
     texts, names = ["the ball mill feeds", "a jig", None, "", "ball millball mill and jigs"], ["ball mill", "ball", "jig", "mill", "", None, "zz"]
     df, ns = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(n,) for n in names * 2], "name string")
