@@ -209,15 +209,19 @@ NODE_SCHEMA = "rec bigint, kind string, name string, name2 string, pre int, post
 def node_table(df: DataFrame, id_col: str, shape: dict[str, Kind], with_attrs: bool = True) -> DataFrame:
     """Interval-labelled nodes of the JSON fields of ``df``: (id, rec, kind, name, name2, pre, post, attrs).
 
-    rec tells records with the same id apart; name2 is the second name of a pair. Streams Arrow batches; a record is never held longer than its batch.
+    rec tells records with the same id apart; name2 is the second name of a pair. Streams Arrow batches; a record is never held
+    longer than its batch, and one that comes again in it is left out, so that a record delivered very often makes no hot group.
     """
     fields = list(shape)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows, seen = [], set()
             for values in zip(pdf["__id"], pdf["rec"], *(pdf[f] for f in fields), strict=True):
+                if values in seen:
+                    continue
+                seen.add(values)
                 clock = 0
                 for text, f in zip(values[2:], fields, strict=True):
                     nodes = interval_nodes(text, shape[f], clock)
