@@ -271,9 +271,8 @@ def _undo(record: DataFrame, known: DataFrame) -> DataFrame:
 
 def _across_parts(links: DataFrame, part_rows: int) -> DataFrame:
     """Results of groups too large for one part: steps over all their nodes until what is left of each group fits."""
-    ends = links.select("gn", "g", F.col("child").alias("v"), F.col("parent").alias("p")).unionByName(
-        links.select("gn", "g", F.col("parent").alias("v"), F.lit(None).cast("string").alias("p"))
-    )
+    both = F.array(F.struct(F.col("child").alias("v"), F.col("parent").alias("p")), F.struct(F.col("parent").alias("v"), F.lit(None).cast("string").alias("p")))
+    ends = links.select("gn", "g", F.inline(both))
     nodes = ends.filter("v IS NOT NULL").groupBy(*_KEY).agg(F.min("p").alias("p"))
     record = cut(nodes.select(*_KEY, "p", F.array("v").alias("seg"), F.lit(1).cast("bigint").alias("own"), F.lit("stay").alias("what")))
     records: list[DataFrame] = []
