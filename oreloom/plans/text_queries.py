@@ -9,7 +9,7 @@ from oreloom.functions import text as T
 from oreloom.functions.register import register_functions
 from oreloom.operators import corpus as C
 from oreloom.operators import joins as J
-from oreloom.operators.classify import keyword_classes
+from oreloom.operators.classify import domain_keyword_counts, keyword_classes
 from oreloom.plans.base import LATEST, latest_predictions
 from oreloom.plans.registry import query
 from oreloom.session import table
@@ -228,7 +228,7 @@ _DOMAIN = ", ".join(f"('{g}', '{k}')" for g, ks in T.DOMAIN_KEYWORDS.items() for
     "WHERE regexp_matches(lower(text), replace(keyword, '_', '[_ ]'))"
 )
 def t7_keyword_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", F.inline(T.domain_counts(F.col("text"))))
+    return domain_keyword_counts(_docs(spark, sf), "doc_id", "text")
 
 
 @query("SELECT DISTINCT table_id, trim(coalesce(caption, '') || ' | ' || coalesce(array_to_string(headers, ' '), '') || ' | ' || coalesce(array_to_string(flatten(cell_rows[1:5]), ' '), '')) AS s FROM extracted_tables")

@@ -69,6 +69,15 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores before long work in Python, where a small file in few splits would leave half of them idle.
+
+    Tables in splits enough, which large ones are, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def release(*done: DataFrame | None) -> None:
     """Delete the files of checkpoints that cut() made and nothing reads any more; other DataFrames are left alone."""
     for df in done:
