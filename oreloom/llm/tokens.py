@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreloom.session import cut, ensure_checkpoint_dir
+from oreloom.session import cut, ensure_checkpoint_dir, spread
 
 #: The vocabulary file; a parameter everywhere.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -303,7 +303,7 @@ def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([names, found.field(1)], names=["word", "n"])
 
     return (
-        documents.select(text)
+        spread(documents.select(text))
         .mapInArrow(run, "word string, n bigint")
         .filter(F.length("word") <= 40)
         .groupBy("word")
@@ -371,4 +371,4 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([*kept, made], names=[*[f.name for f in passed], "n_tokens" if count_only else "ids"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed)
-    return documents.select(key, *carry, text).mapInArrow(run, f"{types}, {'n_tokens int' if count_only else 'ids array<int>'}")
+    return spread(documents.select(key, *carry, text)).mapInArrow(run, f"{types}, {'n_tokens int' if count_only else 'ids array<int>'}")
