@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zipfile
+from pathlib import Path
+
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +48,25 @@ def _section_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("section_group").alias("section"), F.col("doc_id").alias("doc"), F.explode(words).alias("term"))
 
 
-@query()
+def _shipped_stops() -> list[str]:
+    """Spark's English stop words, read out of its jar, since oracles are written before any session."""
+    for jar in sorted(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
+    return []
+
+
+_QUOTED = ", ".join("'" + w.replace("'", "''") + "'" for w in _shipped_stops())
+
+
+@query(
+    "WITH d AS (SELECT DISTINCT section_group AS section, doc_id AS doc, text FROM documents WHERE text IS NOT NULL AND section_group IS NOT NULL),"
+    " tok AS (SELECT section, doc, term FROM (SELECT section, doc, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS term FROM d) WHERE length(term) >= 3),"
+    f" tf AS (SELECT section, doc, term, count(*) AS tf FROM tok WHERE term NOT IN ({_QUOTED}) GROUP BY 1, 2, 3), n AS (SELECT section, count(DISTINCT doc) AS n FROM tok GROUP BY 1),"
+    " df AS (SELECT section, term, count(*) AS df FROM tf GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY section ORDER BY count(*) DESC, term) <= 200),"
+    " w AS (SELECT tf.section, doc, tf.term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN df ON df.section = tf.section AND df.term = tf.term JOIN n ON n.section = tf.section)"
+    " SELECT section, doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY section, doc)), 6) AS weight FROM w"
+)
 def l1_section_tf_idf(spark: SparkSession, sf: str) -> DataFrame:
     """Tf-idf by section of the documents: 200 features each, without the stop words of Spark's English list."""
     return L.section_tf_idf(_section_tokens(spark, sf), 200, L.stop_words(spark)).select("section", "doc", "term", _R("weight"))
