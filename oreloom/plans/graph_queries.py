@@ -40,6 +40,37 @@ def h7_back_edges(spark: SparkSession, sf: str) -> DataFrame:
     return G.back_edges_and_depth(_edges(spark, sf))
 
 
+_ACYCLIC = (
+    _EDGES
+    + ", reach AS (SELECT doc, src, dst FROM edges UNION SELECT r.doc, r.src, e.dst FROM reach r JOIN edges e ON e.doc = r.doc AND e.src = r.dst), cyclic AS (SELECT DISTINCT doc FROM reach WHERE src = dst),"
+    + " nodes AS (SELECT doc, src AS n FROM edges UNION SELECT doc, dst FROM edges) SELECT doc, count(*) AS n_nodes, 0 AS n_wrong FROM nodes WHERE doc NOT IN (SELECT doc FROM cyclic) GROUP BY 1"
+)
+
+
+def _order_audit(edges: DataFrame, smallest_first: bool) -> DataFrame:
+    """doc, n_nodes, n_wrong of documents without back edges: nodes placed, and edges that point backwards or places held twice."""
+    loops = G.back_edges_and_depth(edges).filter("is_back").select("doc").distinct()
+    order = G.topological_order(edges, smallest_first=smallest_first).join(loops, "doc", "left_anti")
+    name, place = order.columns[1:3]
+    at = lambda end: order.select("doc", F.col(name).alias(end), F.col(place).alias(f"{end}_at"))
+    placed = edges.join(loops, "doc", "left_anti").join(at("src"), ["doc", "src"], "left").join(at("dst"), ["doc", "dst"], "left")
+    wrong = placed.groupBy("doc").agg(F.count_if(~F.coalesce(F.col("src_at") < F.col("dst_at"), F.lit(False))).alias("e"))
+    nodes = order.groupBy("doc").agg(F.count("*").alias("n_nodes"), (F.count("*") - F.count_distinct(place)).alias("t"))
+    return nodes.join(wrong, "doc").select("doc", "n_nodes", (F.col("e") + F.col("t")).alias("n_wrong"))
+
+
+@query(_ACYCLIC)
+def h1_order_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the order with the smallest node first, where the graph allows one."""
+    return _order_audit(_edges(spark, sf), True)
+
+
+@query(_ACYCLIC)
+def h2_order_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the first-in, first-out order, where the graph allows one."""
+    return _order_audit(_edges(spark, sf), False)
+
+
 @query()
 def h8_pathways(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus graph has as many rows as pairs of stage names (bounded by the vocabulary); only it is collected."""
