@@ -155,18 +155,19 @@ def pack_items(
 
 
 def window_mixture(packed: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """window_id, n_tokens, deviation: the largest difference between a source's part of the window's tokens and its target."""
+    """window_id, n_tokens, deviation: the largest difference between a source's part of the window's tokens and its target, over
+    all sources, those too that the window lacks. The targets travel as one row; a window's sources fit one row, as a bucket's
+    queues fit one task.
+    """
     drawn = packed.groupBy("window_id", "source").agg(F.sum("n_tokens").alias("n"))
     of_source = drawn.groupBy("source").agg(F.sum("n").alias("n"))
     whole = of_source.agg(F.sum("n").alias("whole"))
-    wanted = of_source.join(whole).withColumn("own_share", F.col("n") / F.greatest("whole", F.lit(1)))
-    wanted = wanted.select("source", _targets(wanted, targets).alias("target"))
-    windows = drawn.groupBy("window_id").agg(F.sum("n").alias("n_tokens"))
-    apart = F.abs(F.col("n") / F.greatest("n_tokens", F.lit(1)) - F.col("target"))
-    met = drawn.join(wanted, "source").join(windows, "window_id").groupBy("window_id", "n_tokens").agg(F.max(apart).alias("far"), F.sum("target").alias("met"))
-    # A source that a window lacks altogether is off by its whole target; the largest of those is at most what is not met.
-    lacks = windows.select("window_id").join(wanted).join(drawn, ["window_id", "source"], "left_anti").groupBy("window_id").agg(F.max("target").alias("lacked"))
-    return met.join(lacks, "window_id", "left").select("window_id", "n_tokens", F.greatest("far", F.coalesce("lacked", F.lit(0.0))).alias("deviation"))
+    shares = of_source.join(whole).withColumn("own_share", F.col("n") / F.greatest("whole", F.lit(1)))
+    wanted = shares.select(F.struct("source", _targets(shares, targets).alias("target")).alias("w")).agg(F.collect_list("w").alias("wanted"))
+    windows = drawn.groupBy("window_id").agg(F.sum("n").alias("n_tokens"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("held"))
+    part = lambda w: F.coalesce(F.try_element_at("held", w["source"]), F.lit(0)) / F.greatest("n_tokens", F.lit(1))
+    apart = F.array_max(F.transform("wanted", lambda w: F.abs(part(w) - w["target"])))
+    return windows.join(wanted).select("window_id", "n_tokens", apart.alias("deviation"))
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, **how: object) -> DataFrame:
