@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,15 +44,7 @@ def _section_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("section_group").alias("section"), F.col("doc_id").alias("doc"), F.explode(words).alias("term"))
 
 
-def _shipped_stops() -> list[str]:
-    """Spark's English stop words, read out of its jar, since oracles are written before any session."""
-    for jar in sorted(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as z:
-            return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-    return []
-
-
-_QUOTED = ", ".join("'" + w.replace("'", "''") + "'" for w in _shipped_stops())
+_QUOTED = ", ".join("'" + w.replace("'", "''") + "'" for w in L.ENGLISH_STOPS)
 
 
 @query(
@@ -69,13 +57,13 @@ _QUOTED = ", ".join("'" + w.replace("'", "''") + "'" for w in _shipped_stops())
 )
 def l1_section_tf_idf(spark: SparkSession, sf: str) -> DataFrame:
     """Tf-idf by section of the documents: 200 features each, without the stop words of Spark's English list."""
-    return L.section_tf_idf(_section_tokens(spark, sf), 200, L.stop_words(spark)).select("section", "doc", "term", _R("weight"))
+    return L.section_tf_idf(_section_tokens(spark, sf), 200, list(L.ENGLISH_STOPS)).select("section", "doc", "term", _R("weight"))
 
 
 @query()
 def l2_svd(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty components per section of the section's 200 features: singular values, and the terms that weigh most."""
-    weights = cut(L.section_tf_idf(_section_tokens(spark, sf), 200, L.stop_words(spark)))
+    weights = cut(L.section_tf_idf(_section_tokens(spark, sf), 200, list(L.ENGLISH_STOPS)))
     rows = [(s, i, float(round(v, 6)), t) for s, found in sorted(L.section_svd(weights, 20).items()) for i, (v, t) in enumerate(zip(found.values, found.top_terms(), strict=True))]
     return spark.createDataFrame(rows, "section string, k int, value double, term string")
 

@@ -1,15 +1,18 @@
 """Operators without a full SQL oracle: hand cases, brute force and invariants."""
 
+import importlib.util
 import itertools
 import random
 
 import numpy as np
 import pandas as pd
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
 from oreloom.functions import plant, text
 from oreloom.operators import corpus, evaluate, graphs, joins, learn, neighbors, tables
+from oreloom.plans import model_queries, registry
 from oreloom.sources import results, sinks
 from oreloom.streaming import ingest
 
@@ -288,6 +291,16 @@ def test_section_weights_have_unit_rows_and_no_stop_words(spark):
     assert one == pytest.approx({t: w / np.hypot(*raw.values()) for t, w in raw.items()})
 
 
+def test_section_oracle_names_the_stop_words_where_no_jar_of_spark_lies(spark, monkeypatch):
+    monkeypatch.setattr(pyspark, "__file__", "/nowhere/pyspark/__init__.py")
+    monkeypatch.setattr(registry, "QUERIES", {})
+    monkeypatch.setattr(registry, "ORACLES", {})
+    spec = importlib.util.spec_from_file_location("oreloom.plans.again", model_queries.__file__)
+    spec.loader.exec_module(importlib.util.module_from_spec(spec))
+    assert "NOT IN ('i', 'me', 'my'," in registry.ORACLES["l1_section_tf_idf"]
+    assert sorted(learn.ENGLISH_STOPS) == learn.stop_words(spark)  # the query and its oracle leave out what Spark ships
+
+
 def _two_classes(spark, n, positive):
     rng = np.random.default_rng(4)
     rows = [(f"k{i}", float(rng.normal(3.0 if i < positive else 0.0)), float(rng.normal()), int(i < positive), int(i < positive and i % 4 > 0)) for i in range(n)]
