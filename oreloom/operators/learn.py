@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oreloom.operators.evaluate import tuned_threshold
-from oreloom.operators.neighbors import knn
+from oreloom.operators.neighbors import nearest_others
 from oreloom.session import cut
 
 
@@ -176,8 +176,9 @@ def score_trees(model, rows: DataFrame, name: str = "prob") -> DataFrame:  # noq
 def oversampled(rows: DataFrame, features: list[str], label: str, key: str, neighbours: int = 3, seed: int = 7) -> DataFrame:
     """The rows and made-up positives between a positive and one of its nearest, until the classes are about even.
 
-    Neighbours come from the blocked search over the positives (stated queries against all of them); the mixing share and the
-    number of copies follow from hashes, so that every run makes the same rows. With fewer than two positives nothing is made.
+    Neighbours come from the exact search over the distinct vectors of the positives; the mixing share and the number of copies
+    follow from hashes, so that every run makes the same rows. With fewer than two positives nothing is made. The rows made are
+    kept, since a fit reads them many times.
     """
     n, pos = rows.agg(F.count("*"), F.sum(F.col(label).cast("bigint"))).first()
     copies = min(10, (n - (pos or 0)) // pos - 1) if pos and pos > 1 else 0
@@ -186,12 +187,11 @@ def oversampled(rows: DataFrame, features: list[str], label: str, key: str, neig
         return kept
     vec = F.array(*[F.col(c).cast("double") for c in features])
     points = cut(rows.filter(F.col(label) == 1).select(F.xxhash64(key).alias("id"), vec.alias("vec")).dropDuplicates(["id"]))
-    near = knn(points, points, neighbours, "euclidean", same=True)
-    made = near.join(points, "id").join(points.select(F.col("id").alias("neighbor"), F.col("vec").alias("other")), "neighbor")
+    made = nearest_others(points, neighbours)
     made = made.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(int(copies) - 1)))).filter(F.col("copy") % neighbours == F.col("rank") - 1)
     share = F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.lit(1000)) / 1000.0
     mixed = F.zip_with("vec", "other", lambda a, b: a + (b - a) * share)
-    return kept.unionByName(made.select(*[mixed[i].alias(c) for i, c in enumerate(features)], F.lit(1).alias(label)))
+    return kept.unionByName(cut(made.select(*[mixed[i].alias(c) for i, c in enumerate(features)], F.lit(1).alias(label))))
 
 
 @dataclass(frozen=True)
@@ -205,11 +205,17 @@ class Link:
     f1: float
 
 
-def out_of_fold(rows: DataFrame, features: list[str], label: str, key: str, folds: int, **how: int) -> DataFrame:
-    """(key, label, prob): every row scored by a model of the other folds."""
-    marked, out = rows.withColumn("__fold", fold(F.col(key), folds)), None
-    for k in range(folds):
-        model = boosted_trees(oversampled(marked.filter(F.col("__fold") != k), features, label, key), features, label, **how)
+def fold_sets(rows: DataFrame, features: list[str], label: str, key: str, folds: int) -> list[DataFrame]:
+    """For each fold the oversampled rows of the others; the same for every setting of a grid."""
+    marked = rows.withColumn("__fold", fold(F.col(key), folds))
+    return [oversampled(marked.filter(F.col("__fold") != k), features, label, key) for k in range(folds)]
+
+
+def out_of_fold(rows: DataFrame, sets: list[DataFrame], features: list[str], label: str, key: str, **how: int) -> DataFrame:
+    """(key, label, prob): every row scored by a model of the other folds; sets: those of fold_sets."""
+    marked, out = rows.withColumn("__fold", fold(F.col(key), len(sets))), None
+    for k, others in enumerate(sets):
+        model = boosted_trees(others, features, label, **how)
         part = score_trees(model, marked.filter(F.col("__fold") == k)).select(key, label, "prob")
         out = part if out is None else out.unionByName(part)
     return cut(out)
@@ -225,9 +231,9 @@ def tuned_chain(rows: DataFrame, features: list[str], labels: list[str], key: st
     order = sorted((x for x in labels if (totals[x] or 0) >= 2), key=lambda x: (-totals[x], x))
     chain, seen = [], list(features)
     for x in order:
-        best = None
+        best, sets = None, fold_sets(rows, seen, x, key, folds)
         for how in grid:
-            scored = out_of_fold(rows, seen, x, key, folds, **how)
+            scored = out_of_fold(rows, sets, seen, x, key, **how)
             row = tuned_threshold(scored.withColumn("__label", F.lit(x)), "__label", "prob", x).first()
             if best is None or row["f_beta"] > best[0]:
                 best = (row["f_beta"], row["threshold"], scored, how)

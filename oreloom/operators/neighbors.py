@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oreloom.session import cut
+
 #: Rows of the sample that an index is fitted on, and queries among them that it is tuned on.
 FIT_ROWS, FIT_QUERIES = 20_000, 400
 #: Rows that a cell is meant to hold, and the most cells (a megabyte or so of centres, sent to every task).
@@ -135,6 +137,26 @@ def knn(
     return found if floor is None else found.filter(F.col("score") >= floor)
 
 
+def nearest_others(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+    """k nearest other rows of every row of points (id, vec) -> id, vec, rank, neighbor, other (its vector); ties by id.
+
+    As knn of points against themselves with same, but rows of equal vectors, which are at distance 0, are searched once: of
+    a vector only the k + 1 smallest ids can be anybody's neighbours, and only the k nearest other vectors, ties by their
+    smallest id, can hold one. The search is exact and grows with the square of the distinct vectors, not of the rows.
+    """
+    first = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    ids = points.filter("vec IS NOT NULL").withColumn("__rn", first).filter(F.col("__rn") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    shapes = cut(ids.select(F.col("ids")[0].alias("id"), "vec", "ids"))
+    far = knn(shapes, shapes, k, metric, same=True).select("id", F.col("neighbor").alias("at"), (-F.col("score")).alias("distance"))
+    held = shapes.select(F.col("id").alias("at"), F.col("vec").alias("other"), "ids")
+    own = shapes.select("id", F.col("id").alias("at"), F.lit(0.0).alias("distance"))
+    rows = far.unionByName(own).join(held, "at").select("id", "distance", F.explode("ids").alias("neighbor"), "other")
+    best = rows.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbor", "other"))), 1, k + 1).alias("near"))
+    known = shapes.select(F.col("id").alias("at"), "vec").join(best.withColumnRenamed("id", "at"), "at").drop("at")
+    mine = points.join(known, "vec").select("id", "vec", F.slice(F.filter("near", lambda x: x["neighbor"] != F.col("id")), 1, k).alias("near"))
+    return mine.select("id", "vec", F.posexplode("near").alias("rank", "n")).select("id", "vec", (F.col("rank") + 1).alias("rank"), F.col("n.neighbor").alias("neighbor"), F.col("n.other").alias("other"))
+
+
 def recall(found: DataFrame, exact: DataFrame) -> Column | float:
     """Share of the exact neighbours that were found."""
     both = exact.select("id", "neighbor").join(found.select("id", "neighbor", F.lit(1).alias("hit")), ["id", "neighbor"], "left")

@@ -318,6 +318,29 @@ def test_made_up_positives_lie_between_positives(spark):
     assert learn.oversampled(df.filter("y = 0"), ["a", "b"], "y", "key").count() == 100
 
 
+def test_repeated_vectors_are_searched_once(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = [(i * 7919 % 1009, [float(rnd.randint(0, 3)), float(rnd.randint(0, 2)) / 3]) for i in range(300)]
+    searched, knn = [], neighbors.knn
+    monkeypatch.setattr(neighbors, "knn", lambda queries, base, *a, **k: searched.append((queries.count(), base.count())) or knn(queries, base, *a, **k))
+    got = {}
+    for r in neighbors.nearest_others(spark.createDataFrame(rows, "id bigint, vec array<double>"), 3).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbor, r.other))
+    assert searched == [(12, 12)]
+    for i, v in rows:
+        want = sorted((round(float(np.hypot(v[0] - w[0], v[1] - w[1])), 9), j, w) for j, w in rows if j != i)[:3]
+        assert sorted(got[i]) == [(n, j, w) for n, (_, j, w) in enumerate(want, 1)]
+    few = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None)], "id bigint, vec array<double>")
+    assert sorted((r.id, r.neighbor) for r in neighbors.nearest_others(few, 3).collect()) == [(1, 2), (2, 1)]
+
+
+def test_oversampled_rows_are_made_once_per_fold_whatever_the_grid(spark, monkeypatch):
+    made, oversampled = [], learn.oversampled
+    monkeypatch.setattr(learn, "oversampled", lambda *a, **k: made.append(1) or oversampled(*a, **k))
+    learn.tuned_chain(_two_classes(spark, 120, 30), ["a", "b"], ["y"], "key", [{"depth": 1, "trees": 1}, {"depth": 2, "trees": 1}], folds=2)
+    assert len(made) == 3
+
+
 def test_tuned_chain_beats_chance_on_rows_it_never_saw(spark):
     df = _two_classes(spark, 300, 90).withColumn("split", learn.hash_split(F.col("key"), [("train", 0.6), ("rest", 0.4)]))
     chain = learn.tuned_chain(df.filter("split = 'train'"), ["a", "b"], ["z", "y"], "key", [{"depth": 2, "trees": 3}], folds=2)
