@@ -2,9 +2,8 @@
 
 A page is cut into line units; a hidden Markov model labels each as prose, link list, tag list or menu; pages are flagged
 by the share of their text that is not prose. Emissions have two parts: what can be counted in any script (short words,
-separators, links, tags, repeated terms, figures), and the weights of the unit's terms, fitted on a bounded sample of
-documents: the first part alone labels the sample's units, and a term weighs the log of how much more often it stands in
-prose than elsewhere. No word of any language is given. Terms are words, or pairs of characters in scripts without blanks.
+separators, links, tags, repeated terms, figures), and the weights of the unit's terms, fitted on all documents: the first
+part alone labels their units, and a term weighs the log of how much more often it stands in prose than elsewhere. No word of any language is given. Terms are words, or pairs of characters in scripts without blanks.
 """
 
 from __future__ import annotations
@@ -29,9 +28,7 @@ UNIT_WORDS = 24
 
 #: Words of so few letters carry no subject in scripts with spaces: articles, prepositions, forms of to be.
 SHORT = 3
-#: Documents of the sample that term weights are fitted on (by hash of the id, hence the same at any partitioning).
-FIT_DOCUMENTS = 5_000
-#: Terms kept: the most frequent of the sample, of at least FIT_LEAST occurrences each.
+#: Terms kept: the most frequent of the documents, of at least FIT_LEAST occurrences each.
 FIT_TERMS, FIT_LEAST = 20_000, 8
 #: Bound of one term's weight, and what the mean weight of a unit counts in its log-likelihoods.
 FIT_CLIP, FIT_SCALE = 4.5, 5.0
@@ -39,7 +36,9 @@ FIT_CLIP, FIT_SCALE = 4.5, 5.0
 _HOST = r"(?<![\w@.])[a-z0-9-]*[a-z][a-z0-9-]*(?:\[?\.\]?[a-z0-9-]+)*\[?\.\]?[a-z]{3,}"
 _URL = re.compile(rf"(?:[hH](?:tt|xx)[pP][sS]?|[fF][tT][pP])[:\[\]]*//\S+|[wW]{{3}}\.\S+|{_HOST}(?:/\S*|(?![\w-]))")
 _ANCHOR = re.compile(r"</?a\b[^>]*>|\[[^\[\]]*\]\([^()\s]*\)", re.I)
-_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+_WORD, _RUN = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)"), re.compile(r"\w+")
+# Of ASCII: letters in lower case, 0 for figures and underscores, a blank for the rest.
+_PLAIN = bytes(ord(c.lower() if c.isalpha() else "0" if c.isdigit() or c == "_" else " ") if ord(c) < 128 else 0 for c in map(chr, range(256)))
 _SEPARATOR = re.compile(r"[|;,•·»›>/*~]|\s[-–—]+\s|\t")
 _STRONG = re.compile(r"[|;•·»›]|\s[/>–—-]\s")
 _PAUSE = re.compile(r"[.,;:!?]")
@@ -57,7 +56,7 @@ _TERM = re.compile(r"[^\s\d!-/:-@\[-`{-~\u00a0-\u00bf\u2000-\u206f\u3000-\u3020\
 _ANY_PAUSE = re.compile(r"[.,;:!?。、，；：！？؟،؛।॥]")
 _ANY_END = re.compile(r"[.!?。！？؟।॥](?!\d)")
 _MARKED = re.compile(r"[#|;•·»›>~\t=]|\.{4}").search
-_LINKED = re.compile(r"www\.|\[\.\]|<a\b|[a-z0-9]\.[a-z]{3,}", re.I)
+_LINKED = re.compile(r"\.(?:(?<=www\.)|(?<=[a-z0-9]\.)[a-z]{3,})|\[\.\]|<a\b", re.I)  # begins with marks, which are looked for fast
 _INVISIBLE = re.compile("[\u200b\u200c\u200d\ufeff\xad\u2060]")
 
 #: Log-probability of moving from a label to itself, and to each other one.
@@ -85,11 +84,20 @@ def line_units(text: str) -> list[str]:
     return out
 
 
+def words_of(unit: str) -> list[str]:
+    """Lower-case words of a unit, as _WORD finds them: the runs of word characters without figures and underscores."""
+    if not unit.isascii():
+        return [w for w in _RUN.findall(unit.lower()) if w.isalpha() or _WORD.fullmatch(w)]
+    plain = unit.encode().translate(_PLAIN)
+    words = plain.decode().split()
+    return [w for w in words if "0" not in w] if b"0" in plain else words
+
+
 def is_data(unit: str) -> bool:
     """Figures, contents lines and captions: assigned values, leaders, numbers in a row or in cells. The marks are looked for first."""
     return bool(
         ("=" in unit and _ASSIGNED.search(unit)) or ("...." in unit and _LEADERS.search(unit)) or _COLUMNS.search(unit)
-        or (("|" in unit or ";" in unit or "\t" in unit) and _CELLS.search(unit)) or _CAPTION.match(unit)
+        or (("|" in unit or ";" in unit or "\t" in unit) and _CELLS.search(unit)) or (unit.lstrip()[:1] in "fFtTaA" and _CAPTION.match(unit))
     )
 
 
@@ -98,6 +106,8 @@ def stuffed_terms(counts: Counter, total: int) -> set[str]:
     words 18 % and eight times), 12 % together.
     """
     floor, short_floor = max(4, 0.08 * total), max(8, 0.18 * total)
+    if not counts or max(counts.values()) < floor:
+        return set()
     found = {w: n for w, n in counts.items() if n >= (floor if len(w) > SHORT else short_floor) and len(w) > 2}
     return set(found) if sum(found.values()) >= 0.12 * total else set()
 
@@ -152,14 +162,14 @@ def terms_of(unit: str, words: list[str]) -> list[str]:
 
 def weigh(unit: str, words: list[str], weights: dict[str, float]) -> float:
     """Mean weight of the unit's terms, those that were not fitted counting nothing, less in units of a few terms."""
-    known = [weights[t] for t in terms_of(unit, words) if t in weights]
+    known = [x for x in map(weights.get, words if unit.isascii() else terms_of(unit, words)) if x is not None]
     return sum(known) / max(8, len(known)) if known else 0.0
 
 
 def emission(unit: str, words: list[str], stuffed: set[str], short_lines: bool, linked: bool, weight: float = 0.0, repeated: float = 0.0) -> tuple[float, float, float, float]:
     """Log-likelihoods (up to a constant) of a unit under the four labels; weight: that of its terms; repeated: its foreign_stuffing."""
     n = len(words)
-    common = sum([len(w) <= SHORT for w in words]) / n if n else 0.0
+    common = sum(map(SHORT.__ge__, map(len, words))) / n if n else 0.0
     lean = FIT_SCALE * weight
     if n >= 8 and common >= 0.22 and lean > -0.3 and not linked and not stuffed and unit.count(",") < 0.16 * n and not _MARKED(unit):
         return 2.2 + max(0.0, lean), -3.0, -1.4, -1.2
@@ -178,7 +188,7 @@ def emission(unit: str, words: list[str], stuffed: set[str], short_lines: bool,
     tags = len(_TAG.findall(unit)) if "#" in unit or "sku" in unit.lower() else 0
     stuffing = repeated if foreign else len([1 for w in inner if w in stuffed]) / m if stuffed else 0.0
     data = not links and is_data(unit)
-    reference = links <= 1 and bool(_REFERENCE.search(unit))
+    reference = links <= 1 and bool(_REFERENCE.match(unit))
     sentence = m >= 5 and bare.rstrip(" )\"'»”").endswith((".", "!", "?", "。", "！", "？", "؟"))
     if stuffing and not foreign and sentence and common >= 0.2 and not any(inner.count(w) > 1 for w in stuffed):
         stuffing *= 0.3  # said once in a full sentence: a subject, not a keyword
@@ -212,11 +222,16 @@ def emission(unit: str, words: list[str], stuffed: set[str], short_lines: bool,
 
 def label_units(text: str, weights: dict[str, float] | None = None) -> tuple[list[str], list[int]]:
     """Units of a text and the most probable label of each (Viterbi)."""
+    return _labelled(text, weights)[:2]
+
+
+def _labelled(text: str, weights: dict[str, float] | None = None) -> tuple[list[str], list[int], list[list[str]]]:
+    """label_units, and the words of each unit."""
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
     linked = "://" in text or bool(_LINKED.search(text))
     units = line_units(text)
-    words = [_WORD.findall(u.lower()) for u in units]
+    words = [words_of(u) for u in units]
     counts = Counter()
     for ws in words:
         counts.update(ws)
@@ -230,7 +245,7 @@ def label_units(text: str, weights: dict[str, float] | None = None) -> tuple[lis
     leans = [weigh(u, w, weights) for u, w in zip(units, words, strict=True)] if weights else [0.0] * len(units)
     scores = [emission(u, w, stuffed, short, linked, x, r) for u, w, x, r in zip(units, words, leans, repeated, strict=True)]
     if all(s[PROSE] >= max(s) for s in scores):
-        return units, [PROSE] * len(units)
+        return units, [PROSE] * len(units), words
     best = [scores[0][k] + (0.7 if k == PROSE else 0.0) for k in range(4)]
     back = []
     for s in scores[1:]:
@@ -248,7 +263,7 @@ def label_units(text: str, weights: dict[str, float] | None = None) -> tuple[lis
     for step in reversed(back):
         k = step[k]
         path.append(k)
-    return units, path[::-1]
+    return units, path[::-1], words
 
 
 def other_share(text: str | None, weights: dict[str, float] | None = None) -> float:
@@ -260,14 +275,12 @@ def other_share(text: str | None, weights: dict[str, float] | None = None) -> fl
     return sum(len(u) for u, k in zip(units, labels, strict=True) if k != PROSE) / max(1, total)
 
 
-def sample_terms(text: str | None) -> tuple[Counter, Counter]:
-    """Terms of a text in units that count as prose and in others, by what is counted alone; figures and contents lines not."""
-    told, other = Counter(), Counter()
+def count_terms(text: str | None, told: Counter, other: Counter) -> None:
+    """Adds the terms of a text in units that count as prose, and in others, by what is counted alone; figures and contents lines not."""
     if text and text.strip():
-        for unit, label in zip(*label_units(text), strict=True):
+        for unit, label, words in zip(*_labelled(text), strict=True):
             if not is_data(unit):
-                (told if label == PROSE else other).update(terms_of(unit, _WORD.findall(unit.lower())))
-    return told, other
+                (told if label == PROSE else other).update(terms_of(unit, words))
 
 
 def fitted(rows: list[tuple[str, int, int]]) -> dict[str, float]:
@@ -282,20 +295,19 @@ def fitted(rows: list[tuple[str, int, int]]) -> dict[str, float]:
     return {w: max(-FIT_CLIP, min(FIT_CLIP, math.log(rate(a, told) / rate(b, other)))) for w, a, b in rows}
 
 
-def fit_weights(documents: DataFrame, most: int = FIT_DOCUMENTS) -> dict[str, float]:
-    """Weights fitted on about ``most`` of the documents. At most FIT_TERMS rows of counts reach the driver."""
-    whole = documents.count()
+def fit_weights(documents: DataFrame, most: int | None = None) -> dict[str, float]:
+    """Weights fitted on all documents, or on about ``most`` of them where a caller asks for that many (by hash of the id, hence
+    the same at any partitioning). At most FIT_TERMS rows of counts reach the driver.
+    """
     part = documents.select("doc_id", "text")
-    if whole > most:
+    if most is not None and (whole := documents.count()) > most:
         part = part.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < max(1, most * 1_000_000 // whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             told, other = Counter(), Counter()
             for text in batch.column(0):
-                a, b = sample_terms(text.as_py())
-                told.update(a)
-                other.update(b)
+                count_terms(text.as_py(), told, other)
             terms = list(told | other)
             yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "told": pa.array([told[t] for t in terms], pa.int64()), "other": pa.array([other[t] for t in terms], pa.int64())})
 
@@ -304,8 +316,8 @@ def fit_weights(documents: DataFrame, most: int = FIT_DOCUMENTS) -> dict[str, fl
     return fitted([tuple(r) for r in often.collect()])
 
 
-def page_shares(documents: DataFrame, most: int = FIT_DOCUMENTS) -> DataFrame:
-    """doc_id and other_share double of every document, in one map over Arrow batches; no shuffle but for the sample's counts."""
+def page_shares(documents: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id and other_share double of every document, in one map over Arrow batches; no shuffle but for the counts of terms."""
     weights = documents.sparkSession.sparkContext.broadcast(fit_weights(documents, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

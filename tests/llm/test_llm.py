@@ -344,6 +344,23 @@ def test_weights_are_fitted_on_a_bounded_sample_in_any_language(spark):
     assert pages.fit_weights(spark.createDataFrame([(i, PROSE * 5) for i in range(9)], "doc_id bigint, text string")) == {}  # nothing to tell apart
 
 
+def test_weights_are_fitted_on_every_document(spark):
+    texts = [f"the pump of line {i % 7} is at the mill and it runs to the end of the day" if i % 3 else f"cheap pumps | best pumps | buy mill{'s' * (i % 5)} | pump sale | top deals" for i in range(9000)]
+    told, other = Counter(), Counter()
+    for t in texts:
+        pages.count_terms(t, told, other)
+    got = pages.fit_weights(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert sum(told.values()) and sum(other.values())
+    assert got == pytest.approx(pages.fitted([(w, told[w], other[w]) for w in told | other]))
+
+
+def test_words_of_a_unit_are_what_the_pattern_finds():
+    rnd = random.Random(8)
+    for _ in range(3000):
+        unit = "".join(rnd.choice("aBz_1 .,|#\t-0=\x1c\x7f" + "é²½٣中ßÀ" * (rnd.random() < 0.5)) for _ in range(rnd.randint(0, 60)))
+        assert pages.words_of(unit) == pages._WORD.findall(unit.lower())
+
+
 def test_labels_of_lines():
     units, labels = pages.label_units(PROSE + "\n" + PROSE + "\n" + "\n".join(f"http://a{i}.example/p" for i in range(9)))
     assert labels[:2] == [pages.PROSE] * 2 and labels[-9:] == [pages.LINKS] * 9 and len(units) == len(labels)
