@@ -132,6 +132,21 @@ def test_units_end_to_end(spark):
     assert report["gate house"] == 6 and report[None] == 2
 
 
+def test_candidates_may_begin_with_another_letter(spark):
+    texts = ["gat house", "kaw crushers", "nal mill", "xtruck shop"]
+    units = spark.createDataFrame([(t, None) for t in texts], "unit_type string, label string")
+    vocab = spark.createDataFrame([(i, n, []) for i, n in ENTRIES], "canon_id int, canon_name string, alt_names array<string>")
+    want = {}
+    for t in texts:
+        for i, n in ENTRIES[:9]:  # the last is folded, not typed so
+            a, b = t.replace(" ", ""), n.replace(" ", "")
+            if (d := damerau(a, b)) <= canonical.allowed(len(b)):
+                want[t, i] = min(d, want.get((t, i), 9))
+    assert ("gat house", 5) in want and ("kaw crushers", 1) in want and ("nal mill", 2) in want
+    assert {(r.text, r.canon_id): r.distance for r in canonical.candidates(units, vocab).collect()} == want
+    assert canonical.Trie(ENTRIES).match("gat house") is None  # not what it means
+
+
 def test_candidates_are_all_entries_in_reach(spark):
     units = spark.createDataFrame([("bod mill", None), ("bod mill", None), ("n/a", "jaw crushr"), (None, None), ("truck shop", None)], "unit_type string, label string")
     vocab = spark.createDataFrame([(i, n, []) for i, n in ENTRIES[:4:2]] + [(3, "rod mill", ["mod mill"])], "canon_id int, canon_name string, alt_names array<string>")
