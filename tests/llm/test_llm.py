@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import string
 from collections import Counter, defaultdict
 
@@ -376,6 +377,35 @@ def test_words_of_a_unit_are_what_the_pattern_finds():
         assert pages.words_of(unit) == pages._WORD.findall(unit.lower())
 
 
+def test_only_units_that_are_no_plain_sentences_are_scored_one_by_one(monkeypatch):
+    scored, emission = [], pages.emission
+    monkeypatch.setattr(pages, "emission", lambda unit, *rest: scored.append(unit) or emission(unit, *rest))
+    assert pages.other_share(PROSE * 9 + "\nmill | pump\n" + "Die Mühle läuft an der Linie und es ist in der Nacht so. " * 3) == 0.0
+    assert scored == ["mill | pump"]
+
+
+def test_units_measured_at_once_are_what_each_is_alone(monkeypatch):
+    rnd = random.Random(5)
+    parts = ["the mill", "of a", "cheap;", "pumps,", "a-b", "x - y", "\t–\t", "....", "..", "#1", "3.5", "a_1", "m²", "насос", "球磨机", "ÀİΣ", "𐐀𠀀", "é", "http://a.example/x", "\n", "\n", ". ", "• » /", "12 14 15 17", "\u200b"]
+    texts = ["".join(rnd.choice(parts) + " " * rnd.randint(0, 2) for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    units = [u for t in texts for u in pages.line_units(t)]
+    words, ends, found = pages.measured(units)
+    for u, a, b, f in zip(units, [0, *ends[:-1]], ends, found, strict=True):
+        own = pages._WORD.findall(u.lower())
+        assert words[a:b] == own
+        assert (f[0], f[2], f[3] > 0, f[4]) == (sum(len(w) <= pages.SHORT for w in own), u.count(","), bool(pages._MARKED(u)), len(re.findall(r"[\d_]+", u)))
+        assert f[1] == len(pages._SEPARATOR.findall(u)) or (f[1] == -1 and re.search(r"\s[-–—]", u))
+    weights = {w: rnd.randint(-9, 9) / 4 for w in sorted(set(words))[::2]}
+    together = [list(pages.labelled(texts, fitted)) for fitted in (None, weights)]
+    assert together == [[next(pages.labelled([t], fitted)) for t in texts] for fitted in (None, weights)]
+    monkeypatch.setattr(pages, "SLICE_UNITS", 7)
+    monkeypatch.setattr(pages, "SLICE_CHARS", 900)
+    assert together == [list(pages.labelled(texts, fitted)) for fitted in (None, weights)]
+    ascii_units = [u for u in units if u.isascii()]
+    words, ends, _ = pages.measured(ascii_units)
+    assert pages.weigh_all(words, ends, weights).tolist() == [pages.weigh(u, words[a:b], weights) for u, a, b in zip(ascii_units, [0, *ends[:-1]], ends, strict=True)]
+
+
 def test_labels_of_lines():
     units, labels = pages.label_units(PROSE + "\n" + PROSE + "\n" + "\n".join(f"http://a{i}.example/p" for i in range(9)))
     assert labels[:2] == [pages.PROSE] * 2 and labels[-9:] == [pages.LINKS] * 9 and len(units) == len(labels)
