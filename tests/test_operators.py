@@ -3,15 +3,17 @@
 import importlib.util
 import itertools
 import random
+import threading
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyspark
 import pytest
 from pyspark.sql import functions as F
 
 from oreloom.functions import plant, text
-from oreloom.operators import corpus, evaluate, graphs, joins, learn, neighbors, tables
+from oreloom.operators import chain, corpus, evaluate, graphs, joins, learn, neighbors, tables
 from oreloom.plans import model_queries, registry
 from oreloom.sources import results, sinks
 from oreloom.streaming import ingest
@@ -350,6 +352,91 @@ def test_tuned_chain_beats_chance_on_rows_it_never_saw(spark):
     assert sum(r.p == r.y for r in got) / len(got) > 0.85
 
 
+def test_the_chain_learns_every_name(spark, tmp_path):
+    from oreloom.plans.model_queries import l5_classifier_chain
+
+    names = [f"mill_{i}" for i in range(7)]
+    held = {f"d{i:03d}": [x for k, x in enumerate(names) if i % (k + 2) == 0] + (["kiln"] if i == 3 else []) for i in range(240)}
+    rows = [(d, "2026-01-01", xs, [x.upper() for x in xs], "gold", "test", 0.5) for d, xs in held.items()]
+    rows += [("nothing", "2026-01-01", None, None, None, None, None), ("nulls", "2026-01-01", [None], [None], None, None, float("nan"))]
+    schema = "doc_id string, produced_at string, ground_truth array<string>, xgb_stages array<string>, commodity string, split string, doc_f1 double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/test_predictions.parquet")
+    out = l5_classifier_chain(spark, str(tmp_path))
+    assert out.columns == ["doc", *[f"y{i}" for i in range(8)]]  # all seven names that can be learnt, and the one that cannot
+    got = {r.doc: [r[f"y{i}"] for i in range(8)] for r in out.collect()}
+    split = learn.hash_split(F.col("doc"), [("train", 0.6), ("rest", 0.4)])
+    assert set(got) == {r.doc for r in spark.createDataFrame([(r[0],) for r in rows], "doc string").filter(split == "rest").collect()}
+    assert all(got[d] == [int(x in held.get(d, [])) for x in names] + [0] for d in got)
+
+
+def _team(n, work):
+    """Results of work(team) in n threads that are a team."""
+    told, barrier, out = [""] * n, threading.Barrier(n), [None] * n
+
+    def tell(rank, said):
+        told[rank] = said
+        barrier.wait()
+        return told
+
+    def run(rank):
+        team = chain.Team(rank, ["127.0.0.1"] * n, lambda said: tell(rank, said))
+        out[rank] = work(team)
+        team.close()
+
+    threads = [threading.Thread(target=run, args=(r,)) for r in range(n)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(60)
+    return out
+
+
+def _chain_batch(at):
+    rnd = random.Random(8)
+    rows = [(i, i % 2, float(rnd.randint(0, 9)), [x for x in "abc" if rnd.random() < 0.3], [x for x in "abc" if rnd.random() < 0.1 + i % 5 / 10]) for i in range(200)]
+    ids, folds, plain, names, held = zip(*[r for r in rows if at(r[0])], strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(folds, pa.int32()), pa.array(plain), pa.array(names), pa.array(held)], ["id", "fold", "p0", "names", "held"])
+
+
+def test_a_chain_does_not_depend_on_how_rows_are_spread():
+    scheme = chain.Scheme(["a", "b", "c"], [np.arange(9.0)], ["a", "b", "c"], 2)
+
+    def work(team):
+        trainer = chain.Trainer(team, scheme, iter([_chain_batch(lambda i: i * 7 // 5 % team.size == team.rank)]))
+        return [trainer.learn(k, [{"depth": 2, "trees": 2}, {"depth": 3, "trees": 3}]) for k in range(3)]
+
+    alone = work(chain.Team())
+    assert all(x == alone for x in _team(3, work))
+    assert any(f >= 4 for trees, _, _ in alone[1:] for t in trees for f in t[0])  # scores of the labels before are features
+
+
+def test_partners_are_the_nearest_of_all_tasks():
+    rnd = np.random.default_rng(5)
+    x, ids, folds = rnd.integers(0, 4, (150, 3)).astype(float), rnd.permutation(150), rnd.integers(0, 2, 150)
+    scheme = chain.Scheme(["a"], [np.arange(3.0)], ["a"], 2)
+
+    def work(team):
+        mine = np.flatnonzero(np.arange(150) % team.size == team.rank)
+        trainer = chain.Trainer(team, scheme, iter([]))
+        distance, who, _, _ = trainer.partners(x[mine], ids[mine], folds[mine])
+        return {(int(ids[m]), k): [(d, i) for d, i in zip(distance[k, j].tolist(), who[k, j].tolist(), strict=True)] for j, m in enumerate(mine) for k in range(2)}
+
+    got = {k: v for part in _team(3, work) for k, v in part.items()}
+    for i in range(150):
+        for k in range(2):
+            assert got[int(ids[i]), k] == sorted((float(((x[i] - x[j]) ** 2).sum()), int(ids[j])) for j in range(150) if j != i and folds[j] == k)[:3]
+
+
+def test_thresholds_of_the_chain_are_those_of_l8(spark):
+    rnd = random.Random(6)
+    for n in (12, 60, 400):
+        rows = [("x", round(rnd.random(), 3), int(rnd.random() < 0.3)) for _ in range(n)]
+        want = evaluate.tuned_threshold(spark.createDataFrame(rows, "label string, prob double, y int"), "label", "prob", "y").first()
+        reach = [[r for r in rows if r[1] >= t / 100 - 1e-12] if t > 9 else rows for t in range(9, 91)]
+        got = chain.best_threshold(np.array([len(r) for r in reach]), np.array([sum(y for _, _, y in r) for r in reach]))
+        assert got == (pytest.approx(want.threshold), pytest.approx(want.f_beta))
+
+
 def test_pseudo_labels_take_two_rounds(spark):
     df = _two_classes(spark, 200, 80)
     known, unknown = df.filter(learn.fold(F.col("key"), 3) == 0).select("key", "a", "b", F.col("y").alias("label")), df.select("key", "a", "b")
