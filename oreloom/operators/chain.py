@@ -335,7 +335,7 @@ class Trainer:
         for p in parts:
             used[p.codes] = 1
         codes = np.flatnonzero(self.team.sum(used))
-        place = np.zeros(len(used), np.int32)
+        place = np.zeros(len(used), np.intp)
         place[codes] = np.arange(len(codes))
         for p, a, b in zip(parts, *weigh, strict=True):
             p.start(place, len(codes), float(a - b) / max(1, b))
@@ -393,7 +393,7 @@ class _Part:
         self.codes = np.concatenate([code[row >= 0], (f * BINS + extra[f, r]).astype(np.int32)])
 
     def start(self, place: np.ndarray, width: int, weight: float) -> None:
-        self.codes, self.width = place[self.codes] + 1, width + 1
+        self.rows, self.codes, self.width = self.rows.astype(np.intp), place[self.codes] + 1, width + 1  # intp: numpy would convert at each use
         self.weight = np.where(self.y == 1, weight, 1.0)
 
     def column(self, f: int) -> np.ndarray:
@@ -421,7 +421,7 @@ class _Fit:
             right = (self.node & 1).astype(bool)
             at, some = np.flatnonzero(right), np.flatnonzero(right[p.rows])
             nodes, rows, codes = 2 ** (level - 1), rows[some], codes[some]
-        first = (self.node >> 1).astype(np.int32) * p.width
+        first = (self.node >> 1).astype(np.intp) * p.width
         key = first[rows] + codes if level > 1 else codes
         out = np.empty((2, nodes * p.width))
         for i, x in enumerate(self.sums):
